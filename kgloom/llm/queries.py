@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op3_decontam, op6_sharding, op7_language, op8_bpe, op10_tokens
+from . import op1_quality, op3_decontam, op4_suffixes, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality.op1_quality_rules,
         "op3_decontamination": op3_decontam.op3_decontamination,
+        "op4_suffix_dedup": op4_suffixes.op4_suffix_dedup,
         "op6_sharding": op6_sharding.op6_sharding,
         "op7_language_id": op7_language.op7_language_id,
         "op8_bpe": op8_bpe.op8_bpe,
+        "op9_substring_dedup": op9_debruijn.op9_substring_dedup,
         "op10_token_counts": op10_tokens.op10_token_counts,
     }
 

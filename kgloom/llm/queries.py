@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op3_decontam, op4_suffixes, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens
+from . import op1_quality, op2_lines, op3_decontam, op4_suffixes, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality.op1_quality_rules,
+        "op2_line_dedup": op2_lines.op2_line_dedup,
         "op3_decontamination": op3_decontam.op3_decontamination,
         "op4_suffix_dedup": op4_suffixes.op4_suffix_dedup,
         "op6_sharding": op6_sharding.op6_sharding,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": op2_lines.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_lines, op3_decontam, op4_suffixes, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens
+from . import op1_quality, op2_lines, op3_decontam, op4_suffixes, op5_jaccard, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_lines.op2_line_dedup,
         "op3_decontamination": op3_decontam.op3_decontamination,
         "op4_suffix_dedup": op4_suffixes.op4_suffix_dedup,
+        "op5_jaccard_join": op5_jaccard.op5_jaccard_join,
         "op6_sharding": op6_sharding.op6_sharding,
         "op7_language_id": op7_language.op7_language_id,
         "op8_bpe": op8_bpe.op8_bpe,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import op3_decontam, op7_language, op8_bpe
+from kgloom.llm import op2_lines, op3_decontam, op5_jaccard, op7_language, op8_bpe
 from kgloom.llm.common import documents, stage
 
 
@@ -15,6 +15,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != op7_language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the line runs that start earlier too; those that lose all their lines go."""
+    found = op2_lines.dedup(docs).where("n_removed = 0 or n_removed < n_lines")
+    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each component of linked ones."""
+    return op5_jaccard.join(docs, keep_text=True).where("is_first").select(*docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = op3_decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -26,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op8_bpe.encode(docs, op8_bpe.vocabulary()).select("doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("language_id", language_id), ("decontaminate", decontaminate), ("encode", encode)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("encode", encode)]
 
 #: Trained and iterative stages have no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None

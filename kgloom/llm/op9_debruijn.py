@@ -113,16 +113,21 @@ def _plain(blobs: list[bytes]) -> list[np.ndarray]:
     return [out[lo: lo + len(p[0])] for lo, p in zip(np.cumsum([0] + [len(p[0]) for p in parts[:-1]]), parts, strict=True)]
 
 
+def ordered(table, doc_id: str, text: str):
+    """A chunk's rows in an order that doesn't depend on how they came; rows equal in both columns are alike."""
+    return table.sort_by([(doc_id, "ascending"), (text, "ascending")])
+
+
 def paths_of(table, replies, k: int, text: str, doc_id: str):
     """The places of compacted paths in a chunk, as PATHS."""
     import pyarrow as pa
 
     if not len(table):
         return pa.table({n: pa.array([], t) for n, t in zip(("chunk", "row", "start", "size", "head", "tail", "doc_id"), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)})
+    table = ordered(table, doc_id, text)
     c = Chunk(table.column(text).to_pylist(), k)
-    step = replies.column("step").to_numpy()
-    hot = c.hot(packed.replies_of(replies.filter(pa.array(step == 1))))
-    plain_of = packed.replies_of(replies.filter(pa.array(step == 2)))
+    hot = c.hot(packed.replies_of(replies, 1))
+    plain_of = packed.replies_of(replies, 2)
     i, _, _ = c.crossings(hot)
     names, inverse = np.unique(c.nodes[i], return_inverse=True)
     plain = np.zeros(len(hot) + 1, bool)
@@ -175,6 +180,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     out = T.StructType([f for f in given.schema.fields if f.name != text] + added.fields)
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
+        table = ordered(table, doc_id, text)
         rows: list[list] = [[] for _ in names]
         drop: dict[int, list[tuple[int, int]]] = {}
         for spans in found.column("spans").to_pylist():

@@ -3,10 +3,11 @@
 A byte goes if some string of `window` bytes that covers it also starts anywhere else in the corpus. So suffixes matter
 to depth `window` only, and what is asked of their order is which of them tie there.
 
+0. Copies. Of whole texts that are equal, one goes on; if there are several, each of their strings starts elsewhere.
 1. Difference cover. Of every document, the samples at places p with p mod V in D, a cover of all differences modulo V, get
    ranks: the class of their window - V + 1 bytes. Any two equal windows, however they lie, have samples at a common
-   offset, inside the window. So a suffix none of whose samples has a repeated rank ties with no other, and is done: an
-   eleventh of the places decides this for all the rest.
+   offset, inside the window. So a suffix none of whose samples has a repeated rank ties with no other, and is done: a
+   seventh of the places decides this for all the rest.
 2. Blocks. The suffixes that are left go to buckets, ranges of their fingerprint at depth `window`; a bucket is sorted at
    a time, of bounded size whatever the corpus, and its runs of equal keys are the ties. Suffixes are ordered by 64-bit
    fingerprints, not by bytes: any order serves in which equal strings meet, and this one has no hot prefix buckets.
@@ -47,16 +48,53 @@ COVERS = {
 
 
 def cover(window: int) -> tuple[np.ndarray, int]:
-    """(membership by residue, length of a sample) of the largest cover that leaves samples a third of the window."""
-    v = max(m for m in COVERS if 3 * m <= 2 * window or m == 1)
+    """(membership by residue, length of a sample) of the largest cover that leaves samples two thirds of the
+    window: long samples seldom repeat by chance or in stock phrases."""
+    v = max(m for m in COVERS if 3 * m <= window or m == 1)
     inside = np.zeros(v, bool)
     inside[COVERS[v]] = True
     return inside, window - v + 1
 
 
+class Copies:
+    """The whole texts of a chunk: which are equal, here and (by the replies) elsewhere."""
+
+    def __init__(self, parts: list[bytes], codes: np.ndarray | None = None) -> None:
+        raw = b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts)
+        pairs = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        ordered = pairs[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+        self.keys = ordered[new]
+        if codes is not None:
+            group = np.cumsum(new) - 1
+            several = (codes > 0) | (np.bincount(group, minlength=len(codes)) > 1)
+            #: A text that goes on, and one that has an equal somewhere.
+            self.alive, self.several = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            self.alive[order] = new & (codes[group] < 2)
+            self.several[order] = several[group]
+
+
+def _pack_copies(first: np.ndarray, second: np.ndarray) -> bytes:
+    return first.tobytes() + second.tobytes()
+
+
+def _copies(blobs: list[bytes]) -> list[np.ndarray]:
+    """For each text of each sender, in order: 0 no other has it, 1 this is the first that has it, 2 a later one."""
+    parts = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in blobs]
+    pairs = np.concatenate(parts, axis=1)
+    order = np.lexsort((np.arange(pairs.shape[1]), pairs[1], pairs[0]))
+    ordered = pairs[:, order]
+    same = (ordered[:, 1:] == ordered[:, :-1]).all(axis=0)
+    later, earlier = np.r_[False, same], np.r_[same, False]
+    out = np.zeros(len(order), np.uint8)
+    out[order] = np.where(later, 2, np.where(earlier, 1, 0))
+    return np.split(out, np.cumsum([p.shape[1] for p in parts])[:-1])
+
+
 class Chunk:
-    def __init__(self, texts: list, window: int) -> None:
-        parts = packed.utf8(texts)
+    def __init__(self, parts: list[bytes], window: int) -> None:
         self.window, (self.cover, self.sample) = window, cover(window)
         self.limits = np.cumsum([len(p) for p in parts], dtype=np.int64)
         self.begins = self.limits - [len(p) for p in parts]
@@ -110,43 +148,52 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, full: bool
     chunked, total = packed.in_chunks(given, text, chunk_bytes=min(CHUNK_BYTES, packed.CHUNK_BYTES))
     none = np.zeros(0, np.uint64)
 
-    def ranks(table):
-        return (Chunk(table.column(text).to_pylist(), window).ranked()[1],)
+    def parts_of(table) -> list[bytes]:
+        return packed.utf8(table.column(text).to_pylist())
+
+    def alive(table, replies) -> Chunk:
+        parts = parts_of(table)
+        return Chunk([p if a else b"" for p, a in zip(parts, Copies(parts, packed.replies_of(replies, 0)).alive, strict=True)], window)
+
+    def texts(table):
+        return tuple(Copies(parts_of(table)).keys.T)
+
+    def ranks(table, replies):
+        return (alive(table, replies).ranked()[1],) if len(table) else (none,)
 
     def ties(table, replies):
-        if not len(table):
-            return (none,)
-        return (np.unique(Chunk(table.column(text).to_pylist(), window).suffixes(packed.replies_of(replies))[1]),)
+        return (np.unique(alive(table, replies).suffixes(packed.replies_of(replies, 1))[1]),) if len(table) else (none,)
 
     inside, _ = cover(window)
-    n_samples = int(total * inside.mean())
-    ranked = packed.exchange(chunked, ranks, packed.repeated, n_samples, columns=["chunk", text]).withColumn("step", F.lit(1))
-    tied = packed.exchange(chunked, ties, packed.repeated_whole, total // 4, packed.planes, extra=ranked).withColumn("step", F.lit(2))
-    both = ranked.unionByName(tied)
+    copies = packed.exchange(chunked, texts, _copies, total // 1000, _pack_copies, columns=["chunk", text]).withColumn("step", F.lit(0))
+    ranked = packed.exchange(chunked, ranks, packed.repeated, int(total * inside.mean()), columns=["chunk", text], extra=copies).withColumn("step", F.lit(1))
+    two = copies.unionByName(ranked)
+    tied = packed.exchange(chunked, ties, packed.repeated_whole, total // 8, packed.planes, columns=["chunk", text], extra=two).withColumn("step", F.lit(2))
+    every = two.unionByName(tied)
     out = T.StructType([f for f in given.schema.fields if f.name != text] + added.fields)
     kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows: list[list] = [[] for _ in names]
         if len(table):
-            c = Chunk(table.column(text).to_pylist(), window)
-            step = replies.column("step").to_numpy()
-            places, hashes = c.suffixes(packed.replies_of(replies.filter(pa.array(step == 1))))
+            parts = parts_of(table)
+            whole = Copies(parts, packed.replies_of(replies, 0))
+            c = alive(table, replies)
+            places, hashes = c.suffixes(packed.replies_of(replies, 1))
             _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            tie = packed.replies_of(replies.filter(pa.array(step == 2))) > 0
-            gone = c.removed(places[(tie | (counts > 1))[inverse]])
-            for lo, hi in zip(c.begins.tolist(), c.limits.tolist(), strict=True):
-                g = gone[lo:hi]
-                kept = c.data[lo:hi][~g].tobytes()
+            gone = c.removed(places[((packed.replies_of(replies, 2) > 0) | (counts > 1))[inverse]])
+            for p, lo, hi, several in zip(parts, c.begins.tolist(), c.limits.tolist(), whole.several.tolist(), strict=True):
+                g = np.full(len(p), len(p) >= window) if several else gone[lo:hi]
+                kept = np.frombuffer(p, np.uint8)[~g].tobytes()
                 spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0])
-                for column, x in zip(rows, (hi - lo, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=False):
+                for column, x in zip(rows, (len(p), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=False):
                     column.append(x)
         left = table.drop_columns(["chunk", text])
         for name, column, kind in zip(names, rows, kinds, strict=False):
             left = left.append_column(name, pa.array(column, kind))
         return left
 
-    return chunked.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, out)
+    return chunked.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(cut, out)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

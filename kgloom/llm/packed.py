@@ -157,6 +157,7 @@ def exchange(chunked: DataFrame, keys: Callable, answer: Callable, n_keys: int,
                          "keys": pa.array([pack(*(x[at[b]: at[b + 1]] for x in made)) for b in full], pa.binary())})
 
     def reply(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")  # answers may depend on who comes first
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
                          "reply": pa.array([x.tobytes() for x in answer(table.column("keys").to_pylist())], pa.binary())})
 
@@ -168,8 +169,12 @@ def exchange(chunked: DataFrame, keys: Callable, answer: Callable, n_keys: int,
     return blobs.groupBy("bucket").applyInArrow(reply, REPLY)
 
 
-def replies_of(table) -> np.ndarray:
-    """The bytes of a chunk's replies, in the order of its keys."""
+def replies_of(table, step: int | None = None) -> np.ndarray:
+    """The bytes of a chunk's replies (those with that number in `step`), in the order of its keys."""
+    if step is not None:
+        import pyarrow.compute as pc
+
+        table = table.filter(pc.equal(table.column("step"), step))
     order = np.argsort(table.column("bucket").to_numpy(), kind="stable")
     parts = table.column("reply").to_pylist()
     return np.frombuffer(b"".join(parts[i] for i in order), np.uint8)

@@ -47,7 +47,7 @@ def test_lines(spark):
     assert result(text.noise_filter(lines(spark, "a\n\n\n***\n\n12\nb"))) == ["a", "", "", "b"]
     assert one(spark, text.normalize_encoding(F.col("v")), v="Ａ（１）\r\n● b\t c—…") == "A(1)\n· b c-..."
     assert text.drop_toc([f"节 {i} 标题....{i}" for i in range(8)] + ["end"]) == [f"节 {i} 标题" for i in range(8)] + ["end"]
-    assert text.mend_breaks(["some words go", "on here-", "after", "", "Next."]) == ["some words go on here-", "after", "", "Next."]
+    assert text.mend_breaks(["some words go", "on here-", "after", "", "Next."]) == ["some words go on hereafter", "", "Next."]
     assert text.mend_breaks(["exam-", "ple of"]) == ["example of"]
     assert text.mark_code(["text here that is long", "int main() {", "return x;", "}", "prose again is here"]) == ["text here that is long", "[CODE_BLOCK_START]", "int main() {", "return x;", "}", "[CODE_BLOCK_END]", "prose again is here"]
 

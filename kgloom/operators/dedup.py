@@ -68,14 +68,16 @@ def greedy(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     from ..plans.staging import cut
 
     n = cut(rows.withColumn("_n", norm_name(F.col("name"))))
-    a = n.select(F.col("section_key"), F.col("_n").alias("x")).distinct()
-    # near names of a section share a character; size bounds prune, and each pair is tested once
-    letters = a.select("section_key", "x", F.explode(F.array_distinct(F.split(F.lower("x"), ""))).alias("c")).where("c <> ''")
-    size = letters.groupBy("section_key", "x").agg(F.count(F.lit(1)).alias("k"))
-    p = letters.join(size, ["section_key", "x"])
-    q = p.select("section_key", "c", F.col("x").alias("y"), F.col("k").alias("m"))
-    pairs = p.join(q, ["section_key", "c"]).where((F.col("x") < F.col("y")) & (F.least("k", "m") > threshold * F.greatest("k", "m"))).groupBy("section_key", "x", "y").agg(F.count(F.lit(1)).alias("both"), F.first("k").alias("k"), F.first("m").alias("m"))
-    near = pairs.where(F.col("both") > threshold * (F.col("k") + F.col("m") - F.col("both"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    chars = F.array_distinct(F.filter(F.split(F.lower("x"), ""), lambda c: c != ""))
+    names = n.select("section_key", F.col("_n").alias("x")).distinct().withColumn("chars", chars)
+    letters = names.select("section_key", "x", F.explode("chars").alias("c"))
+    common = letters.groupBy("section_key", "c").agg(F.count(F.lit(1)).alias("df"))
+    # names nearer than the threshold share one of their rarest characters: only so many can differ
+    rare = letters.join(common, ["section_key", "c"]).groupBy("section_key", "x").agg(F.sort_array(F.collect_list(F.struct("df", "c"))).alias("o"), F.count(F.lit(1)).alias("k"))
+    rare = rare.select("section_key", "x", "k", F.explode(F.slice("o", F.lit(1), (F.col("k") - F.ceil(F.col("k") * threshold) + 1).cast("int"))).alias("o")).select("section_key", "x", "k", "o.c")
+    other = rare.select("section_key", "c", F.col("x").alias("y"), F.col("k").alias("m"))
+    pairs = rare.join(other, ["section_key", "c"]).where((F.col("x") < F.col("y")) & (F.least("k", "m") > threshold * F.greatest("k", "m"))).select("x", "y").distinct()
+    near = pairs.where(jaccard_chars(F.col("x"), F.col("y")) > threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = cut(n.select(F.col("_n").alias("node")).distinct().withColumn("root", F.col("node")))
     both = cut(near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     while True:

@@ -91,12 +91,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def plan(counted: DataFrame, rules: list[Rule], rows: int, n: int) -> list[tuple[Rule, float, float]]:
+def plan(docs: DataFrame, text: str, rules: list[Rule], rows: int, n: int) -> list[tuple[Rule, float, float]]:
     """The rules in the order of rejection per cost, with the seconds a row and the share rejected of a sample of
     about `rows` of the n rows. Ties go by name."""
     if not n or not rules:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = counted.sample(False, min(1.0, rows / n), 17).limit(4 * rows).where(~base_failed()).persist()
+    sample = with_counts(docs.sample(False, min(1.0, rows / n), 17).limit(4 * rows), text).where(~base_failed()).persist()
     try:
         shares = sample.agg(*[F.avg(r.fails(F.col("_t")).cast("double")).alias(r.name) for r in rules]).first()
         probe = lambda c: sample.agg(F.count_if(c).alias("x")).first()
@@ -129,7 +129,7 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None,
     rules = RULES if rules is None else rules
     given = docs.select(*[quoted(c) for c in others(docs, ["base_failed", "kept"])])
     counted = with_counts(given, text)
-    order = [r for r, _, _ in plan(counted, rules, sample_rows, docs.count())]
+    order = [r for r, _, _ in plan(given, text, rules, sample_rows, docs.count())]
     keep = [c for c in counted.columns if c != "_t"]
     return counted.select(*[quoted(c) for c in keep], base_failed().alias("base_failed"), cascade(order).alias("kept"))
 

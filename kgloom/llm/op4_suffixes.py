@@ -165,10 +165,10 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, full: bool
         return (np.unique(alive(table, replies).suffixes(packed.replies_of(replies, 1))[1]),) if len(table) else (none,)
 
     inside, _ = cover(window)
-    copies = packed.exchange(chunked, texts, _copies, total // 1000, _pack_copies, columns=["chunk", text]).withColumn("step", F.lit(0))
-    ranked = packed.exchange(chunked, ranks, packed.repeated, int(total * inside.mean()), columns=["chunk", text], extra=copies).withColumn("step", F.lit(1))
+    copies = packed.exchange(chunked, texts, _copies, total // 1000, _pack_copies).withColumn("step", F.lit(0))
+    ranked = packed.exchange(chunked, ranks, packed.repeated, int(total * inside.mean()), extra=copies).withColumn("step", F.lit(1))
     two = copies.unionByName(ranked)
-    tied = packed.exchange(chunked, ties, packed.repeated_whole, total // 8, packed.planes, columns=["chunk", text], extra=two).withColumn("step", F.lit(2))
+    tied = packed.exchange(chunked, ties, packed.repeated_whole, total // 8, packed.planes, extra=two).withColumn("step", F.lit(2))
     every = two.unionByName(tied)
     out = T.StructType([f for f in given.schema.fields if f.name != text] + added.fields)
     kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]

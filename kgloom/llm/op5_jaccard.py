@@ -106,7 +106,7 @@ def profiles(docs: DataFrame, text: str, keep_text: bool = False) -> DataFrame:
     chunked, total = packed.in_chunks(docs, text)
     n_keys = total // 6
     buckets = max(1, -(-n_keys // packed.BUCKET_KEYS))
-    codes = packed.exchange(chunked, _keys(text), _frequencies, n_keys, _pack(buckets), columns=["chunk", text])
+    codes = packed.exchange(chunked, _keys(text), _frequencies, n_keys, _pack(buckets))
     added = T._parse_datatype_string("n_shingles bigint, set_key binary, tokens binary, prefix array<bigint>")
     out = T.StructType([f for f in docs.schema.fields if keep_text or f.name != text] + added.fields)
 

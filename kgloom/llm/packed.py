@@ -134,18 +134,18 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T[:, ::-1]).view(kind).ravel()
 
 
-def exchange(chunked: DataFrame, keys: Callable, answer: Callable, n_keys: int, pack: Callable | None = None, columns: list[str] | None = None,
+def exchange(chunked: DataFrame, keys: Callable, answer: Callable, n_keys: int, pack: Callable | None = None,
              extra: DataFrame | None = None) -> DataFrame:
     """REPLY rows of the chunks.
 
     keys(table[, replies]) gives a chunk's (distinct keys in order, *arrays beside them); pack(*slices) makes the bytes
     that a bucket gets; answer(list of those bytes) gives the bucket's list of byte arrays, one a sender. n_keys is
-    about the number of keys and sets the number of buckets. `extra`, by chunk, is handed to keys as replies.
+    about the number of keys and sets the number of buckets. `extra`, by chunk, is handed to keys as replies. All passes take
+    chunked as it is, so that its shuffle is made once and read again.
     """
     import pyarrow as pa
 
     buckets = max(1, -(-n_keys // BUCKET_KEYS))
-    given = chunked if columns is None else chunked.select(*columns)
     pack = pack or (lambda k: planes(inside(k, buckets)))
 
     def send(table: pa.Table, replies: pa.Table | None = None) -> pa.Table:
@@ -163,9 +163,9 @@ def exchange(chunked: DataFrame, keys: Callable, answer: Callable, n_keys: int,
 
     sent = "chunk long, bucket int, keys binary"
     if extra is None:
-        blobs = given.groupBy("chunk").applyInArrow(lambda t: send(t), sent)
+        blobs = chunked.groupBy("chunk").applyInArrow(lambda t: send(t), sent)
     else:
-        blobs = given.groupBy("chunk").cogroup(extra.groupBy("chunk")).applyInArrow(lambda t, r: send(t, r), sent)
+        blobs = chunked.groupBy("chunk").cogroup(extra.groupBy("chunk")).applyInArrow(lambda t, r: send(t, r), sent)
     return blobs.groupBy("bucket").applyInArrow(reply, REPLY)
 
 

@@ -7,9 +7,10 @@
    links to none and leaves here: what goes on are copies and near copies. Equal sets become one node.
 3. Nodes meet in tiles: (shared prefix shingle, band of sizes), with the next band visiting, as sizes that link differ by a
    quarter at most. Large tiles split into blocks, a pair of blocks a task. In a tile, popcounts of the nodes' hashed
-   bitmaps bound the overlap from above; pairs that the bound leaves are intersected exactly. A first round links each
-   node to its tile's first; the second compares the pairs that are not yet connected, whatever tile they share, so no link
-   between components is missed and groups of thousands of copies don't make all their pairs.
+   bitmaps bound the overlap from above; pairs that the bound leaves are intersected exactly. Two rounds link nodes to their
+   tile's centres, its least odd nodes, as originals are among edited copies; the last compares the pairs that are not yet
+   connected, whatever tile they share, so no link between components is missed and groups of thousands of copies don't
+   make all their pairs.
 4. Links make components by label propagation on tables.
 
 No caps: prefixes, tiles and bounds are exact; only 64-bit hash collisions (128 for whole sets) could mislead.
@@ -102,16 +103,17 @@ def bitmap(tokens: np.ndarray) -> bytes:
 
 def profiles(docs: DataFrame, text: str, keep_text: bool = False) -> DataFrame:
     """Of every document: its columns (the text only if keep_text), n_shingles, and for those that may link the set's key, sorted
-    tokens and the shared tokens of its prefix."""
+    tokens, the shared tokens of its prefix, and its oddness: the share of tokens that no other document has. An original
+    is less odd than its edited copies."""
     chunked, total = packed.in_chunks(docs, text)
     n_keys = total // 6
     buckets = max(1, -(-n_keys // packed.BUCKET_KEYS))
     codes = packed.exchange(chunked, _keys(text), _frequencies, n_keys, _pack(buckets))
-    added = T._parse_datatype_string("n_shingles bigint, set_key binary, tokens binary, prefix array<bigint>")
+    added = T._parse_datatype_string("n_shingles bigint, set_key binary, tokens binary, prefix array<bigint>, oddness double")
     out = T.StructType([f for f in docs.schema.fields if keep_text or f.name != text] + added.fields)
 
     def look(table: pa.Table, replies: pa.Table) -> pa.Table:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         if len(table):
             found = shingles(table.column(text).to_pylist())
             every = np.unique(np.concatenate([np.zeros(0, U64), *found]))
@@ -120,16 +122,16 @@ def profiles(docs: DataFrame, text: str, keep_text: bool = False) -> DataFrame:
                 n = len(s)
                 code = reply[np.searchsorted(every, s)] if n else np.zeros(0, np.uint8)
                 alone, length = int(np.count_nonzero(code == 0)), n - need(n) + 1
-                row = (n, None, None, None)
+                row = (n, None, None, None, None)
                 if n and alone < length:
                     shared = np.flatnonzero(code)
                     rare = shared[np.lexsort((s[shared], code[shared]))][: length - alone]
                     twice = int(packed.mix(s).sum(dtype=U64)), int(packed.mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
-                    row = n, b"".join(x.to_bytes(8, "little") for x in (n, *twice)), s.astype("<u8").tobytes(), s[rare].view(np.int64).tolist()
+                    row = n, b"".join(x.to_bytes(8, "little") for x in (n, *twice)), s.astype("<u8").tobytes(), s[rare].view(np.int64).tolist(), alone / n - float(code.mean()) / 1000
                 for column, x in zip(rows, row, strict=True):
                     column.append(x)
         left = table.drop_columns(["chunk"] if keep_text else ["chunk", text])
-        for name, column, kind in zip(added.fieldNames(), rows, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True):
+        for name, column, kind in zip(added.fieldNames(), rows, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()), strict=True):
             left = left.append_column(name, pa.array(column, kind))
         return left
 
@@ -208,34 +210,50 @@ def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(token, tile, home, node): every node at home in its own band's tile, and visiting the next lower band's."""
-    at = nodes.select("node", "n", "bits", "root", F.explode("prefix").alias("token"))
-    return at.select("token", "node", "n", "bits", "root", F.explode(F.array(
-        F.struct(band(F.col("n")).alias("tile"), F.lit(True).alias("home")), F.struct((band(F.col("n")) - 1).alias("tile"), F.lit(False).alias("home")))).alias("t")).select("token", "t.*", "node", "n", "bits", "root")
+    """(token, tile, home, node, ...): every node at home in its own band's tile, and visiting the next lower band's."""
+    at = nodes.select("node", "n", "bits", "oddness", "root", F.explode("prefix").alias("token"))
+    return at.select("token", "node", "n", "bits", "oddness", "root", F.explode(F.array(
+        F.struct(band(F.col("n")).alias("tile"), F.lit(True).alias("home")), F.struct((band(F.col("n")) - 1).alias("tile"), F.lit(False).alias("home")))).alias("t")).select(
+            "token", "t.*", "node", "n", "bits", "oddness", "root")
+
+
+KEY = ["token", "tile"]
+
+
+def _star(members: DataFrame, again: bool) -> DataFrame:
+    """Pairs of a tile's least odd node at home with the others; again: of the least odd one outside that node's component
+    with those outside its own."""
+    best = F.min(F.struct("oddness", "node", "root"))
+    lead = members.where("home").groupBy(*KEY).agg(best.alias("lead"))
+    if again:
+        rest = members.where("home").join(lead, KEY).where(F.col("root") != F.col("lead.root"))
+        lead = rest.groupBy(*KEY).agg(best.alias("lead"))
+    other = members.select(*KEY, "node", "root").join(lead, KEY).where(F.col("node") != F.col("lead.node"))
+    other = other.where(F.col("root") != F.col("lead.root"))
+    return other.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def _rooted(light: DataFrame, found: DataFrame) -> DataFrame:
+    return stage(light.drop("root").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (node, n, tokens, bits, prefix) that connect every component."""
-    key = ["token", "tile"]
-    light = nodes.select("node", "n", "bits", "prefix", F.col("node").alias("root"))
-    members = _members(light)
-    # round 1: each node with the first node at home in its tile
-    firsts = members.where("home").groupBy(*key).agg(F.min("node").alias("first"))
-    star = members.select(*key, "node").join(firsts, key).where("node <> first").select(
-        F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
-    star = _allowed(star, light)
-    first = stage(_linked(star, nodes))
-    roots = components(first)
-    # round 2: what still lies in different components of a tile
-    known = light.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = _members(stage(known))
-    mixed = members.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("any")).where("low <> high and any")
-    mixed = mixed.select(*key, F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    dealt = members.join(mixed, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Links (a, b) between nodes (node, n, tokens, bits, prefix, oddness) that connect every component."""
+    light = nodes.select("node", "n", "bits", "prefix", "oddness", F.col("node").alias("root"))
+    # two rounds of stars: an original connects its copies, and what it leaves has one more centre
+    found = stage(_linked(_allowed(_star(_members(light), False), light), nodes))
+    known = _rooted(light, found)
+    found = stage(found.union(_linked(_allowed(_star(_members(known), True), light), nodes)))
+    # then every pair that still lies in different components of a tile; tiles of the same nodes are looked at once
+    members = _members(_rooted(light, found))
+    who = lambda salt: F.sum(F.pmod(F.xxhash64(F.lit(salt), "node", "home"), F.lit(1 << 40)))
+    mixed = members.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("any"), who(1).alias("s1"), who(2).alias("s2")).where("low <> high and any")
+    mixed = mixed.groupBy("tile", "size", "s1", "s2").agg(F.min("token").alias("token")).select(*KEY, F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+    dealt = members.join(mixed, KEY).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        *key, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "home", "node", "n", "bits", "root")
-    pairs = dealt.groupBy(*key, "x", "y").applyInArrow(_tile, PAIRS).distinct()
-    return first.union(stage(_linked(pairs, nodes)))
+        *KEY, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "home", "node", "n", "bits", "root")
+    pairs = dealt.groupBy(*KEY, "x", "y").applyInArrow(_tile, PAIRS).distinct()
+    return found.union(stage(_linked(pairs, nodes)))
 
 
 def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -259,20 +277,23 @@ def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs (without the text unless keep_text) with n_shingles, component_id, and is_first: true for one row of each
     component, that of the least id."""
-    taken = ["chunk", "n_shingles", "component_id", "is_first", "set_key", "tokens", "prefix", "_least", "_row"]
+    taken = ["chunk", "n_shingles", "oddness", "component_id", "is_first", "set_key", "tokens", "prefix", "_least", "_row"]
     given = docs.select(*[quoted(c) for c in others(docs, taken)])
     found = stage(profiles(given, text, keep_text).withColumn("_row", F.monotonically_increasing_id()))
     least = F.min(F.struct(quoted(doc_id).isNull().alias("none"), quoted(doc_id).alias("id"), F.col("_row").alias("row")))
     sets = found.where("set_key is not null").groupBy("set_key").agg(
-        least.alias("least"), F.first("n_shingles").alias("n"), F.first(F.struct("tokens", "prefix")).alias("s"))
+        least.alias("least"), F.first("n_shingles").alias("n"), F.first(F.struct("tokens", "prefix", "oddness")).alias("s"))
     bits = F.pandas_udf(_bitmaps, "binary")
-    nodes = stage(sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "least", "n", "s.tokens", "s.prefix", bits("s.tokens").alias("bits")))
+    nodes = stage(sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "least", "n", "s.tokens", "s.prefix", "s.oddness", bits("s.tokens").alias("bits")))
     roots = components(links(nodes))
     placed = nodes.select("node", "set_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = placed.join(placed.groupBy("root").agg(F.min("least").alias("_least")), "root").select("set_key", "_least")
     keep = [quoted(c) for c in given.columns if keep_text or c != text]
-    return found.select(*keep, "n_shingles", "set_key", "_row").join(labels, "set_key", "left").select(
-        *keep, "n_shingles", F.coalesce("_least.id", quoted(doc_id)).alias("component_id"), F.coalesce(F.col("_row") == F.col("_least.row"), F.lit(True)).alias("is_first"))
+    least_id = F.coalesce("_least.id", quoted(doc_id)).alias("component_id")
+    linked = found.where("set_key is not null").join(labels, "set_key").select(*keep, "n_shingles", least_id, (F.col("_row") == F.col("_least.row")).alias("is_first"))
+    # most documents have no key: joining them would send all to the task of the null key
+    alone = found.where("set_key is null").select(*keep, "n_shingles", quoted(doc_id).alias("component_id"), F.lit(True).alias("is_first"))
+    return linked.unionByName(alone)
 
 
 def _bitmaps(tokens):

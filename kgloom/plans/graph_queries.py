@@ -14,8 +14,8 @@ WITH = "WITH RECURSIVE " + v.SQL
 KP = ", ".join(g.KP_COLUMNS)
 
 
-def _graph(f):
-    return lambda spark, d: f(v.graph(spark, d))
+def _graph(f, parts=v.DAG_PARTS):
+    return lambda spark, d: f(v.graph(spark, d, parts))
 
 
 def _dag(x):
@@ -66,8 +66,8 @@ def _exists(spark, d):
     return found_action(rows, x.kps, "kp_id")
 
 
-def _reach(x):
-    starts = _kp_nodes(x).where("substring(node, 8, 1) in ('2', '7')")
+def _reach(x, some=True):
+    starts = _kp_nodes(x).where("substring(node, 8, 1) in ('2', '7')") if some else _kp_nodes(x)
     fwd = a.reachable(_dag(x), starts).select(F.lit("forward").alias("direction"), "start", "node", "distance")
     return fwd.unionAll(a.reachable(_dag(x), starts, True).select(F.lit("backward"), "start", "node", "distance"))
 
@@ -96,45 +96,69 @@ def _replay(spark, d):
     return review.replay(base, items, "node", ["label", "value"]).select("node", "label", F.col("value").cast("double").alias("value"))
 
 
+#: What is built on PREREQUISITE edges.
+ANALYTICS = {
+    "out_neighbors": lambda x: g.out_neighbors(x, "PREREQUISITE"),
+    "in_neighbors": lambda x: g.in_neighbors(x, "PREREQUISITE"),
+    "backbone": _kp_nodes,
+    "layer_depth": lambda x: a.layer_depth(_kp_nodes(x), _dag(x)),
+    "main_chain_height": lambda x: a.heights(_dag(x)),
+    "main_chain": _main,
+    "reachability": _reach,
+    "focus_subgraph": _focus,
+    "roles": lambda x: a.roles(_typed(x), x.edges, _main(x)),
+    "style_roles": lambda x: a.style_roles(_typed(x), x.edges, _main(x)),
+    "nearest_main": lambda x: a.nearest_main(_typed(x), x.edges, _main(x)),
+    "chain_edges": lambda x: a.chain_edges(_dag(x).withColumn("ord", F.concat_ws("|", "src", "dst")), _main(x)),
+    "graph_stats": g.stats,
+    "graph_edges": g.export_edges,
+    "subgraph_by_chapter": _subgraph,
+    "in_degree": lambda x: a.degrees(_typed(x), x.edges),
+    "detach_delete": _detach,
+}
+
 QUERIES = {
     "health": lambda spark, d: g.health(spark),
-    "graph_stats": _graph(g.stats),
+    "graph_stats": _graph(ANALYTICS["graph_stats"]),
     "list_chapters": _graph(g.list_chapters),
     "chapter_detail": _graph(g.chapter_kps),
     "chapter_page": _graph(lambda x: g.chapter_detail(x, CHAPTER)),
     "search_topk": _graph(lambda x: g.search_kps(x, WORD)),
     "editor_search": _graph(lambda x: g.editor_search(x, "00001")),
     "point_lookup": _graph(lambda x: g.lookup(x, NODE)),
-    "out_neighbors": _graph(lambda x: g.out_neighbors(x, "PREREQUISITE")),
-    "in_neighbors": _graph(lambda x: g.in_neighbors(x, "PREREQUISITE")),
+    "out_neighbors": _graph(ANALYTICS["out_neighbors"]),
+    "in_neighbors": _graph(ANALYTICS["in_neighbors"]),
     "undirected_neighbors": _graph(lambda x: g.undirected_neighbors(x, NODE)),
     "graph_nodes": _graph(lambda x: g.export_nodes(x).select("id", "label", "type")),
-    "graph_edges": _graph(g.export_edges),
-    "subgraph_by_chapter": _graph(_subgraph),
+    "graph_edges": _graph(ANALYTICS["graph_edges"]),
+    "subgraph_by_chapter": _graph(ANALYTICS["subgraph_by_chapter"]),
     "topk_chapters": _graph(g.top_chapters),
     "type_counts": _graph(g.type_counts),
     "kp_card": _graph(g.kp_card),
-    "backbone": _graph(_kp_nodes),
-    "layer_depth": _graph(lambda x: a.layer_depth(_kp_nodes(x), _dag(x))),
-    "main_chain_height": _graph(lambda x: a.heights(_dag(x))),
-    "main_chain": _graph(_main),
-    "reachability": _graph(_reach),
-    "focus_subgraph": _graph(_focus),
-    "roles": _graph(lambda x: a.roles(_typed(x), x.edges, _main(x))),
-    "style_roles": _graph(lambda x: a.style_roles(_typed(x), x.edges, _main(x))),
-    "nearest_main": _graph(lambda x: a.nearest_main(_typed(x), x.edges, _main(x))),
-    "chain_edges": _graph(lambda x: a.chain_edges(_dag(x).withColumn("ord", F.concat_ws("|", "src", "dst")), _main(x))),
+    "backbone": _graph(ANALYTICS["backbone"]),
+    "layer_depth": _graph(ANALYTICS["layer_depth"]),
+    "main_chain_height": _graph(ANALYTICS["main_chain_height"]),
+    "main_chain": _graph(ANALYTICS["main_chain"]),
+    "reachability": _graph(ANALYTICS["reachability"]),
+    "focus_subgraph": _graph(ANALYTICS["focus_subgraph"]),
+    "roles": _graph(ANALYTICS["roles"]),
+    "style_roles": _graph(ANALYTICS["style_roles"]),
+    "nearest_main": _graph(ANALYTICS["nearest_main"]),
+    "chain_edges": _graph(ANALYTICS["chain_edges"]),
     "slots": _graph(_slots),
-    "in_degree": _graph(lambda x: a.degrees(_typed(x), x.edges)),
-    "layered_positions": _graph(lambda x: a.layered_positions(a.layer_depth(_kp_nodes(x), _dag(x)), _dag(x)).select("node", F.round("x", 3).alias("x"), "y")),
+    "in_degree": _graph(ANALYTICS["in_degree"]),
+    "layered_positions": _graph(lambda x: a.layered_positions(a.layer_depth(_kp_nodes(x), _dag(x)), _dag(x)).select("node", F.round("x", 3).alias("x"), "y"), None),
     "merge_nodes": _merge_nodes,
     "merge_edges": _merge_edges,
-    "detach_delete": _graph(_detach),
+    "detach_delete": _graph(ANALYTICS["detach_delete"]),
     "exists_action": _exists,
     "unique_violations": lambda spark, d: store.violations(v.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
     "apply_replay": _replay,
 }
 
+# The same over every pair of parts, and from every start. Recursive SQL is too slow for whole tables: these have none.
+QUERIES |= {f"{name}_whole": _graph(f, None) for name, f in (ANALYTICS | {"reachability": lambda x: _reach(x, False)}).items()}
+
 # A longest chain in SQL: heights first, then at each node the successor of most height, the first name on ties.
 _HEIGHTS = """
 down AS (SELECT dst AS node, 1 AS h FROM dag UNION SELECT src, 1 FROM dag UNION SELECT d.src, down.h + 1 FROM dag d JOIN down ON d.dst = down.node),

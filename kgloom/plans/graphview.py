@@ -27,7 +27,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b is not null and a <> b").distinct()
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def graph(spark: SparkSession, sf_dir: str, parts: int | None = DAG_PARTS) -> Graph:
+    """The graph; its PREREQUISITE edges end at parts up to `parts`, or at any part where that is None."""
     chapters = read(spark, sf_dir, "nation").select(_key("CH", F.col("n_nationkey"), 2).alias("chapter_id"), F.col("n_name").alias("title"), F.col("n_nationkey").cast("bigint").alias("order"))
     kps = read(spark, sf_dir, "part").select(
         _key("KP", F.col("p_partkey"), 6).alias("kp_id"), F.col("p_name").alias("name"), _key("CH", F.col("p_partkey") % 25, 2).alias("chapter_id"), F.col("p_brand").alias("section"),
@@ -37,7 +38,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     edge = lambda df, s, d, t: df.select(s.alias("src"), d.alias("dst"), F.lit(t).alias("type"))
     edges = edge(kps, F.col("chapter_id"), F.col("kp_id"), "CONTAINS").unionAll(
         edge(adjacent, _key("KP", F.col("a"), 6), _key("KP", F.col("b"), 6), "RELATED")).unionAll(
-        edge(adjacent.where(f"a < b and b <= {DAG_PARTS}"), _key("KP", F.col("a"), 6), _key("KP", F.col("b"), 6), "PREREQUISITE")).unionAll(
+        edge(adjacent.where("a < b" if parts is None else f"a < b and b <= {parts}"), _key("KP", F.col("a"), 6), _key("KP", F.col("b"), 6), "PREREQUISITE")).unionAll(
         edge(read(spark, sf_dir, "supplier"), _key("EX", F.col("s_suppkey"), 6), _key("KP", F.col("s_suppkey"), 6), "EXAMPLE_OF"))
     return Graph(chapters, kps, examples, edges)
 

@@ -1,0 +1,20 @@
+import hashlib
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+import test_lines
+
+import __spark_entry__ as entry
+
+
+def test_single_lines_go(spark, tmp_path):
+    """A shared passage between lines of its own and exact copies of one-line documents, which runs of two lines leave."""
+    rows = [(0, "own a\nshared passage\nown b", "en"), (1, "own c\n\nshared passage\nown d", "en"), (2, "one line only", "en"), (3, "one line only", "en"), (4, None, "en"), (5, "z\nz", "en")]
+    d = str(tmp_path)
+    spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = {(i, n, k, sha(t)) for i, n, k, t in test_lines.brute([{"doc_id": r[0], "text": r[1]} for r in rows], 1)}
+    got = {tuple(r) for r in entry.queries()["op2_line_dedup_whole"](spark, d).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()}
+    assert got == want and {(r[0], r[2]) for r in got if r[2]} == {(1, 1), (3, 1), (5, 1)}

@@ -77,8 +77,8 @@ def _priority(spark, d):
     return resolve.prioritized(links, index(p.where("k % 5 = 0"), "N"), index(p.where("k % 2 = 0"), "O"), s.norm_fuse)
 
 
-def _pages(spark, d):
-    p = read(spark, d, "pages").select(F.lit("job").alias("job_id"), F.col("page_id").cast("int").alias("page"), F.substring("html", 1, 30).alias("text"))
+def _pages(spark, d, text="substring(html, 1, 30)"):
+    p = read(spark, d, "pages").select(F.lit("job").alias("job_id"), F.col("page_id").cast("int").alias("page"), F.expr(text).alias("text"))
     return files.page_window(p, 5, 9).unionAll(files.page_window(p))
 
 
@@ -103,6 +103,7 @@ QUERIES = {
     "json_props": lambda spark, d: read(spark, d, "events").select("event_id", F.size(F.json_object_keys("props")).alias("n_keys")),
     "json_repair": lambda spark, d: _json_rows(spark, d).select("event_id", F.get_json_object("fixed", "$.note").alias("note"), F.try_parse_json("fixed").isNotNull().alias("parses")),
     "page_window": _pages,
+    "page_window_whole": lambda spark, d: _pages(spark, d, "html"),
 }
 
 SQL = {

@@ -68,12 +68,13 @@ def _terms(spark, d):
 TERMS = f"terms AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM benchmark) WHERE length(term) >= {TERM})"
 
 
-def _candidates(spark, d):
-    """Candidates from documents with labels: the first words are the name."""
+def _candidates(spark, d, whole=False):
+    """Candidates from documents with labels: the first words are the name, the first characters, or all, the texts."""
     docs = read(spark, d, "documents").where("text is not null").join(read(spark, d, "labels"), "doc_id")
     name = F.array_join(F.slice(F.split("text", " "), 1, 2), " ")
-    return docs.select("doc_id", name.alias("name"), F.when(F.col("quality") == 1, "syntax").when(F.col("toxic") == 1, "odd").otherwise("other").alias("category"), F.substring("text", 1, 20).alias("summary"),
-                       F.substring("text", 1, 45).alias("description"), F.when(F.col("doc_id") % 2 == 0, "x").otherwise("").alias("code_example"), F.when(F.col("doc_id") % 5 == 0, "MethodPattern").alias("candidate_type"),
+    summary, description = (F.col("text"), F.col("text")) if whole else (F.substring("text", 1, 20), F.substring("text", 1, 45))
+    return docs.select("doc_id", name.alias("name"), F.when(F.col("quality") == 1, "syntax").when(F.col("toxic") == 1, "odd").otherwise("other").alias("category"), summary.alias("summary"),
+                       description.alias("description"), F.when(F.col("doc_id") % 2 == 0, "x").otherwise("").alias("code_example"), F.when(F.col("doc_id") % 5 == 0, "MethodPattern").alias("candidate_type"),
                        F.when(F.col("doc_id") % 7 == 0, "KP1").alias("duplicate_of"))
 
 
@@ -82,8 +83,8 @@ def _seeds(spark, d):
     return read(spark, d, "nation").select(F.initcap(F.col("n_name")).alias("name"))
 
 
-def _scored(spark, d):
-    return quality.score(quality.with_similarity(_candidates(spark, d), _seeds(spark, d)))
+def _scored(spark, d, whole=False):
+    return quality.score(quality.with_similarity(_candidates(spark, d, whole), _seeds(spark, d)))
 
 
 _ANCHORS = "[" + ", ".join(f"'{a}'" for a in quality.t.ANCHORS) + "]"
@@ -159,9 +160,12 @@ QUERIES = {
     "jaccard_pairs": lambda spark, d: dedup.near_pairs(_candidates(spark, d), _seeds(spark, d), 0.5).withColumn("similarity", F.round("similarity", 6)),
     "quality_score": lambda spark, d: _scored(spark, d).select("doc_id", "quality_score"),
     "hard_reject": lambda spark, d: _scored(spark, d).select("doc_id", "quality_hard_reject"),
-    "quality_reasons": lambda spark, d: _scored(spark, d).select("doc_id", F.size("quality_reasons").alias("n")),
+    "quality_reasons": lambda spark, d: _scored(spark, d, True).select("doc_id", F.size("quality_reasons").alias("n")),
     "gate_report": lambda spark, d: dedup.pass_rate(_scored(spark, d).select(quality.passes().alias("passed"))),
     "greedy_dedup": _greedy,
+    "quality_score_whole": lambda spark, d: _scored(spark, d, True).select("doc_id", "quality_score"),
+    "hard_reject_whole": lambda spark, d: _scored(spark, d, True).select("doc_id", "quality_hard_reject"),
+    "gate_report_whole": lambda spark, d: dedup.pass_rate(_scored(spark, d, True).select(quality.passes().alias("passed"))),
 }
 
 SQL = {

@@ -39,3 +39,25 @@ def test_positions(spark, far):
     got = {r["node"]: r["y"] for r in catalog.queries()["layered_positions"](spark, far).collect()}
     depth = {r["node"]: r["depth"] * 120.0 for r in catalog.queries()["layer_depth_whole"](spark, far).collect()}
     assert got == depth and max(got) > "KP000200"
+
+
+@pytest.mark.parametrize("name", ["quality_score", "hard_reject", "gate_report", "page_window"])
+def test_texts(spark, name):
+    sql, duck = catalog.oracle_sql()[name], views(D)
+    whole = sql.replace("substr(d.text, 1, 20)", "d.text").replace("substr(d.text, 1, 45)", "d.text").replace("substr(html, 1, 30)", "html")
+    want = rows(duck.sql(whole).df())
+    assert whole != sql and rows(catalog.queries()[f"{name}_whole"](spark, D).toPandas()) == want
+    assert want != rows(duck.sql(sql).df()) or name in ("hard_reject", "gate_report")
+
+
+def test_long_texts(spark, tmp_path):
+    """An anchor word and twelve characters that only stand behind the cuts."""
+    c = views(D, ["nation"])
+    c.sql(f"COPY (SELECT * FROM nation) TO '{tmp_path}/nation.parquet' (FORMAT parquet)")
+    text = "some words " + " " * 40 + "and then the anchor 指针"
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    q = catalog.queries()
+    score = {k: q[k](spark, str(tmp_path)).first()[1] for k in ("quality_score", "quality_score_whole", "quality_reasons", "hard_reject", "hard_reject_whole")}
+    assert score["hard_reject"] == "description_too_short" and score["hard_reject_whole"] is None
+    assert score["quality_score_whole"] == score["quality_score"] + 38 and score["quality_reasons"] == 2

@@ -36,9 +36,9 @@ def _typed(x):
     return x.nodes().select("id", "type")
 
 
-def _merge_nodes(spark, d):
+def _merge_nodes(spark, d, which="l_partkey % 3 = 0"):
     x = v.graph(spark, d)
-    rows = v.read(spark, d, "lineitem").where("l_partkey % 3 = 0").select(
+    rows = v.read(spark, d, "lineitem").where(which).select(
         v._key("KP", F.col("l_partkey") * 2, 6).alias("kp_id"), F.concat(F.lit("part "), F.col("l_suppkey").cast("string")).alias("name"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("section"),
         F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_partkey").alias("ord"))
     return store.merge_nodes(x.kps.select("kp_id", "name", "section", "chapter_id"), rows, "kp_id", ["name", "section"])
@@ -88,11 +88,12 @@ def _slots(x):
 
 
 def _replay(spark, d):
+    """All events are the base and the log as well; the log has nodes from 500 on that the base doesn't."""
     e = v.read(spark, d, "events")
-    node = (F.col("user_id") % 500).cast("string")
-    base = e.where("event_id % 7 = 0").groupBy(node.alias("node")).agg(F.max("event_type").alias("label"), F.max(F.col("value").cast("string")).alias("value"))
+    node = (F.col("user_id") % 600).cast("string")
+    base = e.groupBy((F.col("user_id") % 500).cast("string").alias("node")).agg(F.max("event_type").alias("label"), F.max(F.col("value").cast("string")).alias("value"))
     action = F.when(F.col("event_id") % 11 == 0, "delete").when(F.col("event_id") % 3 == 0, "add").otherwise("update")
-    items = e.where("event_id % 5 <> 0").select(F.col("event_id").alias("seq"), action.alias("action"), node.alias("node"), F.nullif(F.col("event_type"), F.lit("click")).alias("label"), F.col("value").cast("string").alias("value"))
+    items = e.select(F.col("event_id").alias("seq"), action.alias("action"), node.alias("node"), F.nullif(F.col("event_type"), F.lit("click")).alias("label"), F.col("value").cast("string").alias("value"))
     return review.replay(base, items, "node", ["label", "value"]).select("node", "label", F.col("value").cast("double").alias("value"))
 
 
@@ -149,6 +150,7 @@ QUERIES = {
     "in_degree": _graph(ANALYTICS["in_degree"]),
     "layered_positions": _graph(lambda x: a.layered_positions(a.layer_depth(_kp_nodes(x), _dag(x)), _dag(x)).select("node", F.round("x", 3).alias("x"), "y"), None),
     "merge_nodes": _merge_nodes,
+    "merge_nodes_whole": lambda spark, d: _merge_nodes(spark, d, "true"),
     "merge_edges": _merge_edges,
     "detach_delete": _graph(ANALYTICS["detach_delete"]),
     "exists_action": _exists,

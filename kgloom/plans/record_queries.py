@@ -70,6 +70,13 @@ def _rollup(spark, d):
     return dedup.chapter_rollup(ch, sec)
 
 
+def _rollup_whole(spark, d):
+    """All documents, over 20 of the 25 chapters; the others have none."""
+    ch = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("chapter_id"))
+    sec = read(spark, d, "documents").select((F.col("doc_id") % 20).cast("string").alias("chapter_id"), F.col("n_chars").alias("char_count"), (F.col("doc_id") % 3).alias("code_block_count"))
+    return dedup.chapter_rollup(ch, sec)
+
+
 def _priority(spark, d):
     p = read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"))
     index = lambda df, x: df.groupBy(s.norm_fuse(F.col("name")).alias("key")).agg(F.max(F.concat(F.lit(x), F.col("k").cast("string"))).alias("value"))
@@ -77,6 +84,15 @@ def _priority(spark, d):
     return resolve.prioritized(links, index(p.where("k % 5 = 0"), "N"), index(p.where("k % 2 = 0"), "O"), s.norm_fuse)
 
 
+def _priority_whole(spark, d):
+    """All parts are links and in both indexes, some of them by a name that differs."""
+    p = read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"))
+    index = lambda n, x: p.groupBy(s.norm_fuse(F.when(F.col("k") % n == 0, F.col("name")).otherwise(F.concat("name", F.lit("!")))).alias("key")).agg(
+        F.max(F.concat(F.lit(x), F.col("k").cast("string"))).alias("value"))
+    links = p.select(F.when(F.col("k") % 6 == 0, F.upper("name")).when(F.col("k") % 6 == 3, F.concat("name", F.lit("?"))).when(F.col("k") % 6 == 1, F.concat("name", F.lit("!"))).otherwise(F.col("name")).alias("name"), "k")
+    return resolve.prioritized(links, index(5, "N"), index(2, "O"), s.norm_fuse)
+
+
 def _pages(spark, d, text="substring(html, 1, 30)"):
     p = read(spark, d, "pages").select(F.lit("job").alias("job_id"), F.col("page_id").cast("int").alias("page"), F.expr(text).alias("text"))
     return files.page_window(p, 5, 9).unionAll(files.page_window(p))
@@ -97,7 +113,9 @@ QUERIES = {
     "seq_ids": _seq,
     "round_robin": lambda spark, d: dedup.round_robin(_seq(spark, d).withColumn("seq", F.col("seq") - 9000), 7).select("conv_id", "turn", "slot"),
     "chapter_rollup": _rollup,
+    "chapter_rollup_whole": _rollup_whole,
     "priority_lookup": _priority,
+    "priority_lookup_whole": _priority_whole,
     "review_latest": lambda spark, d: review.latest(_reviews(spark, d)),
     "job_state": lambda spark, d: review.job_state(read(spark, d, "events").select((F.col("user_id") % 200).alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), "value")),
     "json_props": lambda spark, d: read(spark, d, "events").select("event_id", F.size(F.json_object_keys("props")).alias("n_keys")),

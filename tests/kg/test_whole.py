@@ -61,3 +61,51 @@ def test_long_texts(spark, tmp_path):
     score = {k: q[k](spark, str(tmp_path)).first()[1] for k in ("quality_score", "quality_score_whole", "quality_reasons", "hard_reject", "hard_reject_whole")}
     assert score["hard_reject"] == "description_too_short" and score["hard_reject_whole"] is None
     assert score["quality_score_whole"] == score["quality_score"] + 38 and score["quality_reasons"] == 2
+
+
+def test_all_rows(spark):
+    """Nothing is filtered out: merged nodes, sections, links."""
+    sql, duck, q = catalog.oracle_sql(), views(D), catalog.queries()
+    for name, cuts in {"merge_nodes": [(" WHERE l_partkey % 3 = 0", "")], "chapter_rollup": [(" WHERE doc_id % 30 >= 5", ""), ("doc_id % 30", "doc_id % 20")]}.items():
+        whole = sql[name]
+        for old, new in cuts:
+            assert old in whole
+            whole = whole.replace(old, new)
+        want = rows(duck.sql(whole).df())
+        assert rows(q[f"{name}_whole"](spark, D).toPandas()) == want != rows(duck.sql(sql[name]).df())
+    assert q["chapter_rollup_whole"](spark, D).selectExpr("sum(sections)").first()[0] == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+
+
+def test_priority(spark):
+    parts = views(D).sql("SELECT p_name, p_partkey FROM part").fetchall()
+    key = lambda n: "".join(n.lower().split())
+    new, old = {}, {}
+    for n, k in parts:
+        for index, by, x in ((new, 5, "N"), (old, 2, "O")):
+            at = key(n) + ("" if k % by == 0 else "!")
+            index[at] = max(index.get(at, ""), f"{x}{k}")
+    link = lambda n, k: {0: n.upper(), 3: n + "?", 1: n + "!"}.get(k % 6, n)
+    want = {(link(n, k), k): new.get(key(link(n, k)), old.get(key(link(n, k)))) for n, k in parts}
+    got = {(r["name"], r["k"]): r["kp_id"] for r in catalog.queries()["priority_lookup_whole"](spark, D).collect()}
+    assert got == want and len({(v or "-")[0] for v in want.values()}) == 3
+
+
+def test_replay(spark):
+    """Every event is played, over a base of every event."""
+    events = views(D).sql("SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id").fetchall()
+    text = spark.read.parquet(f"{D}/events.parquet").selectExpr("event_id", "cast(value as string) AS value")  # numbers as Spark writes them
+    values, state = {r["event_id"]: r["value"] for r in text.collect()}, {}
+    for i, u, t, _ in events:
+        label, value = state.get(str(u % 500), ("", ""))
+        state[str(u % 500)] = (max(label, t), max(value, values[i] or ""))
+    for i, u, t, _ in events:
+        n, row = str(u % 600), (None if t == "click" else t, values[i])
+        if i % 11 == 0:
+            state.pop(n, None)
+        elif i % 3 == 0:
+            state[n] = row
+        elif n in state:
+            state[n] = tuple(b if a is None else a for a, b in zip(row, state[n], strict=True))
+    want = {n: (a, None if b is None else float(b)) for n, (a, b) in state.items()}
+    got = {r["node"]: (r["label"], r["value"]) for r in catalog.queries()["apply_replay"](spark, D).collect()}
+    assert got == want

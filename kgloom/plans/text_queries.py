@@ -13,6 +13,8 @@ DOCS = "SELECT doc_id, text FROM documents WHERE text IS NOT NULL"
 LINES = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, (unnest(range(len(string_split(text, chr(10))))))::INTEGER AS i FROM ({DOCS})),
 p AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS strip FROM l)"""
 TERM = 6
+#: Characters of a term in the whole forms, as in the reference.
+LEAST = 2
 
 
 def _lines(spark, d):
@@ -59,10 +61,10 @@ def _dictionary(spark):
     return k.select(s.norm_rules(F.col("name")).alias("key"), F.struct("kp_id", "name").alias("value"), F.col("ord").alias("ordinal"))
 
 
-def _terms(spark, d):
+def _terms(spark, d, least=TERM):
     """Words of the benchmark texts, numbered by themselves."""
     b = read(spark, d, "benchmark")
-    return b.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where(f"length(term) >= {TERM}").distinct()
+    return b.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where(f"length(term) >= {least}").distinct()
 
 
 TERMS = f"terms AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM benchmark) WHERE length(term) >= {TERM})"
@@ -108,10 +110,10 @@ def _greedy(spark, d):
     return dedup.greedy(c.select(F.col("doc_id").alias("ord"), F.col("category").alias("section_key"), "name"))
 
 
-def _resolved(spark, d):
-    t = _terms(spark, d)
+def _resolved(spark, d, least=TERM, key=9):
+    t = _terms(spark, d, least)
     names = t.select(F.substring("term", 1, 5).alias("name")).distinct()
-    dictionary = t.where("length(term) >= 9").select(F.col("term").alias("key"), F.upper("term").alias("value"), F.crc32(F.col("term").cast("binary")).alias("x"), F.length("term").alias("n")).select("key", "value", F.struct("n", "key").alias("ordinal"))
+    dictionary = t.where(f"length(term) >= {key}").select(F.col("term").alias("key"), F.upper("term").alias("value"), F.crc32(F.col("term").cast("binary")).alias("x"), F.length("term").alias("n")).select("key", "value", F.struct("n", "key").alias("ordinal"))
     return resolve.resolve(names, dictionary, s.norm_rules, 3)
 
 
@@ -127,12 +129,12 @@ def _cleaned(spark, d):
     return text.clean_document(read(spark, d, "documents").where("text is not null"))
 
 
-def _matched(spark, d):
-    return resolve.term_hits(read(spark, d, "documents").where("text is not null").select("doc_id", F.lower("text").alias("text")), _terms(spark, d))
+def _matched(spark, d, least=TERM):
+    return resolve.term_hits(read(spark, d, "documents").where("text is not null").select("doc_id", F.lower("text").alias("text")), _terms(spark, d, least))
 
 
-def _longest(spark, d):
-    hits = _matched(spark, d).select(F.col("doc_id").alias("section_key"), F.substring("term", 1, 1).alias("kp_id"), "term", F.crc32(F.col("term").cast("binary")).alias("ord"))
+def _longest(spark, d, least=TERM):
+    hits = _matched(spark, d, least).select(F.col("doc_id").alias("section_key"), F.substring("term", 1, 1).alias("kp_id"), "term", F.crc32(F.col("term").cast("binary")).alias("ord"))
     return dedup.longest_term(hits).select("section_key", "kp_id", F.length("term").alias("n"))
 
 
@@ -152,6 +154,9 @@ QUERIES = {
     "term_match": _matched,
     "longest_term": _longest,
     "resolve_partial": _resolved,
+    "term_match_whole": lambda spark, d: _matched(spark, d, LEAST),
+    "longest_term_whole": lambda spark, d: _longest(spark, d, LEAST),
+    "resolve_partial_whole": lambda spark, d: _resolved(spark, d, LEAST, LEAST),
     "mentions": lambda spark, d: extract.mentions(_sections(spark, d), _kps(spark).withColumnRenamed("name", "term").join(_kps(spark).select("kp_id", "name"), "kp_id")).drop("ord"),
     "prerequisite_rules": lambda spark, d: extract.prerequisites(_sections(spark, d), _dictionary(spark)),
     "alias_rules": lambda spark, d: extract.aliases(_sections(spark, d), _dictionary(spark)),

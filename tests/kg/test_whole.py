@@ -109,3 +109,11 @@ def test_replay(spark):
     want = {n: (a, None if b is None else float(b)) for n, (a, b) in state.items()}
     got = {r["node"]: (r["label"], r["value"]) for r in catalog.queries()["apply_replay"](spark, D).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["term_match", "longest_term", "resolve_partial"])
+def test_terms(spark, name):
+    """All terms of two characters or more, as keys as well."""
+    sql, duck = catalog.oracle_sql()[name], views(D)
+    want = rows(duck.sql(sql.replace("length(term) >= 6", "length(term) >= 2").replace("length(term) >= 9", "length(term) >= 2").replace("upper(term)", "replace(upper(term), 'ẞ', 'SS')")).df())  # as Java writes it
+    assert rows(catalog.queries()[f"{name}_whole"](spark, D).toPandas()) == want != rows(duck.sql(sql).df())

@@ -134,7 +134,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def layered_positions(depths: DataFrame, edges: DataFrame, gap_x: float = 160.0, gap_y: float = 120.0) -> DataFrame:
     """Coordinates by layer: nodes of a layer stand in the order of the mean place of their parents in the layer above,
-    centred. depths: node, depth. One pass by layer, over tables."""
+    centred. The reference's relaxation and nudges after it are left out. depths: node, depth. One pass by layer, over tables."""
     last = depths.agg(F.max("depth").alias("m")).first()["m"]
     placed = None
     for d in range((last if last is not None else -1) + 1):

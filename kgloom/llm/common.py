@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -20,20 +21,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the setting is missing (tests, local runs)."""
+    """The cluster's shared folder; a temporary one of this machine only where the setting is missing in a local run."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"kgloom-{os.getuid()}")
     return found.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/kgloom-stage/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/kgloom-stage/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a staged table that no later step reads."""
+    jvm = df.sparkSession._jvm
+    for name in {os.path.dirname(f) for f in df.inputFiles() if "/kgloom-stage/" in f}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def give_back() -> None:
+    """Spark keeps Python workers for the next stage: what this one freed goes back to the system first."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def others(df: DataFrame, names: list[str]) -> list[str]:
     """Columns of df that clash with none of names, whatever their case."""
     taken = {n.lower() for n in names}
@@ -70,6 +94,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]],
                 new = [pa.array([r[i] for r in rows], type=k.type) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + new,
                                                  names=keep + [k.name for k in kinds])
+        del work
+        give_back()
 
     return given.mapInArrow(run, out)
 

@@ -5,35 +5,76 @@ delete the boundary behind it, refresh the two neighbouring ranks, until no pair
 symbols use a heap with the same order (least rank, then leftmost), so that one endless word isn't quadratic.
 
 The vocabulary is read once, on the driver, from a path that is a parameter, and travels with the function: its size is
-that of the file. Normalization and splitting follow the file's own settings (NFC, white space, lower case, letters,
-single digits, runs of other characters); pieces never span white space, so results are kept per white-space token in a
-bounded table.
-
-Null or empty text has no tokens, and decodes to the empty text. Repeated rows are encoded alike. An empty table gives an
+that of the file. Normalization and splitting are those of SETTINGS (NFC, white space, lower case, letters, single digits,
+runs of other characters); a file with other settings is refused. What is a letter, a number or white space, and what
+NFC and lower case give, follows the Unicode tables of the tokenizers library, which differ from Python's in new code
+points: the driver asks the library for its classes. Pieces never span white space, so results are kept per white-space
+token in a bounded table.
+
+Null or empty text has no tokens, and decodes to the empty text. Texts of any length go in blocks of about BLOCK bytes, one
+text at least; ids leave as 32-bit Arrow lists. Repeated rows are encoded alike. An empty table gives an
 empty result. Columns that clash with the results give way.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
-import unicodedata
-from array import array
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import documents, map_texts
 
 LONG_WORD = 256
-#: Tokens kept in a worker's table, and the longest text of one.
-TABLE, TABLE_TEXT = 400_000, 64
+#: Tokens kept in a worker's table, and the longest text of one: some 60 MB at most.
+TABLE, TABLE_TEXT = 200_000, 64
+#: Bytes of text that a worker holds at a time, about.
+BLOCK = 1 << 20
 
-#: The splitting pattern of the vocabulary's settings, and Unicode white space.
+#: The settings that this encoder follows, as the vocabulary file states them.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "decoder": None,
+}
+MODEL_SETTINGS = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED_SETTINGS = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+@functools.cache
+def char_class(pattern: str) -> str:
+    """The code points that the tokenizers library takes for `pattern`, as the inside of a character class."""
+    from tokenizers import Regex, normalizers
+
+    drop, found = normalizers.Replace(Regex(pattern), ""), []
+    for lo in range(0, 0x110000, 1 << 14):
+        block = [chr(c) for c in range(lo, lo + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        left = set(drop.normalize_str("".join(block)))
+        found += [ord(c) for c in block if c not in left]
+    ends = [i for i in range(len(found)) if i + 1 == len(found) or found[i + 1] != found[i] + 1]
+    runs = [(found[lo], found[hi]) for lo, hi in zip([0, *(i + 1 for i in ends[:-1])], ends, strict=True)]
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in runs)
+
+
+def classes() -> dict[str, str]:
+    return {p: char_class(p) for p in (r"\p{L}", r"\p{N}", r"\s")}
+
+
+def checked(spec: dict) -> dict:
+    """The file's content; raises where it asks for what this encoder doesn't do."""
+    for part, given, wanted in (("", spec, SETTINGS), ("model.", spec["model"], MODEL_SETTINGS), *(("added_tokens.", t, ADDED_SETTINGS) for t in spec["added_tokens"])):
+        for key, value in wanted.items():
+            if given.get(key) != value:
+                raise ValueError(f"vocabulary setting {part}{key} is {given.get(key)!r}, not {value!r}")
+    return spec
 
 
 def byte_symbols() -> list[str]:
@@ -44,10 +85,12 @@ def byte_symbols() -> list[str]:
 
 
 class Encoder:
-    def __init__(self, data: str) -> None:
+    def __init__(self, data: str, known: dict[str, str] | None = None) -> None:
         import regex
+        from tokenizers import normalizers
 
-        spec = json.loads(data)
+        spec = checked(json.loads(data))
+        known = known or classes()
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
@@ -61,11 +104,15 @@ class Encoder:
         symbols = byte_symbols()
         self.first = [self.ids[s] for s in symbols]
         self.last = [self.ids[s + self.end] for s in symbols]
-        self.split = regex.compile(SPLIT.replace(r"\s", WHITE))
+        split = SPLIT
+        for pattern, inside in known.items():
+            split = split.replace(pattern, inside)
+        self.split = regex.compile(split)
+        self.nfc, self.lower = normalizers.NFC(), normalizers.Lowercase()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.white = regex.compile("[" + WHITE + "]+")
-        self.odd = regex.compile("[\x1c-\x1f]")
-        self.table: dict[str, tuple[array, str]] = {}
+        self.white = regex.compile("[" + known[r"\s"] + "]+")
+        self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split() alone
+        self.table: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         parts = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
@@ -113,21 +160,21 @@ class Encoder:
 
     def plain(self, chunk: str) -> list[int]:
         """Of text without white space and special tokens."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # one character at a time: no final sigma
+        low = chunk.lower() if chunk.isascii() else self.lower.normalize_str(self.nfc.normalize_str(chunk))
         out: list[int] = []
-        for piece in self.split.findall(chunk.lower()):
+        for piece in self.split.findall(low):
             out += self.merge(piece.encode())
         return out
 
-    def chunk(self, chunk: str) -> tuple[array, str]:
+    def chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids as 32-bit integers and decoded text of a token without white space."""
         found = self.table.get(chunk)
         if found is None:
             ids: list[int] = []
             for part in self.cut.split(chunk) if self.cut and "<" in chunk else [chunk]:
                 if part:
                     ids += [self.special[part]] if part in self.special else self.plain(part)
-            found = array("I", ids), " ".join(self.texts[i] for i in ids)
+            found = np.array(ids, "<u4").tobytes(), " ".join(self.texts[i] for i in ids)
             if len(chunk) <= TABLE_TEXT:
                 if len(self.table) >= TABLE:
                     self.table.clear()
@@ -137,53 +184,45 @@ class Encoder:
     def chunks(self, text: str) -> list[str]:
         return self.white.split(text) if self.odd.search(text) else text.split()
 
-    def encode(self, text: str | None) -> array:
-        ids = array("I")
-        for c in self.chunks(text or ""):
-            ids += self.chunk(c)[0]
-        return ids
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(b"".join([self.chunk(c)[0] for c in self.chunks(text or "")]), "<u4").tolist()
 
     def decode(self, ids) -> str:
         return " ".join(self.texts[i] for i in ids if i in self.texts)
 
 
-def make(data: str, full: bool) -> Callable[[], Callable[[list], list[tuple]]]:
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+IDS, DECODED = "token_ids array<int>, ", "decoded string, "
+
+
+def make(data: str, ids: bool, decoded: bool) -> Callable[[], Callable[[list], list[tuple]]]:
+    known = classes()
+
     def start():
-        encoder = Encoder(data)
-
-        def work(texts: list) -> list[tuple]:
-            out = []
-            for text in texts:
-                found = [encoder.chunk(c) for c in encoder.chunks(text or "")]
-                ids = array("I", b"".join([x[0].tobytes() for x in found]))
-                decoded = " ".join([x[1] for x in found if x[1]])
-                if ids.itemsize != 4:
-                    raise TypeError("ids need 32 bits")
-                packed = ids.tobytes()
-                digest = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                out.append((ids.tolist(), decoded, *digest) if full else digest)
-            return out
-
-        return work
+        encoder = Encoder(data, known)
 
-    return start
+        def one(text: str | None) -> tuple:
+            found = [encoder.chunk(c) for c in encoder.chunks(text or "")]
+            packed, plain = b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+            digests = len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
+            return (*([np.frombuffer(packed, "<i4")] if ids else []), *([plain] if decoded else []), *digests)
 
+        return lambda texts: [one(t) for t in texts]
 
-DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return start
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with token_ids (array of int), decoded (text) and their digests."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """docs with token_ids (array of int) if ids, decoded (text) if decoded, and the digests of both. What isn't asked for doesn't
+    leave the worker."""
     with open(path, encoding="utf-8") as f:  # on the driver; a vocabulary file, of fixed size
         data = f.read()
-    return map_texts(docs, make(data, True), T._parse_datatype_string("token_ids array<bigint>, decoded string, " + DIGESTS), text)
+    return map_texts(docs, make(data, ids, decoded), T._parse_datatype_string(IDS * ids + DECODED * decoded + DIGESTS), text, BLOCK)
 
 
 def digest(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens and the digests only: ids and texts don't leave the worker."""
-    with open(path, encoding="utf-8") as f:
-        data = f.read()
-    return map_texts(docs, make(data, False), T._parse_datatype_string(DIGESTS), text)
+    """docs with n_tokens and the digests only."""
+    return encode(docs, path, text, ids=False, decoded=False)
 
 
 def vocabulary() -> str:

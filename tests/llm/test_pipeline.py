@@ -52,4 +52,4 @@ def test_pipeline(spark, tmp_path):
     assert 0 < len(clean) < len(near)
     encoder = op8_bpe.Encoder(open(op8_bpe.vocabulary(), encoding="utf-8").read())
     got = {r["doc_id"]: r["token_ids"] for r in corpus_pipeline.run(spark, d).collect()}
-    assert got == {r["doc_id"]: encoder.encode(r["text"]).tolist() for r in clean}
+    assert got == {r["doc_id"]: encoder.encode(r["text"]) for r in clean}

@@ -1,7 +1,10 @@
 """Operators that look at one row at a time, against brute force."""
 
 import hashlib
+import math
+import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -99,13 +102,91 @@ def test_language(spark, some, empty, odd):
     assert len({w.tobytes() for w in words}) == 9
 
 
-def test_bpe(spark, some, odd, empty):
+def brute7(model, text):
+    """The nearest codeword by plain loops."""
+    if not any(unicodedata.category(c)[0] == "L" for c in text or "") or not model.languages:
+        return "und", 0.0
+    b = b" " + bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 else 32 for x in text.lower().encode("utf-8", "replace")) + b" "
+    codes = [int.from_bytes(b[i:i + 3], "big") for i in range(len(b) - 2) if b[i:i + 3] != b"   "]
+    slots = [c * 2654435761 % 2**32 >> (32 - op7_language.BITS) for c in codes]
+    losses = []
+    for i in range(len(model.languages)):
+        loss = 0.0
+        for j, w in enumerate(model.weights):
+            margin = sum(float(model.table[s, j]) for s in slots) / max(1, len(slots)) ** 0.5
+            x = -int(model.code[i, j]) * margin
+            loss += w * (max(x, 0.0) + math.log1p(math.exp(-abs(x))))
+        losses.append(loss)
+    best = losses.index(min(losses))
+    return model.languages[best], 1 / sum(math.exp(min(losses) - x) for x in losses)
+
+
+def test_language_brute(spark, some, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op7_language.fit(docs, max_rows=200)
+    for df in (odd, some):
+        for r in op7_language.predict(df, model).collect():
+            lang, score = brute7(model, r["text"])
+            assert (r["lang_pred"], round(r["score"], 6)) == (lang, round(score, 6))
+
+
+def test_language_classes(spark):
+    """No letter, whatever kind of character else; ties; text in no learned language; rare languages teach too."""
+    every = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for c in every:
+        assert op7_language.has_letter(c) == (unicodedata.category(c)[0] == "L"), hex(ord(c))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op7_language.fit(docs)
+    judge = op7_language.make(model)()
+    assert judge(["½ ² ①", "Ⅷ", "१२", "123 !?", "_"]) == [("und", 0.0, True)] * 5
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choice("qxzjkvwy") for _ in range(6)) for _ in range(3000))
+    greek = "και το να του η της με που την από για είναι σε δεν στο " * 200
+    assert judge([noise])[0][2] and judge([greek])[0][2]
+    assert sum(x[2] for x in judge([r["text"] for r in docs.where("length(text) > 300").collect()])) <= 3
+    rows = [(i, "alpha beta gamma", "aa") for i in range(300)] + [(1000 + i, "xylo phon zeta", "bb") for i in range(4)]
+    rare = op7_language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_rows=20)
+    assert rare.languages == ["aa", "bb"]
+    same = op7_language.fit(spark.createDataFrame([(i, "one text", "ab"[i % 2]) for i in range(40)], "doc_id bigint, text string, lang string"))
+    same.table[:] = 0
+    lang, score, odd = op7_language.make(same)()(["one text"])[0]
+    assert (lang, score, odd) == ("a", 0.5, True)
+
+
+def reference8():
     from tokenizers import Tokenizer
 
-    path = op8_bpe.vocabulary()
-    ref = Tokenizer.from_file(path)
+    ref = Tokenizer.from_file(op8_bpe.vocabulary())
     ref.no_truncation()
     ref.no_padding()
+    return ref
+
+
+def test_bpe_code_points():
+    """Every code point alone, and random mixtures of all kinds."""
+    ref, encoder = reference8(), op8_bpe.Encoder(open(op8_bpe.vocabulary(), encoding="utf-8").read())
+    every = [chr(c) for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+    lines = [f"a{c}b {c}" for c in every]
+    for line, e in zip(lines, ref.encode_batch(lines, add_special_tokens=False), strict=True):
+        assert encoder.encode(line) == e.ids, line.encode("unicode_escape")
+    rng = random.Random(9)
+    pick = lambda: chr(rng.choice([rng.randrange(1, 0x300), rng.randrange(1, 0x3000), rng.randrange(1, 0xD800), rng.randrange(0x10000, 0x1F000)]))
+    lines = ["".join(pick() for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    for line, e in zip(lines, ref.encode_batch(lines, add_special_tokens=False), strict=True):
+        assert encoder.encode(line) == e.ids and encoder.decode(e.ids) == ref.decode(e.ids, skip_special_tokens=False)
+
+
+def test_bpe_settings():
+    import json
+
+    spec = json.load(open(op8_bpe.vocabulary(), encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()
+    with pytest.raises(ValueError, match="normalizer"):
+        op8_bpe.Encoder(json.dumps(spec))
+
+
+def test_bpe(spark, some, odd, empty):
+    path, ref = op8_bpe.vocabulary(), reference8()
     for docs in (odd, some):
         for r in op8_bpe.encode(docs, path).collect():
             ids = ref.encode(r["text"] or "", add_special_tokens=False).ids
@@ -131,6 +212,12 @@ def test_token_counts(spark, some, odd, empty):
         for r in op10_tokens.count_tokens(docs, vocabulary).collect():
             assert r["n_tokens"] == len(ref.encode(r["text"] or "", add_special_tokens=False).ids), r["text"]
     assert op10_tokens.count_tokens(empty, vocabulary).count() == 0
+    rng = random.Random(4)
+    bits = ["<unk>", "<s>", "</s>", "<0x0A>", "\n", " ", "▁", "é", "日本", "😀", "the", "ab", "\x01", "<unk", "unk>", "<", "𝔘"]
+    counter = op10_tokens.Counter(vocabulary)
+    lines = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for line, e in zip(lines, ref.encode_batch(lines, add_special_tokens=False), strict=True):
+        assert counter.count(line)[0] == len(e.ids), line
     # words alone and the text at once have the same best score
     small = [("<unk>", 0.0), ("▁a", -1.0), ("b", -1.5), ("▁ab", -2.5), ("ab", -2.0), ("a", -0.5)]
     split, whole = op10_tokens.Counter(small), op10_tokens.Counter([*small, ("b▁q", -2.5)])

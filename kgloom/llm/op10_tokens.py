@@ -3,11 +3,13 @@
 An Aho-Corasick automaton enumerates the vocabulary pieces that end at each character; dynamic programming carries the
 best score and its number of pieces, and no back pointers. Ties are the tokenizer's own: among paths of equal score to
 a position, the one whose last piece starts earliest stays, and an unknown character (only where no one-character piece
-starts) has the least score of the vocabulary less 10. Unknown characters count as their UTF-8 bytes (byte fallback).
+starts) has the least score of the vocabulary less 10. The unknown piece and unknown characters that follow each other are
+one run, as in the tokenizer: it counts one if it is a piece (a literal `<unk>` alone), else its UTF-8 bytes (byte fallback).
+The pass carries where the run at its end began, so no path is traced back.
 
-Spaces become U+2581 and one is put before a text that isn't empty. No piece of such vocabularies has that mark behind
-another character (checked when it is loaded), so a best path is made of best paths of the words, whose counts are kept
-in a bounded table.
+Spaces become U+2581 and one is put before a text that isn't empty. Where that mark is a piece and no piece has it behind
+another character (checked when the vocabulary is loaded), a best path is made of best paths of the words, whose counts are
+kept in a bounded table; a word that another follows ends its run, as the mark is no unknown.
 
 Null or empty text has no tokens and score 0. Repeated rows count alike. An empty table gives an empty result. Columns
 that clash with the results give way.
@@ -30,7 +32,7 @@ TABLE, TABLE_TEXT = 400_000, 64
 
 
 class Counter:
-    def __init__(self, vocabulary: list[tuple[str, float]]) -> None:
+    def __init__(self, vocabulary: list[tuple[str, float]], unknown_id: int | None = 0) -> None:
         import ahocorasick
 
         self.auto = ahocorasick.Automaton()
@@ -39,7 +41,9 @@ class Counter:
                 self.auto.add_word(piece, (len(piece), score))
         self.auto.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN
-        inner = any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in vocabulary)
+        self.pieces = {p for p, _ in vocabulary}
+        self.unknown_piece = vocabulary[unknown_id][0] if unknown_id is not None else None
+        inner = MARK not in self.pieces or self.unknown_piece is not None and MARK in self.unknown_piece or any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in vocabulary)
         self.words = re.compile("(?s).+" if inner else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.lines = not any("\n" in p for p, _ in vocabulary)  # then a line break is unknown and stands alone
         self.table: dict[str, tuple[int, float]] = {}
@@ -53,16 +57,26 @@ class Counter:
             ending[end + 1].append((end + 1 - size, score))
             if size == 1:
                 single[end] = True
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        score, count, run = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)  # run: where the unknown run at the end began, or -1
+        known = self.unknown_piece
         for end in range(1, n + 1):
-            best, pieces = None, 0
+            best, last = None, 0
             for start, s in sorted(ending[end]):
                 if best is None or score[start] + s > best:
-                    best, pieces = score[start] + s, count[start] + 1
+                    best, last = score[start] + s, start
+            odd = known is not None and best is not None and word.startswith(known, last) and end - last == len(known)
             if not single[end - 1] and (best is None or score[end - 1] + self.unknown > best):
-                best, pieces = score[end - 1] + self.unknown, count[end - 1] + len(word[end - 1].encode())
-            score[end], count[end] = best, pieces
-        return count[n], score[n]
+                best, last, odd = score[end - 1] + self.unknown, end - 1, True
+            score[end] = best
+            if odd:
+                count[end], run[end] = count[last], last if run[last] < 0 else run[last]
+            else:
+                count[end] = count[last] + self.closed(word, run[last], last) + 1
+        return count[n] + self.closed(word, run[n], n), score[n]
+
+    def closed(self, word: str, start: int, end: int) -> int:
+        """What an unknown run counts."""
+        return 0 if start < 0 else 1 if word[start:end] in self.pieces else len(word[start:end].encode())
 
     def of(self, word: str) -> tuple[int, float]:
         found = self.table.get(word)
@@ -78,7 +92,8 @@ class Counter:
         if not text:
             return 0, 0.0
         marked = MARK + text.replace(" ", MARK)
-        parts = marked.split("\n") if self.lines else [marked]
+        # a line break stands alone, unless the unknown piece is there to join it
+        parts = marked.split("\n") if self.lines and not (self.unknown_piece and self.unknown_piece in text) else [marked]
         n, score = len(parts) - 1, (len(parts) - 1) * self.unknown
         for part in parts:
             for word in self.words.findall(part):

@@ -11,7 +11,7 @@ windows the items go in several blocks, each a pass of its own over the document
 between. Documents are never shuffled.
 
 Null text has no words. Rows of the benchmark without words give no window; rows that repeat a window or an id count as
-what they are: an item is hit if any of its windows occurs, ids count once. An empty benchmark contaminates nothing.
+what they are: an item is hit if any of its windows occurs, ids count once, and a null id counts as the empty one. An empty benchmark contaminates nothing.
 Columns that clash with the results give way.
 """
 

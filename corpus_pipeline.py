@@ -34,8 +34,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of what is left, with their digests."""
-    return op8_bpe.encode(docs, op8_bpe.vocabulary()).select("doc_id", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    """The token ids of what is left, with their digests; only ids and texts pass through Python, and no decoded text comes back."""
+    return op8_bpe.encode(docs.select("doc_id", "text"), op8_bpe.vocabulary(), decoded=False).drop("text")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("encode", encode)]

@@ -1,18 +1,26 @@
-"""Line dedup by prefix doubling over line sequences, in DataFrame expressions only.
+"""Line dedup by a suffix array over line sequences, built by distributed prefix doubling, in DataFrame expressions only.
 
-A document is the sequence of its lines that have a word. The name of a run of lines is its first place in the corpus
-(least id, then least position): runs of one line are named by grouping the lines' 128-bit hashes, runs of 2p lines by
-grouping pairs of names p apart, and so on up to min_lines (the last step may overlap). That is the suffix array cut at
-depth min_lines: places of equal name are the intervals whose longest common prefix has min_lines lines or more.
-Places whose name is theirs alone drop out at each step, so only repeated text is ever paired. Every line of a run that
-also starts at an earlier place is deleted; overlapping runs join to the maximal ones.
+A document is the sequence of its lines that have a word, and each place in it starts a suffix.
 
-Hot lines: names are counted by a grouped aggregation with partial sums and joined back by an equi-join, whose skewed keys
-the engine splits; no window or group gathers all places of a line. Texts are shuffled once, to meet their deletions.
+1. Ranks. Suffixes are ranked by their first line, then by 2, 4, ... lines: the rank at twice the depth orders the pairs of
+   ranks that lie a depth apart. Pairs are sorted by range over all tasks, so ranks are the order of the suffix array
+   at that depth. A suffix whose rank no other shares, or that ends within the depth, is settled and leaves; the rounds go on until
+   all have. A depth of min_lines is one of the rounds (the step to it may overlap).
+2. Intervals. Suffixes that still share a rank after a round are an interval of the array whose longest common prefix
+   has at least that many lines: a run of lines and all its places. The interval's first place (least id, then least
+   position) keeps the run.
+3. Deletion. At every later place of an interval of min_lines lines or more, the run goes; overlapping runs join to maximal
+   ones. lcp_depth tells the deepest round in which the document was a later place: it has a copied run of that many lines and
+   none of twice as many.
+
+Hot lines: an interval's size and first place come from a grouped aggregation with partial sums; they meet their places in
+an equi-join with nothing above it in its stage, so that skewed keys are split; no window or group gathers all places of
+a line. Every round is staged, and the round before it is then deleted. Texts are shuffled once, to meet their deletions.
 
 Lines without a word (blank ones) never count and stay. Null text has no lines and stays null. Null ids stand after all
-others. Rows with equal ids have equal places: neither is earlier, both keep a run that starts at the same line. Repeated rows are
-treated alike. An empty table gives an empty result. Columns that clash with the results give way.
+others; ids are integers. Rows with equal ids have equal places: neither is earlier, both keep a run that starts at the same
+line. Repeated rows are treated alike. A text of any length is one array of its lines in one row. An empty table gives an empty
+result. Columns that clash with the results give way.
 """
 
 from __future__ import annotations
@@ -20,12 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, others, quoted
+from .common import documents, others, quoted, remove, stage
 from .op1_quality import let
 
 #: Shortest run that counts.
-MIN_LINES = 2
+MIN_LINES = 1
 HAS_WORD = r"[^\x20\x09-\x0D]"
+DOC = ["none", "id", "text_hash"]
 
 
 def lines_of(text: Column) -> Column:
@@ -34,34 +43,56 @@ def lines_of(text: Column) -> Column:
                     lambda x: F.regexp_like(x["line"], F.lit(HAS_WORD)))
 
 
-def _named(places: DataFrame, key: list[str]) -> DataFrame:
-    """places whose key isn't unique, with the name of the key: its first place."""
-    place = F.struct("none", "id", "idx", "text_hash")  # the hash tells rows of equal ids apart
-    names = places.groupBy(*key).agg(F.min(place).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return places.join(names, key).select("none", "id", "text_hash", "idx", "name")
+def _ranked(places: DataFrame, key: list[str]) -> DataFrame:
+    """Places (DOC, idx) whose key isn't theirs alone, with its rank and first place (none, id, idx); staged."""
+    first = F.min(F.struct("none", "id", "idx")).alias("first")
+    groups = places.groupBy(*key).agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    order = stage(groups.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("new", F.monotonically_increasing_id()))
+    out = stage(places.join(order, key).select(*DOC, "idx", F.col("new").alias("rank"), "first"))
+    remove(order)
+    return out
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(none, id, text_hash, gone): numbers among the lines with a word that go, for documents that lose some."""
+def intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """(DOC, idx, depth, first): for each round of min_lines or more, the later places of its intervals. idx counts the lines with a word."""
+    hashes = F.transform(lines_of(quoted(text)), lambda x: F.struct(F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(1), x["line"]).alias("b")))
     rows = docs.where(quoted(text).isNotNull()).select(
-        quoted(doc_id).isNull().alias("none"), F.coalesce(quoted(doc_id).cast("long"), F.lit(0)).alias("id"), F.xxhash64(quoted(text)).alias("text_hash"),
-        F.posexplode(F.transform(lines_of(quoted(text)), lambda x: F.struct(F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(1), x["line"]).alias("b")))).alias("idx", "h"))
-    lines = rows.select("none", "id", "text_hash", "idx", F.col("h.a").alias("a"), F.col("h.b").alias("b")).distinct()
-    places, size = _named(lines, ["a", "b"]), 1
-    while size < min_lines:
-        step = min(size, min_lines - size)
-        ahead = places.select("none", "id", "text_hash", (F.col("idx") - step).alias("idx"), F.col("name").alias("next"))
-        pairs = places.join(ahead, ["none", "id", "text_hash", "idx"])
-        places, size = _named(pairs.withColumnRenamed("name", "this"), ["this", "next"]), size + step
-    later = places.where(F.struct("none", "id", "idx") > F.struct("name.none", "name.id", "name.idx"))
-    gone = later.select("none", "id", "text_hash", F.explode(F.sequence(F.col("idx"), F.col("idx") + min_lines - 1)).alias("idx"))
-    return gone.groupBy("none", "id", "text_hash").agg(F.collect_set("idx").alias("gone"))
+        quoted(doc_id).isNull().alias("none"), F.coalesce(quoted(doc_id).cast("long"), F.lit(0)).alias("id"), F.xxhash64(quoted(text)).alias("text_hash"), F.posexplode(hashes).alias("idx", "h"))
+    places, depth = _ranked(rows.select(*DOC, "idx", F.col("h.a").alias("a"), F.col("h.b").alias("b")).distinct(), ["a", "b"]), 1
+    found = []
+    while True:
+        if depth >= min_lines:
+            later = stage(places.where(F.struct("none", "id", "idx") > F.col("first")).select(*DOC, "idx", F.lit(depth).alias("depth"), "first"))
+            found.append(later)
+        if places.isEmpty():
+            break
+        step = depth if depth >= min_lines else min(depth, min_lines - depth)
+        ahead = places.select(*DOC, (F.col("idx") - step).alias("idx"), F.col("rank").alias("next"))
+        deeper = _ranked(places.drop("first").join(ahead, [*DOC, "idx"]), ["rank", "next"])
+        remove(places)
+        places, depth = deeper, depth + step
+    remove(places)
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def _gone(docs: DataFrame, doc_id: str, text: str, min_lines: int) -> DataFrame:
+    """(DOC, gone, lcp_depth): numbers among the lines with a word that go, for documents that lose some."""
+    found = intervals(docs, doc_id, text, min_lines)
+    # deeper runs are made of runs of min_lines, so those say what goes
+    ids = F.collect_set(F.when(F.col("depth") == max(1, min_lines), F.col("idx")))
+    got = found.groupBy(*DOC).agg(ids.alias("starts"), F.max("depth").alias("lcp_depth"))
+    spread = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (max(1, min_lines) - 1)))))
+    return got.select(*DOC, (F.col("starts") if min_lines <= 1 else spread).alias("gone"), "lcp_depth")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with kept_text, n_lines (with a word), n_removed."""
-    given = docs.select(*[quoted(c) for c in others(docs, ["kept_text", "n_lines", "n_removed", "_none", "_id", "_hash", "_gone"])])
-    gone = removed_lines(given, doc_id, text, min_lines).select(F.col("none").alias("_none"), F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    """docs with kept_text, n_lines (with a word), n_removed and lcp_depth."""
+    given = docs.select(*[quoted(c) for c in others(docs, ["kept_text", "n_lines", "n_removed", "lcp_depth", "_none", "_id", "_hash", "_gone", "_depth"])])
+    gone = _gone(given, doc_id, text, min_lines).select(
+        F.col("none").alias("_none"), F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"), F.col("lcp_depth").alias("_depth"))
     keyed = given.select("*", quoted(doc_id).isNull().alias("_none"), F.coalesce(quoted(doc_id).cast("long"), F.lit(0)).alias("_id"), F.xxhash64(quoted(text)).alias("_hash"))
     met = keyed.join(gone, ["_none", "_id", "_hash"], "left")
     worded = lines_of(quoted(text))
@@ -69,18 +100,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines
         F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.transform(F.col("_gone"), lambda i: F.get(w, i)["pos"])),
         lambda i: F.get(all_lines, i)), "\n")))
     return met.select(*[quoted(c) for c in given.columns], F.when(F.col("_gone").isNull(), quoted(text)).otherwise(kept).alias("kept_text"),
-                      F.coalesce(F.size(worded), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+                      F.coalesce(F.size(worded), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_depth", F.lit(0)).cast("long").alias("lcp_depth"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
-
-
-def op2_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same where a single line counts as a run."""
-    out = dedup(documents(spark, sf_dir).select("doc_id", "text"), min_lines=1)
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "lcp_depth", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = r"""
@@ -90,16 +115,18 @@ WITH split AS (
 worded AS (
   SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS idx
   FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-pairs AS (SELECT doc_id, idx, line, lead(line) OVER (PARTITION BY doc_id ORDER BY idx) AS next FROM worded),
-ranked AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, idx) AS nth FROM pairs WHERE next IS NOT NULL),
-gone AS (SELECT doc_id, idx FROM ranked WHERE nth > 1 UNION SELECT doc_id, idx + 1 FROM ranked WHERE nth > 1),
-marked AS (
-  SELECT s.doc_id, s.pos, s.line, w.idx IS NOT NULL AS worded, g.idx IS NOT NULL AS gone
-  FROM split s LEFT JOIN worded w ON s.doc_id = w.doc_id AND s.pos = w.pos LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.idx = w.idx),
+seqs AS (SELECT doc_id, list(md5(line) ORDER BY idx) AS ls FROM worded GROUP BY doc_id),
+depths AS (SELECT (1 << k)::BIGINT AS depth FROM (SELECT unnest(range(24)) AS k)),
+runs AS (
+  SELECT doc_id, depth, idx, md5(array_to_string(list_slice(ls, idx, idx + depth - 1), ' ')) AS run
+  FROM (SELECT doc_id, ls, depth, unnest(range(1, len(ls) - depth + 2)) AS idx FROM seqs, depths WHERE depth <= len(ls))),
+later AS (SELECT doc_id, depth, idx FROM (SELECT doc_id, depth, idx, row_number() OVER (PARTITION BY depth, run ORDER BY doc_id, idx) AS nth FROM runs) WHERE nth > 1),
+deepest AS (SELECT doc_id, max(depth) AS depth FROM later GROUP BY doc_id),
 told AS (
-  SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (gone) AS n_removed,
-         string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept
-  FROM marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(t.n_lines, 0)::BIGINT AS n_lines, coalesce(t.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN told t ON d.doc_id = t.doc_id
+  SELECT s.doc_id, count(w.idx) AS n_lines, count(l.idx) AS n_removed, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (l.idx IS NULL) AS kept
+  FROM split s LEFT JOIN worded w ON s.doc_id = w.doc_id AND s.pos = w.pos LEFT JOIN later l ON l.doc_id = w.doc_id AND l.idx = w.idx AND l.depth = 1
+  GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(t.n_lines, 0)::BIGINT AS n_lines, coalesce(t.n_removed, 0)::BIGINT AS n_removed, coalesce(p.depth, 0)::BIGINT AS lcp_depth,
+       sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN told t ON d.doc_id = t.doc_id LEFT JOIN deepest p ON d.doc_id = p.doc_id
 """

@@ -13,7 +13,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality.op1_quality_rules,
         "op2_line_dedup": op2_lines.op2_line_dedup,
-        "op2_line_dedup_whole": op2_lines.op2_line_dedup_whole,
         "op3_decontamination": op3_decontam.op3_decontamination,
         "op4_suffix_dedup": op4_suffixes.op4_suffix_dedup,
         "op5_jaccard_join": op5_jaccard.op5_jaccard_join,

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -7,23 +8,30 @@ from kgloom.llm import op2_lines
 
 
 def brute(rows, k):
+    """(id, lines with a word, lines removed, deepest round, kept text): every run of k lines that starts earlier too goes."""
     docs = [(r["doc_id"], None if r["text"] is None else r["text"].split("\n")) for r in rows]
     docs = [(d, x, [i for i, l in enumerate(x or []) if l.strip(" \t\n\x0b\x0c\r")]) for d, x in docs]
-    first = {}
     at = lambda d, i: (d is None, d or 0, i)
-    for d, x, w in docs:
-        for i in range(len(w) - k + 1):
-            key = tuple(x[j] for j in w[i:i + k])
-            first[key] = min(first.get(key, (2,)), at(d, i))
-    out = Counter()
-    for d, x, w in docs:
-        gone = {j for i in range(len(w) - k + 1) if first[tuple(x[j] for j in w[i:i + k])] < at(d, i) for j in w[i:i + k]}
-        out[d, len(w), len(gone), None if x is None else "\n".join(l for i, l in enumerate(x) if i not in gone)] += 1
-    return out
+    gone, deepest = [set() for _ in docs], [0] * len(docs)
+    depth = k
+    while any(depth <= len(w) for _, _, w in docs):
+        first = {}
+        for d, x, w in docs:
+            for i in range(len(w) - depth + 1):
+                key = tuple(x[j] for j in w[i:i + depth])
+                first[key] = min(first.get(key, (2,)), at(d, i))
+        for n, (d, x, w) in enumerate(docs):
+            for i in range(len(w) - depth + 1):
+                if first[tuple(x[j] for j in w[i:i + depth])] < at(d, i):
+                    deepest[n] = depth
+                    if depth == k:
+                        gone[n] |= set(w[i:i + depth])
+        depth *= 2
+    return Counter((d, len(w), len(g), deep, None if x is None else "\n".join(l for i, l in enumerate(x) if i not in g)) for (d, x, w), g, deep in zip(docs, gone, deepest, strict=True))
 
 
 def result(df):
-    return Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["kept_text"]) for r in df.collect())
+    return Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["lcp_depth"], r["kept_text"]) for r in df.collect())
 
 
 @pytest.mark.parametrize("seed,k", [(1, 1), (2, 2), (3, 3), (4, 5)])
@@ -35,7 +43,46 @@ def test_lines(spark, seed, k):
     assert result(op2_lines.dedup(docs, min_lines=k)) == brute(docs.collect(), k)
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_runs_of_many_lengths(spark, k):
+    """Runs of 1 to 20 lines shared by documents, a hot line, and a copy of a long document."""
+    rng = random.Random(7)
+    run = [f"run line {i}" for i in range(20)]
+    rows = []
+    for n in range(1, 21):
+        lo = rng.randint(0, 20 - n)
+        rows.append((n, "\n".join([f"own {n} a", *run[lo:lo + n], "hot", f"own {n} b", "hot"])))
+    long = "\n".join(f"chapter {i} line" for i in range(150))
+    rows += [(100, long), (101, "x\n" + long), (102, long + "\nhot")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = result(op2_lines.dedup(docs, min_lines=k))
+    assert got == brute(docs.collect(), k)
+    assert {r[3] for r in got} >= ({16, 128} if k == 1 else {12, 96})
+
+
 def test_lines_odd(odd, some, empty):
     for docs in (odd, some):
-        assert result(op2_lines.dedup(docs)) == brute(docs.collect(), 2)
+        assert result(op2_lines.dedup(docs)) == brute(docs.collect(), 1)
     assert op2_lines.dedup(empty).count() == 0
+
+
+def test_clashing_and_long(spark):
+    """Columns that clash give way, others stay; a text of some MB is one row."""
+    big = "\n".join(f"line {i % 40000} of a long text" for i in range(100_000))
+    docs = spark.createDataFrame([(1, big, 5, "k", "o"), (2, "line 7 of a long text\nown", 6, "k", "p")], "doc_id bigint, text string, N_LINES bigint, _gone string, other string")
+    got = {r["doc_id"]: r for r in op2_lines.dedup(docs).collect()}
+    assert (got[1]["n_lines"], got[1]["n_removed"], got[2]["n_removed"], got[2]["kept_text"]) == (100_000, 60_000, 1, "own")
+    assert got[1]["lcp_depth"] == 32768 and {r["other"] for r in got.values()} == {"o", "p"}
+
+
+def test_single_lines_go(spark, tmp_path):
+    """A shared passage between lines of its own, and exact copies of one-line documents."""
+    import __spark_entry__ as entry
+
+    rows = [(0, "own a\nshared passage\nown b", "en"), (1, "own c\n\nshared passage\nown d", "en"), (2, "one line only", "en"), (3, "one line only", "en"), (4, None, "en"), (5, "z\nz", "en")]
+    d = str(tmp_path)
+    spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = {(i, n, k, p, sha(t)) for i, n, k, p, t in brute([{"doc_id": r[0], "text": r[1]} for r in rows], 1)}
+    got = {tuple(r) for r in entry.queries()["op2_line_dedup"](spark, d).select("doc_id", "n_lines", "n_removed", "lcp_depth", "kept_sha256").collect()}
+    assert got == want and {(r[0], r[2]) for r in got if r[2]} == {(1, 1), (3, 1), (5, 1)}

@@ -43,8 +43,8 @@ def test_pipeline(spark, tmp_path):
     judge = op7_language.make(model)()
     kept = [r for r, (lang, _, odd) in zip(rows, judge([r["text"] for r in rows]), strict=True) if lang != "und" and not odd]
     assert 10 < len(kept) < len(rows)
-    lines = {k[0]: k for k in test_lines.brute(kept, 2)}
-    kept = [dict(r, text=lines[r["doc_id"]][3]) for r in kept if not lines[r["doc_id"]][2] or lines[r["doc_id"]][2] < lines[r["doc_id"]][1]]
+    lines = {k[0]: k for k in test_lines.brute(kept, 1)}
+    kept = [dict(r, text=lines[r["doc_id"]][4]) for r in kept if not lines[r["doc_id"]][2] or lines[r["doc_id"]][2] < lines[r["doc_id"]][1]]
     first = {k[0]: k[2] for k in test_jaccard.brute(kept)}
     near = [r for r in kept if first[r["doc_id"]] == r["doc_id"]]
     assert len(near) < len(kept)

@@ -3,21 +3,24 @@
 Edges are 20-word windows (k-mers), nodes the 19 words that consecutive edges share. Only repeated edges matter: an
 exchange of packed keys finds them (packed.py), and unrepeated text leaves there. Every place of a node beside a repeated edge then
 tells which edges enter and leave it; a node that all its places enter by one edge and leave by one other is nonbranching.
-Runs of edges through nonbranching nodes are compacted to one path, which every place of the path shows whole. A path's
-places, as source coordinates, meet by a Spark aggregation on the path's end hashes and length, and a join carries the
-first place back: at every later place (greater id, or same id and later start) all the path's words go. Windows are judged on the input.
+Runs of edges through nonbranching nodes are compacted to one path, which every place of the path shows whole.
 
-Hashes have 64 bits a key and 128 a path. Hot words or copies don't gather: keys are distinct in a chunk, paths are
-pre-aggregated and only a path's first place is joined.
+A path's places meet by their words: a chunk (a bounded part of the corpus) sends one row a path, with a 128-bit digest of
+the path's very words, its places there as source coordinates, and the least of them. A Spark aggregation with partial sums
+finds the first place of all, a join with nothing but partial sums above it carries that back, and at every later place
+(greater id, or same id and later start) all the path's words go. Windows are judged on the input.
 
-Null or empty text: no words, nothing removed. Ids that are null stand after all others. Rows with equal ids have equal
-coordinates, neither is earlier, so windows at the same start in both are kept. An empty table gives an empty result.
+Edges and nodes are 64-bit hashes: edges that collide could only split or offer paths, which their words then tell apart. Hot words
+or copies don't gather: keys and paths are distinct in a chunk, and a path has one row a chunk at most.
+
+Ids are integers, or cast to them. Null or empty text: no words, nothing removed. Ids that are null stand after all others.
+Rows with equal ids have equal coordinates, neither is earlier, so windows at the same start in both are kept. A text of any length is
+one row of one chunk, in memory a few times. Columns that clash with the results give way. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +30,15 @@ from . import packed
 from .common import documents, others, quoted
 
 WINDOW = 20
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-U64, U32 = np.uint64, np.uint32
-PATHS = "chunk long, row int, start int, size int, head long, tail long, doc_id long"
+U64 = np.uint64
+PATHS = "chunk long, path binary, n int, none boolean, id long, start int, size int, places binary"
 
 
 class Chunk:
     """Word windows of a chunk's texts."""
 
-    def __init__(self, texts: list, k: int) -> None:
-        self.words, self.at = packed.word_hashes(packed.utf8(texts))
+    def __init__(self, texts: list[bytes], k: int) -> None:
+        self.words, self.at = packed.word_hashes(texts)
         self.edges = packed.windows(self.words, k)
         self.nodes = packed.windows(self.words, k - 1, 1)
         # a window is real if it starts and ends in the same text
@@ -70,7 +72,7 @@ class Chunk:
 
 def _edges(k: int, text: str):
     def keys(table):
-        return (Chunk(table.column(text).to_pylist(), k).keys,)
+        return (Chunk(packed.utf8(table.column(text).to_pylist()), k).keys,)
 
     return keys
 
@@ -86,10 +88,10 @@ def _nodes(c: Chunk, codes: np.ndarray) -> tuple:
     out = []
     for side in (enter, leave):
         if not len(first):
-            out.append(np.zeros(0, U32))
+            out.append(np.zeros(0, U64))
             continue
         low, high = np.minimum.reduceat(side, first), np.maximum.reduceat(side, first)
-        out.append(np.where(low == high, (low >> U64(16)) & U64(0xFFFFFFFF), U64(0)).astype(U32))
+        out.append(np.where(low == high, low, U64(0)))
     return node[first], *out
 
 
@@ -99,7 +101,7 @@ def _pack(node: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> bytes:
 
 def _plain(blobs: list[bytes]) -> list[np.ndarray]:
     """1 where a node is nonbranching: entered by one edge and left by one, everywhere."""
-    parts = [(packed.unplanes(b[: len(b) // 2], U64), np.frombuffer(b[len(b) // 2: len(b) // 4 * 3], "<u4"), np.frombuffer(b[len(b) // 4 * 3:], "<u4")) for b in blobs]
+    parts = [(packed.unplanes(b[: len(b) // 3], U64), *np.frombuffer(b[len(b) // 3:], U64).reshape(2, -1)) for b in blobs]
     node, enter, leave = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(node, kind="stable")
     node = node[order]
@@ -119,51 +121,67 @@ def ordered(table, doc_id: str, text: str):
 
 
 def paths_of(table, replies, k: int, text: str, doc_id: str):
-    """The places of compacted paths in a chunk, as PATHS."""
+    """The compacted paths of a chunk with their places, as PATHS."""
     import pyarrow as pa
 
-    if not len(table):
-        return pa.table({n: pa.array([], t) for n, t in zip(("chunk", "row", "start", "size", "head", "tail", "doc_id"), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)})
-    table = ordered(table, doc_id, text)
-    c = Chunk(table.column(text).to_pylist(), k)
-    hot = c.hot(packed.replies_of(replies, 1))
-    plain_of = packed.replies_of(replies, 2)
-    i, _, _ = c.crossings(hot)
-    names, inverse = np.unique(c.nodes[i], return_inverse=True)
-    plain = np.zeros(len(hot) + 1, bool)
-    plain[i] = plain_of[inverse] > 0
-    at = np.flatnonzero(hot)
-    # an edge opens a path unless the edge before it is repeated and the node between doesn't branch
-    joined = np.zeros(len(at), bool)
-    if len(at) > 1:
-        joined[1:] = (at[1:] == at[:-1] + 1) & plain[at[1:]]
-    first = np.flatnonzero(~joined)
-    last = np.r_[first[1:], len(at)] - 1 if len(first) else first
-    start, end = at[first], at[last]
-    row = c.owner[start] if len(start) else start
-    ids = table.column(doc_id).cast(pa.int64()).take(pa.array(row, pa.int64()))
-    return pa.table({"chunk": table.column("chunk").take(pa.array(row, pa.int64())), "row": pa.array(row, pa.int32()), "start": pa.array(start - c.at[row], pa.int32()),
-                     "size": pa.array(end - start + 1, pa.int32()), "head": pa.array(c.edges[start].view(np.int64), pa.int64()),
-                     "tail": pa.array(c.edges[end].view(np.int64), pa.int64()), "doc_id": ids})
+    from .common import give_back
+
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["chunk", "path", "n", "none", "id", "start", "size", "places"]
+    rows: list[tuple] = []
+    if len(table):
+        table = ordered(table, doc_id, text)
+        chunk, ids = table.column("chunk")[0].as_py(), table.column(doc_id).cast(pa.int64()).to_pylist()
+        texts = packed.utf8(table.column(text).to_pylist())
+        c = Chunk(texts, k)
+        hot = c.hot(packed.replies_of(replies, 1))
+        plain_of = packed.replies_of(replies, 2)
+        i, _, _ = c.crossings(hot)
+        _, inverse = np.unique(c.nodes[i], return_inverse=True)
+        plain = np.zeros(len(hot) + 1, bool)
+        plain[i] = plain_of[inverse] > 0
+        at = np.flatnonzero(hot)
+        # an edge opens a path unless the edge before it is repeated and the node between doesn't branch
+        joined = np.zeros(len(at), bool)
+        if len(at) > 1:
+            joined[1:] = (at[1:] == at[:-1] + 1) & plain[at[1:]]
+        first = np.flatnonzero(~joined)
+        last = np.r_[first[1:], len(at)] - 1 if len(first) else first
+        start = at[first]
+        size = at[last] - start + k  # in words
+        row = c.owner[start] if len(start) else start
+        start = start - c.at[row]
+        del c, hot, plain, i, inverse, at, joined
+        found: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+        ws, here = [], -1
+        for r, lo, n in zip(row.tolist(), start.tolist(), size.tolist(), strict=True):
+            if r != here:
+                ws, here = texts[r].split(), r  # of bytes: at U+0020 and U+0009 to U+000D
+            found.setdefault((hashlib.blake2b(b" ".join(ws[lo: lo + n]), digest_size=16).digest(), n), []).append((r, lo))
+        for (path, n), places in found.items():
+            none, least, lo = min((ids[r] is None, ids[r] or 0, lo) for r, lo in places)
+            rows.append((chunk, path, len(places), none, least, lo, n, np.array(places, "<i4").tobytes()))
+    out = pa.table({name: pa.array([r[x] for r in rows], kind) for x, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+    give_back()
+    return out
 
 
 def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Chunked docs, sorted rows in each, and (chunk, spans): the word ranges that go, as (row, from, to) packed in bytes."""
+    """Chunked docs, and (chunk, spans): paths with places that come later than `first`, as (first, size, places)."""
     chunked, total = packed.in_chunks(docs, text)
     n_keys = total // 6
     repeated = packed.exchange(chunked, _edges(window, text), packed.repeated, n_keys).withColumn("step", F.lit(1))
 
     def nodes(table, replies):
-        return _nodes(Chunk(table.column(text).to_pylist(), window), packed.replies_of(replies)) if len(table) else (np.zeros(0, U64), np.zeros(0, U32), np.zeros(0, U32))
+        return _nodes(Chunk(packed.utf8(table.column(text).to_pylist()), window), packed.replies_of(replies)) if len(table) else (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64))
 
     plain = packed.exchange(chunked, nodes, _plain, n_keys // 4, _pack, extra=repeated).withColumn("step", F.lit(2))
     both = repeated.unionByName(plain)
-    places = chunked.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda t, r: paths_of(t, r, window, text, doc_id), PATHS)
-    coordinate = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"))
-    key = ["head", "tail", "size"]
-    first = places.groupBy(*key).agg(F.min(coordinate).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = places.join(first, key).where(coordinate > F.col("first"))
-    spans = later.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", (F.col("start") + F.col("size") + (window - 1)).alias("end"))).alias("spans"))
+    paths = chunked.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(lambda t, r: paths_of(t, r, window, text, doc_id), PATHS)
+    coordinate = F.struct("none", "id", "start")
+    first = paths.groupBy("path").agg(F.min(coordinate).alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
+    later = paths.join(first, "path").where((F.col("n") > 1) | (coordinate > F.col("first")))
+    spans = later.groupBy("chunk").agg(F.collect_list(F.struct("first", "size", "places")).alias("spans"))
     return chunked, spans
 
 
@@ -183,11 +201,15 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         table = ordered(table, doc_id, text)
         rows: list[list] = [[] for _ in names]
         drop: dict[int, list[tuple[int, int]]] = {}
+        ids = table.column(doc_id).cast(pa.int64()).to_pylist()
         for spans in found.column("spans").to_pylist():
             for s in spans:
-                drop.setdefault(s["row"], []).append((s["start"], s["end"]))
-        for i, t in enumerate(table.column(text).to_pylist()):
-            ws = WORD.findall(t or "")
+                first = s["first"]["none"], s["first"]["id"], s["first"]["start"]
+                for r, lo in np.frombuffer(s["places"], "<i4").reshape(-1, 2).tolist():
+                    if (ids[r] is None, ids[r] or 0, lo) > first:
+                        drop.setdefault(r, []).append((lo, lo + s["size"]))
+        for i, t in enumerate(packed.utf8(table.column(text).to_pylist())):
+            ws = t.split()
             n = len(ws)
             if i in drop:
                 gone = np.zeros(n + 1, np.int32)
@@ -195,12 +217,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                     gone[lo] += 1
                     gone[hi] -= 1
                 ws = [w for w, g in zip(ws, np.cumsum(gone)[:-1].tolist(), strict=True) if not g]
-            kept = " ".join(ws)
-            for column, x in zip(rows, (n, n - len(ws), hashlib.sha256(kept.encode()).hexdigest(), kept), strict=False):
+            kept = b" ".join(ws)
+            for column, x in zip(rows, (n, n - len(ws), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if full else None), strict=False):
                 column.append(x)
         left = table.drop_columns(["chunk", text])
         for name, column, f in zip(names, rows, added.fields, strict=True):
             left = left.append_column(name, pa.array(column, pa.string() if f.dataType == T.StringType() else pa.int64()))
+        del rows, table
+        packed.give_back()
         return left
 
     return chunked.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(cut, out)

@@ -1,11 +1,14 @@
 """Which keys of a corpus are repeated, found by exchanging packed arrays instead of rows.
 
-Documents are dealt to chunks of bounded size by a hash of id and text. Each chunk has a set of 64-bit keys; it sends
+Documents are dealt to chunks of bounded size, in bytes and in rows, by a hash of all their columns and of the input partition (so
+that rows that are equal in every column share a chunk only within one input partition). Each chunk has a set of 64-bit keys; it sends
 every bucket (a range of key values) one array of its distinct keys in that range, so a key that fills a third of the
 corpus is sent once a chunk. A bucket counts its keys and answers each chunk with one byte a key, in the chunk's order.
 The chunk, dealt the same way again, recomputes its keys and reads the answers beside its documents.
 
-Memory is bounded by a chunk or a bucket; both grow in number, not in size, with the corpus.
+Memory is bounded by a chunk or a bucket; both grow in number, not in size, with the corpus. A chunk sends at most one message a
+bucket that it has keys of, so there are never more messages than keys: where buckets outnumber a chunk's keys (some TB), the
+exchange is an ordinary shuffle of one row a key.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import others, quoted
+from .common import give_back, others, quoted
 
 #: Bytes of text a chunk has, about, and keys a bucket has, about.
 CHUNK_BYTES, BUCKET_KEYS = 6 << 20, 1 << 20
+#: Rows a chunk has, about, however short its texts are.
+CHUNK_ROWS = 100_000
 REPLY = "chunk long, bucket int, reply binary"
 
 U64 = np.uint64
@@ -105,14 +110,14 @@ def utf8(texts: list) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def in_chunks(docs: DataFrame, text: str = "text", total_bytes: int | None = None, chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """docs with `chunk`, and the bytes of all texts. All columns take part, so that only rows equal
-    in every column must share a chunk."""
+def in_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """docs with `chunk`, and the bytes of all texts."""
     given = docs.select(*[quoted(c) for c in others(docs, ["chunk"])])
-    total = given.agg(F.sum(F.octet_length(quoted(text))).alias("n")).first()["n"] or 0 if total_bytes is None else total_bytes
-    n = max(1, -(-total // (chunk_bytes or CHUNK_BYTES)))
+    size = given.agg(F.sum(F.octet_length(quoted(text))).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    total = size["bytes"] or 0
+    n = max(1, -(-total // (chunk_bytes or CHUNK_BYTES)), -(-size["rows"] // CHUNK_ROWS))
     plain = [quoted(c) for c in given.columns]
-    return given.select(*plain, F.pmod(F.xxhash64(*plain), F.lit(n)).alias("chunk")), total
+    return given.select(*plain, F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(n)).alias("chunk")), total
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -151,10 +156,13 @@ def exchange(chunked: DataFrame, keys: Callable, answer: Callable, n_keys: int,
     def send(table: pa.Table, replies: pa.Table | None = None) -> pa.Table:
         made = keys(table) if replies is None else keys(table, replies)
         chunk = table.column("chunk")[0].as_py() if len(table) else 0
-        at = np.searchsorted(bucket_of(made[0], buckets), np.arange(buckets + 1, dtype=U64))
-        full = [b for b in range(buckets) if at[b] < at[b + 1]]
-        return pa.table({"chunk": pa.array([chunk] * len(full), pa.int64()), "bucket": pa.array(full, pa.int32()),
-                         "keys": pa.array([pack(*(x[at[b]: at[b + 1]] for x in made)) for b in full], pa.binary())})
+        full, at = np.unique(bucket_of(made[0], buckets), return_index=True)  # keys come in order
+        ends = [*at[1:].tolist(), len(made[0])][: len(at)]
+        out = pa.table({"chunk": pa.array([chunk] * len(full), pa.int64()), "bucket": pa.array(full.astype(np.int32), pa.int32()),
+                        "keys": pa.array([pack(*(x[lo:hi] for x in made)) for lo, hi in zip(at.tolist(), ends, strict=True)], pa.binary())})
+        del made
+        give_back()
+        return out
 
     def reply(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")  # answers may depend on who comes first

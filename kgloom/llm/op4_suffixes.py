@@ -191,6 +191,8 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, full: bool
         left = table.drop_columns(["chunk", text])
         for name, column, kind in zip(names, rows, kinds, strict=False):
             left = left.append_column(name, pa.array(column, kind))
+        del rows, table
+        packed.give_back()
         return left
 
     return chunked.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(cut, out)

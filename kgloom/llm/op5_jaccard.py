@@ -133,6 +133,8 @@ def profiles(docs: DataFrame, text: str, keep_text: bool = False) -> DataFrame:
         left = table.drop_columns(["chunk"] if keep_text else ["chunk", text])
         for name, column, kind in zip(added.fieldNames(), rows, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()), strict=True):
             left = left.append_column(name, pa.array(column, kind))
+        del rows, table, replies
+        packed.give_back()
         return left
 
     return chunked.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(look, out)
@@ -280,14 +282,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text:
     taken = ["chunk", "n_shingles", "oddness", "component_id", "is_first", "set_key", "tokens", "prefix", "_least", "_row"]
     given = docs.select(*[quoted(c) for c in others(docs, taken)])
     found = stage(profiles(given, text, keep_text).withColumn("_row", F.monotonically_increasing_id()))
+    # null ids are last, and structs order by their first field that differs
     least = F.min(F.struct(quoted(doc_id).isNull().alias("none"), quoted(doc_id).alias("id"), F.col("_row").alias("row")))
     sets = found.where("set_key is not null").groupBy("set_key").agg(
         least.alias("least"), F.first("n_shingles").alias("n"), F.first(F.struct("tokens", "prefix", "oddness")).alias("s"))
     bits = F.pandas_udf(_bitmaps, "binary")
-    nodes = stage(sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "least", "n", "s.tokens", "s.prefix", "s.oddness", bits("s.tokens").alias("bits")))
+    # numbered in the order of their least ids: a component's least node has its least id, and no group gathers a component
+    ordered = sets.repartitionByRange("least").sortWithinPartitions("least")
+    nodes = stage(ordered.select(F.monotonically_increasing_id().alias("node"), "set_key", "least", "n", "s.tokens", "s.prefix", "s.oddness", bits("s.tokens").alias("bits")))
     roots = components(links(nodes))
-    placed = nodes.select("node", "set_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labels = placed.join(placed.groupBy("root").agg(F.min("least").alias("_least")), "root").select("set_key", "_least")
+    placed = nodes.select("node", "set_key").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
+    labels = stage(placed.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("_least")), "root").select("set_key", "_least"))
     keep = [quoted(c) for c in given.columns if keep_text or c != text]
     least_id = F.coalesce("_least.id", quoted(doc_id)).alias("component_id")
     linked = found.where("set_key is not null").join(labels, "set_key").select(*keep, "n_shingles", least_id, (F.col("_row") == F.col("_least.row")).alias("is_first"))

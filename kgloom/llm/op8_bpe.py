@@ -22,6 +22,8 @@ import functools
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -31,8 +33,8 @@ from pyspark.sql import types as T
 from .common import documents, map_texts
 
 LONG_WORD = 256
-#: Tokens kept in a worker's table, and the longest text of one: some 60 MB at most.
-TABLE, TABLE_TEXT = 200_000, 64
+#: Tokens kept in a worker's table, and as many pieces of them, and the longest text of one: some 100 MB at most.
+TABLE, TABLE_TEXT = 300_000, 64
 #: Bytes of text that a worker holds at a time, about.
 BLOCK = 1 << 20
 
@@ -68,6 +70,12 @@ def classes() -> dict[str, str]:
     return {p: char_class(p) for p in (r"\p{L}", r"\p{N}", r"\s")}
 
 
+def letters_agree(letters: str) -> bool:
+    """Whether what Python takes for letters lies within a class: then a word of them needs no splitting."""
+    inside = re.compile("[" + letters + "]")
+    return all(inside.match(c) for c in map(chr, range(0x110000)) if c.isalpha())
+
+
 def checked(spec: dict) -> dict:
     """The file's content; raises where it asks for what this encoder doesn't do."""
     for part, given, wanted in (("", spec, SETTINGS), ("model.", spec["model"], MODEL_SETTINGS), *(("added_tokens.", t, ADDED_SETTINGS) for t in spec["added_tokens"])):
@@ -100,7 +108,8 @@ class Encoder:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.texts = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
+        by_id = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
+        self.texts = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         symbols = byte_symbols()
         self.first = [self.ids[s] for s in symbols]
         self.last = [self.ids[s + self.end] for s in symbols]
@@ -108,11 +117,14 @@ class Encoder:
         for pattern, inside in known.items():
             split = split.replace(pattern, inside)
         self.split = regex.compile(split)
+        self.split_ascii = re.compile(SPLIT.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "))  # of lower case
+        self.words = letters_agree(known[r"\p{L}"])
         self.nfc, self.lower = normalizers.NFC(), normalizers.Lowercase()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.white = regex.compile("[" + known[r"\s"] + "]+")
         self.odd = regex.compile("[\x1c-\x1f]")  # white space to str.split() alone
-        self.table: dict[str, tuple[bytes, str]] = {}
+        self.table: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         parts = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
@@ -161,34 +173,48 @@ class Encoder:
     def plain(self, chunk: str) -> list[int]:
         """Of text without white space and special tokens."""
         low = chunk.lower() if chunk.isascii() else self.lower.normalize_str(self.nfc.normalize_str(chunk))
+        if self.words and low.isalpha():
+            return self.piece(low)
         out: list[int] = []
-        for piece in self.split.findall(low):
-            out += self.merge(piece.encode())
+        for piece in (self.split_ascii if low.isascii() else self.split).findall(low):
+            out += self.piece(piece)
         return out
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids as 32-bit integers and decoded text of a token without white space."""
-        found = self.table.get(chunk)
+    def piece(self, piece: str) -> list[int]:
+        found = self.pieces.get(piece)
         if found is None:
-            ids: list[int] = []
-            for part in self.cut.split(chunk) if self.cut and "<" in chunk else [chunk]:
-                if part:
-                    ids += [self.special[part]] if part in self.special else self.plain(part)
-            found = np.array(ids, "<u4").tobytes(), " ".join(self.texts[i] for i in ids)
-            if len(chunk) <= TABLE_TEXT:
-                if len(self.table) >= TABLE:
-                    self.table.clear()
-                self.table[chunk] = found
+            found = self.merge(piece.encode())
+            if len(piece) <= TABLE_TEXT:
+                if len(self.pieces) >= TABLE:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids, as 32-bit integers, of a token without white space; short ones are kept."""
+        ids: list[int] = []
+        for part in self.cut.split(chunk) if self.cut and "<" in chunk else [chunk]:
+            if part:
+                ids += [self.special[part]] if part in self.special else self.plain(part)
+        found = array("I", ids).tobytes()
+        if len(chunk) <= TABLE_TEXT:
+            if len(self.table) >= TABLE:
+                self.table.clear()
+            self.table[chunk] = found
         return found
 
     def chunks(self, text: str) -> list[str]:
         return self.white.split(text) if self.odd.search(text) else text.split()
 
+    def packed(self, text: str | None) -> bytes:
+        known, chunk = self.table.get, self.chunk
+        return b"".join([known(c) or chunk(c) for c in self.chunks(text or "")])
+
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join([self.chunk(c)[0] for c in self.chunks(text or "")]), "<u4").tolist()
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids) -> str:
-        return " ".join(self.texts[i] for i in ids if i in self.texts)
+        return " ".join(map(self.texts.__getitem__, ids))
 
 
 DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -202,10 +228,11 @@ def make(data: str, ids: bool, decoded: bool) -> Callable[[], Callable[[list], l
         encoder = Encoder(data, known)
 
         def one(text: str | None) -> tuple:
-            found = [encoder.chunk(c) for c in encoder.chunks(text or "")]
-            packed, plain = b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
-            digests = len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
-            return (*([np.frombuffer(packed, "<i4")] if ids else []), *([plain] if decoded else []), *digests)
+            packed = encoder.packed(text)
+            numbers = np.frombuffer(packed, "<i4")
+            plain = encoder.decode(numbers.tolist())
+            digests = len(numbers), hashlib.sha256(packed).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
+            return (*([numbers] if ids else []), *([plain] if decoded else []), *digests)
 
         return lambda texts: [one(t) for t in texts]
 

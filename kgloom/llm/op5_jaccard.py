@@ -7,10 +7,11 @@
    links to none and leaves here: what goes on are copies and near copies. Equal sets become one node.
 3. Nodes meet in tiles: (shared prefix shingle, band of sizes), with the next band visiting, as sizes that link differ by a
    quarter at most. Large tiles split into blocks, a pair of blocks a task. In a tile, popcounts of the nodes' hashed
-   bitmaps bound the overlap from above; pairs that the bound leaves are intersected exactly. Two rounds link nodes to their
-   tile's centres, its least odd nodes, as originals are among edited copies; the last compares the pairs that are not yet
-   connected, whatever tile they share, so no link between components is missed and groups of thousands of copies don't
-   make all their pairs.
+   bitmaps bound the overlap from above; pairs that the bound leaves are intersected exactly. First come rounds of stars: a node
+   of each tile is its centre and meets those that it isn't connected with yet. The first centre is the least odd node, as
+   originals are among edited copies, later ones are drawn by a hash; the rounds go on while they connect much. The last
+   step compares all the pairs that are not yet connected, whatever tile they share, so no link between components is
+   missed and groups of thousands of copies don't make all their pairs.
 4. Links make components by label propagation on tables.
 
 No caps: prefixes, tiles and bounds are exact; only 64-bit hash collisions (128 for whole sets) could mislead.
@@ -34,6 +35,10 @@ from .graph import components
 WORDS, PERCENT = 5, 80
 #: Nodes a tile's block has at most, about.
 TILE = 2048
+#: Bits of a bitmap for an element, at least: few elements share one, so the bound is near the overlap.
+SPREAD = 8
+#: Star rounds go on while one finds this share of the links that the best one found.
+WORTH = 0.02
 U64 = np.uint64
 
 
@@ -94,8 +99,8 @@ def need(n: int) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Hashed bits of a set, two to four for each element by its size, 64 at least."""
-    width = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    """Hashed bits of a set, SPREAD to twice as many for each element by its size, 64 at least."""
+    width = max(64, 1 << int(SPREAD * len(tokens) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[packed.mix(tokens) & U64(width - 1)] = 1
     return np.packbits(bits).tobytes()
@@ -212,26 +217,22 @@ def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(token, tile, home, node, ...): every node at home in its own band's tile, and visiting the next lower band's."""
-    at = nodes.select("node", "n", "bits", "oddness", "root", F.explode("prefix").alias("token"))
-    return at.select("token", "node", "n", "bits", "oddness", "root", F.explode(F.array(
+    """(token, tile, home, node, root, oddness): every node at home in its own band's tile, and visiting the next lower band's."""
+    at = nodes.select("node", "n", "oddness", "root", F.explode("prefix").alias("token"))
+    return at.select("token", "node", "n", "oddness", "root", F.explode(F.array(
         F.struct(band(F.col("n")).alias("tile"), F.lit(True).alias("home")), F.struct((band(F.col("n")) - 1).alias("tile"), F.lit(False).alias("home")))).alias("t")).select(
-            "token", "t.*", "node", "n", "bits", "oddness", "root")
+            "token", "t.*", "node", "oddness", "root")
 
 
 KEY = ["token", "tile"]
 
 
-def _star(members: DataFrame, again: bool) -> DataFrame:
-    """Pairs of a tile's least odd node at home with the others; again: of the least odd one outside that node's component
-    with those outside its own."""
-    best = F.min(F.struct("oddness", "node", "root"))
-    lead = members.where("home").groupBy(*KEY).agg(best.alias("lead"))
-    if again:
-        rest = members.where("home").join(lead, KEY).where(F.col("root") != F.col("lead.root"))
-        lead = rest.groupBy(*KEY).agg(best.alias("lead"))
-    other = members.select(*KEY, "node", "root").join(lead, KEY).where(F.col("node") != F.col("lead.node"))
-    other = other.where(F.col("root") != F.col("lead.root"))
+def _star(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a tile's centre, a node at home, with the nodes that it isn't connected with: the least odd one first, then
+    by a hash of the turn."""
+    rank = F.col("oddness") if not turn else F.xxhash64(F.lit(turn), "node")
+    lead = members.where("home").groupBy(*KEY).agg(F.min(F.struct(rank.alias("rank"), "node", "root")).alias("lead"))
+    other = members.select(*KEY, "node", "root").join(lead, KEY).where(F.col("root") != F.col("lead.root"))
     return other.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
@@ -241,17 +242,24 @@ def _rooted(light: DataFrame, found: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between nodes (node, n, tokens, bits, prefix, oddness) that connect every component."""
-    light = nodes.select("node", "n", "bits", "prefix", "oddness", F.col("node").alias("root"))
-    # two rounds of stars: an original connects its copies, and what it leaves has one more centre
-    found = stage(_linked(_allowed(_star(_members(light), False), light), nodes))
-    known = _rooted(light, found)
-    found = stage(found.union(_linked(_allowed(_star(_members(known), True), light), nodes)))
+    light = nodes.select("node", "n", "prefix", "oddness", F.col("node").alias("root"))
+    known, found, most, turn = light, None, 0, 0
+    while True:
+        new = stage(_linked(_allowed(_star(_members(known), turn), nodes), nodes))
+        n = new.count()
+        found = new if found is None else stage(found.union(new))
+        if n:
+            known = _rooted(light, found)
+        most, turn = max(most, n), turn + 1
+        # the second centre is tried in any case: what an original leaves may have another one
+        if turn > 1 and n <= WORTH * most:
+            break
     # then every pair that still lies in different components of a tile; tiles of the same nodes are looked at once
-    members = _members(_rooted(light, found))
+    members = _members(known).drop("oddness")
     who = lambda salt: F.sum(F.pmod(F.xxhash64(F.lit(salt), "node", "home"), F.lit(1 << 40)))
     mixed = members.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("any"), who(1).alias("s1"), who(2).alias("s2")).where("low <> high and any")
     mixed = mixed.groupBy("tile", "size", "s1", "s2").agg(F.min("token").alias("token")).select(*KEY, F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    dealt = members.join(mixed, KEY).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = members.join(mixed, KEY).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "n", "bits"), "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         *KEY, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "home", "node", "n", "bits", "root")
     pairs = dealt.groupBy(*KEY, "x", "y").applyInArrow(_tile, PAIRS).distinct()

@@ -14,42 +14,59 @@ def backbone(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def layer_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, depth): the longest path from a node that nothing enters, over nodes released so far. Nodes in or behind a
-    cycle are never released and get 1 at least. Parallel edges count once; edges to unknown nodes don't."""
+#: Layers that are released between two checkpoints.
+STEPS = 4
+
+
+def _released(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth, done): the longest path from a node that nothing enters, over nodes released so far; done is false where a
+    cycle holds a node back. Several layers go in one plan, as a small layer costs less than a checkpoint."""
     known = nodes.select("node").distinct()
     e = cut(edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi"))
     entering = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open"))
     state = cut(known.join(entering, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("depth"), F.lit(False).alias("done")))
-    while True:
-        free = state.where("open = 0 and not done").select(F.col("node").alias("src"), "depth")
-        if free.isEmpty():
-            break
-        released = e.join(free, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("depth") + 1).alias("d"))
-        state = cut(state.join(released, "node", "left").select(
-            "node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("depth", F.coalesce("d", "depth")).alias("depth"), (F.col("done") | (F.col("open") == 0)).alias("done")))
-    return state.select("node", F.when(F.col("done"), F.col("depth")).otherwise(F.greatest(F.lit(1), "depth")).alias("depth"))
+    while not state.where("open = 0 and not done").isEmpty():
+        for _ in range(STEPS):
+            free = state.where("open = 0 and not done").select(F.col("node").alias("src"), "depth")
+            released = e.join(free, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("depth") + 1).alias("d"))
+            state = state.join(released, "node", "left").select(
+                "node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("depth", F.coalesce("d", "depth")).alias("depth"), (F.col("done") | (F.col("open") == 0)).alias("done"))
+        state = cut(state)
+    return state.select("node", "depth", "done")
 
 
-def heights(edges: DataFrame, max_steps: int | None = None) -> DataFrame:
-    """(node, height): nodes on the longest path that starts there. Cyclic input is out of contract and raises."""
+def layer_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth): the longest path from a node that nothing enters, over nodes released so far. Nodes in or behind a
+    cycle are never released and get 1 at least. Parallel edges count once; edges to unknown nodes don't."""
+    return _released(nodes, edges).select("node", F.when(F.col("done"), F.col("depth")).otherwise(F.greatest(F.lit(1), "depth")).alias("depth"))
+
+
+def heights(edges: DataFrame) -> DataFrame:
+    """(node, height): nodes on the longest path that starts there. Cyclic input raises."""
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return layer_depth(backbone(edges), turned).select("node", (F.col("depth") + 1).alias("height"))
+    found = _released(backbone(edges), turned)
+    if not found.where("not done").isEmpty():
+        raise ValueError("the edges have a cycle: no longest path")
+    return found.select("node", (F.col("depth") + 1).alias("height"))
 
 
 def main_chain(edges: DataFrame) -> DataFrame:
     """(position, node) of a longest path. Of starts and successors of equal height the one whose edge comes first (by
-    ord) stays. edges: src, dst, ord."""
+    ord) stays. edges: src, dst, ord. Cyclic input raises. The chain doubles at each step: its nodes so far and the jump
+    over as many successors give the next ones."""
     h = cut(heights(edges))
-    best = edges.join(h.withColumnRenamed("node", "dst"), "dst").withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.col("height").desc(), "ord"))).where("r = 1").select("src", F.col("dst").alias("next"))
+    first = F.min_by("dst", F.struct(-F.col("height"), "ord"))
+    jump = cut(edges.join(h.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(first.alias("next")))
     order = edges.groupBy(F.col("src").alias("node")).agg(F.min("ord").alias("ord"))
     start = h.join(edges.select(F.col("dst").alias("node")), "node", "left_anti").join(order, "node").orderBy(F.col("height").desc(), "ord").limit(1)
-    chain = frontier = cut(start.select(F.lit(0).alias("position"), "node"))
-    best = cut(best)
-    while not frontier.isEmpty():
-        frontier = cut(frontier.join(best, frontier["node"] == best["src"]).select((F.col("position") + 1).alias("position"), F.col("next").alias("node")))
-        chain = chain.unionAll(frontier)
-    return chain
+    chain, size = cut(start.select(F.lit(0).alias("position"), "node")), 1
+    while True:
+        more = cut(chain.join(jump, chain["node"] == jump["src"]).select((F.col("position") + size).alias("position"), F.col("next").alias("node")))
+        if more.isEmpty():
+            return chain
+        chain, size = chain.unionAll(more), 2 * size
+        onward = jump.select(F.col("src").alias("next"), F.col("next").alias("far"))
+        jump = cut(jump.join(onward, "next").select("src", F.col("far").alias("next")))
 
 
 def reachable(edges: DataFrame, starts: DataFrame, backward: bool = False) -> DataFrame:

@@ -1,13 +1,15 @@
 """Cleaning and segmentation of texts as ordered lines.
 
-Lines are rows (doc_id, i, line); what depends on neighbours is a window in a document. Folds whose state is the line
-that they have just built (table of contents, line repair, code blocks) run on a document's array in a pandas UDF.
+Lines are rows (doc_id, i, line); what depends on neighbours is a window in a document. Where whole runs of lines matter
+(table of contents, broken lines, code blocks), expressions give every line a kind of one letter, and a pandas UDF finds
+the runs as matches of a pattern in the document's string of kinds.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -147,149 +149,263 @@ def apply_rules(c: Column, rules: list[tuple[str, str, str]]) -> Column:
     return c
 
 
-# Folds over one document's lines
-
-def drop_toc(ls: list[str]) -> list[str]:
-    """Blocks of a table of contents, six such lines among ten, leave only their titles."""
-    toc = [bool(re.search(t.TOC_LINE, x.strip())) for x in ls]
-    out, i = [], 0
-    while i < len(ls):
-        if sum(toc[i:i + 10]) < 6:
-            out.append(ls[i])
-            i += 1
-            continue
-        while i < len(ls) and (toc[i] or not ls[i].strip()):
-            if (m := re.match(t.TOC_TITLE, ls[i].strip())) and m[1].strip():
-                out.append(m[1].strip())
-            i += 1
+def _regex(rules: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
+    return [("regex", "(?U)" + pattern, new) for pattern, new in rules]
+
+
+def _found(c: Column, patterns: list[str]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | F.regexp_like(c, F.lit("(?U)" + p))
     return out
 
 
-def _glue(cur: str, nxt: str) -> str | None:
-    """The merged line, or None where the break stays. cur has no trailing white space, nxt none around."""
-    bare = cur.strip()
-    if not bare or not nxt or nxt in (t.CODE_START, t.CODE_END) or cur[-1] in t.NO_MERGE_AFTER or len(bare) > 60:
-        return None
-    if re.match(t.CHAPTER_TITLE, nxt) or re.match(t.CODE_BEGIN, nxt) or re.match(r"(【|\d+[.、])", nxt):
-        return None
-    if cur.endswith("-") and nxt[0].islower():
-        return cur[:-1] + nxt
-    han = sum("一" <= c <= "鿿" for c in cur)
-    if han > 0.3 * len(cur) and not nxt[0].isdigit() and cur[-1] not in t.SENTENCE_END and len(bare) < 30:
-        return cur + nxt
-    return f"{cur} {nxt}" if cur[-1].islower() and nxt[0].islower() and len(bare) < 40 else None
+def looks_like_code(line: Column) -> Column:
+    bare = py_strip(line)
+    return (bare != "") & (F.startswith(line, F.lit("    ")) | F.startswith(line, F.lit("\t")) | _found(bare, t.CODE_SIGNS))
 
 
-def mend_breaks(ls: list[str]) -> list[str]:
-    """Lines that a page broke are joined, the joined line being the next one's start."""
-    out: list[str] = []
-    carried: str | None = None
-    for i, line in enumerate(ls):
-        cur = (line if carried is None else carried).rstrip()
-        carried = _glue(cur, ls[i + 1].strip()) if i + 1 < len(ls) else None
-        if carried is None:
-            out.append(cur)
-    return out
+# Kinds of lines, one letter each
 
+def toc_kind(line: Column) -> Column:
+    """T in a table of contents, B blank, O other."""
+    bare = py_strip(line)
+    return F.when(bare == "", "B").when(_found(bare, t.TOC_LINES), "T").otherwise("O")
 
-def is_code(line: str) -> bool:
-    s = line.strip()
-    return bool(s) and bool(
-        line.startswith(("    ", "\t")) or re.search(t.CODE_LINE, s) or (s.endswith("|") and re.search(r"[()=]", s)) or re.match(r"(lelse|felse|\}\s*else)", s)
-        or re.search(r"7[*%]", s) or (";" in s and re.search(r"\w+\s*[+\-]?=\s*\w|\w+\+\+|\w+--", s)) or re.search(r'"[^"]*%[dsfcxoluf][^"]*"', s))
 
+def joint_kind(line: Column) -> Column:
+    """S stands for itself, J may be the rest of the line before."""
+    bare = py_strip(line)
+    alone = (bare == "") | bare.isin(t.CODE_START, t.CODE_END) | _found(bare, [t.CHAPTER_TITLE, t.CODE_BEGIN, t.NUMBERED])
+    return F.when(alone, "S").otherwise("J")
 
-def _is_tail(line: str) -> bool:
-    s = line.strip()
-    return bool(s) and bool(is_code(s) or re.match(r"(\}|\{|else\b)", s) or re.match(r"[A-Za-z_]\w*\s*\+\+\s*;?$", s) or re.match(r"/\*.*\*/$", s)
-                            or (re.search(r"[;{}()]", s) and re.search(r"[A-Za-z_]", s)))
 
+def code_kind(line: Column) -> Column:
+    """B blank, M a marker, C code, N code that is a numbered title too; of other lines, what code may have in it and what a block
+    may end with: D does both, F the first, T the second, P neither."""
+    bare = py_strip(line)
+    title = _found(bare, [t.CHAPTER_TITLE])
+    filler = (F.length(bare) <= 5) | _found(bare, [t.CODE_FILLER])
+    tail = ~title & _found(bare, t.TAIL_SIGNS)
+    code = F.when(title, "N").otherwise("C")
+    other = F.when(filler & tail, "D").when(filler, "F").when(tail, "T").otherwise("P")
+    return F.when(bare.isin(t.CODE_START, t.CODE_END), "M").when(bare == "", "B").when(looks_like_code(line), code).otherwise(other)
 
-def _trim(ls: list[str]) -> list[str]:
-    while ls and not ls[-1].strip():
-        ls.pop()
-    return ls
 
+#: Fewest lines of a table of contents among how many.
+TOC_LEAST, TOC_NEXT = 6, 10
+#: Blank lines that code may have before it goes on, and lines that a block takes in behind it.
+CODE_BLANKS, CODE_TAIL = 2, 8
+CODE_RUN = re.compile("[CN](?:[DF]*(?:B[DF]*){0,%d}[CN])*[DF]*(?:B[DF]*){0,%d}" % (CODE_BLANKS, CODE_BLANKS))
+TAIL_RUN = re.compile("[CDT]+(?:B[CDT]*)?")
 
-def mark_code(ls: list[str]) -> list[str]:
-    """Runs of code of two lines or more go between markers, with up to 8 short tail lines; neighbouring blocks join."""
-    out: list[str] = []
-    i, n = 0, len(ls)
-    while i < n:
-        if not is_code(ls[i]):
-            out.append(ls[i])
-            i += 1
-            continue
-        run, blanks = [], 0
-        while i < n:
-            s = ls[i].strip()
-            if is_code(ls[i]):
-                blanks = 0
-            elif not s:
-                blanks += 1
-                if blanks > 2:
-                    break
-            elif len(s) > 5 and not re.match(r"[{}|;]", s):
-                break
-            run.append(ls[i])
-            i += 1
-        run = _trim(run)
-        out += [t.CODE_START, *run, t.CODE_END] if len(run) >= 2 else run
-    return _absorb(out)
-
-
-def _absorb(ls: list[str]) -> list[str]:
+
+def drop_toc(ls: list[str], kinds: str) -> list[tuple[int, str]]:
+    """Runs of contents and blank lines leave only their titles, from where six of the next ten lines are contents. Numbers of
+    the lines that stay, with their text."""
+    out, at = [], 0
+    for run in re.finditer("[TB]+", kinds):
+        lo = next((i for i in range(*run.span()) if kinds.count("T", i, i + TOC_NEXT) >= TOC_LEAST), run.end())
+        titles = [(i, re.match(t.TOC_TITLE, ls[i].strip())) for i in range(lo, run.end())]
+        out += [(i, ls[i]) for i in range(at, lo)] + [(i, m[1].strip()) for i, m in titles if m and m[1].strip()]
+        at = run.end()
+    return out + list(enumerate(ls))[at:]
+
+
+def _seam(line: str, rest: str) -> str | None:
+    """What stands between a broken line and its rest in place of the break (a hyphen goes); None where the break is one."""
+    bare = line.strip()
+    if not bare or line[-1] in t.NO_MERGE_AFTER or len(bare) > 60:
+        return None
+    if line[-1] == "-" and rest[0].islower():
+        return "-"
+    han = len(re.findall("[一-鿿]", line)) > 0.3 * len(line)
+    if han and len(bare) < 30 and line[-1] not in t.SENTENCE_END and not rest[0].isdigit():
+        return ""
+    return " " if len(bare) < 40 and line[-1].islower() and rest[0].islower() else None
+
+
+def mend_breaks(ls: list[str], kinds: str) -> list[str]:
+    """Lines that a page broke are joined, each joined line being the start of the next one's."""
     out: list[str] = []
-    i, n, open_ = 0, len(ls), False
-    while i < n:
-        line = ls[i]
-        i += 1
-        if line == t.CODE_START:
-            if out and out[-1] == t.CODE_END:
-                out.pop()
-            elif not open_:
-                out.append(line)
-            open_ = True
-        elif line == t.CODE_END and open_:
-            tail: list[str] = []
-            while i < n and len(tail) < 8 and ls[i] not in (t.CODE_START, t.CODE_END) and not re.match(t.CHAPTER_TITLE, ls[i].strip()):
-                blank = not ls[i].strip()
-                if not _is_tail(ls[i]) and not (blank and tail and all(x.strip() for x in tail)):
-                    break
-                tail.append(ls[i])
-                i += 1
-            out += [*_trim(tail), t.CODE_END]
-            open_ = False
-        elif line != t.CODE_END:
+    for line, kind in zip(ls, kinds, strict=True):
+        seam = _seam(out[-1], line.strip()) if out and kind == "J" else None
+        if seam is None:
             out.append(line)
-    return [*out, t.CODE_END] if open_ else out
+        else:
+            out[-1] = out[-1].removesuffix(seam if seam == "-" else "") + (" " if seam == " " else "") + line.strip()
+        out[-1] = out[-1].rstrip()
+    return out
 
 
-def clean_lines(ls: list[str]) -> list[str]:
-    """The folds in their order: table of contents, line breaks, code blocks."""
-    return mark_code(mend_breaks(drop_toc(ls)))
+def page_kind(line: Column) -> Column:
+    return F.concat(toc_kind(line), joint_kind(line))
 
 
-def fold(c: Column, f: Callable[[list[str]], list[str]]) -> Column:
-    """f over an array of lines, in Arrow batches."""
-    import pandas as pd
+def mend_pages(ls: list[str], kinds: str) -> list[str]:
+    """drop_toc and mend_breaks in one fold. A title starts as its line of contents does, so the line's kind serves for it."""
+    kept = drop_toc(ls, kinds[::2])
+    return mend_breaks([x for _, x in kept], "".join(kinds[2 * i + 1] for i, _ in kept))
 
-    def run(column):
-        return column.map(lambda x: None if x is None else f([str(v) for v in x]))
 
-    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+def mark_code(ls: list[str], kinds: str) -> list[str]:
+    """Runs of code of two lines or more go between markers, with the lines behind them that end them; blocks that touch
+    are one, and markers alternate. Blank lines at the end of a run go."""
+    parts: list[tuple[str, list[str]]] = []  # a block with kind X, or a line with its own
+    at = 0
+    for run in CODE_RUN.finditer(kinds):
+        body = _trim(ls[slice(*run.span())])
+        parts += [(k, [x]) for k, x in zip(kinds[at: run.start()], ls[at: run.start()], strict=True)]
+        parts += [("X", body)] if len(body) > 1 else [(kinds[run.start()], body)]
+        at = run.end()
+    parts += [(k, [x]) for k, x in zip(kinds[at:], ls[at:], strict=True)]
+    shape, out, at = "".join(k for k, _ in parts), [], 0
+    for block in re.finditer("X", shape):
+        out += [x for _, xs in parts[at: block.start()] for x in xs]
+        tail = TAIL_RUN.match(shape, block.end(), block.end() + CODE_TAIL)
+        at = tail.end() if tail else block.end()
+        out += [t.CODE_START, *parts[block.start()][1], *_trim([x for _, xs in parts[block.end(): at] for x in xs]), t.CODE_END]
+    return _alternating(out + [x for _, xs in parts[at:] for x in xs])
 
-    return F.pandas_udf(run, "array<string>")(c)
 
+def _trim(ls: list[str]) -> list[str]:
+    n = len(ls)
+    while n and not ls[n - 1].strip():
+        n -= 1
+    return ls[:n]
+
+
+def _alternating(ls: list[str]) -> list[str]:
+    """Without ends that a start follows at once, and markers that repeat the one before; an open block ends with the text."""
+    keep = [x for x, after in zip(ls, [*ls[1:], ""], strict=False) if (x, after) != (t.CODE_END, t.CODE_START)]
+    out, last = [], t.CODE_END
+    for x in keep:
+        if x in (t.CODE_START, t.CODE_END):
+            if x == last:
+                continue
+            last = x
+        out.append(x)
+    return [*out, t.CODE_END] if last == t.CODE_START else out
+
+
+def fold(rows: DataFrame, kind: Callable[[Column], Column], f: Callable[[list[str], str], list[str]]) -> DataFrame:
+    """rows with each document's lines put through f, which gets the lines and the string of their kinds."""
+    import pandas as pd
 
-def clean_document(docs: DataFrame, ocr: list[tuple[str, str, str]] | None = None, post: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """(doc_id, text) of documents after encoding, headers, folds, rule tables, noise and adjacent duplicates, in that order.
-    ocr and post are rule tables of the text at hand."""
-    first = header_footer(lines(docs.select("doc_id", normalize_encoding(F.col("text")).alias("text"))))
-    arrays = gather(first).select("doc_id", F.array_join(fold(F.split("text", "\n"), clean_lines), "\n").alias("text"))
-    fixed = arrays.select("doc_id", apply_rules(F.col("text"), ocr or []).alias("text"))
-    quiet = gather(noise_filter(lines(fixed))).select("doc_id", apply_rules(F.col("text"), post or []).alias("text"))
-    return gather(adjacent_dedup(lines(quiet)))
+    def run(texts, kinds):
+        return pd.Series([f(list(x), k) for x, k in zip(texts, kinds, strict=True)])
+
+    run.__annotations__ = {"texts": pd.Series, "kinds": pd.Series, "return": pd.Series}
+    both = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "line", kind(F.col("line")).alias("kind")))).alias("l"))
+    new = F.pandas_udf(run, "array<string>")(F.col("l.line"), F.array_join("l.kind", ""))
+    return both.select("doc_id", F.posexplode(new).alias("i", "line"))
+
+
+# Repair by rule tables
+
+@dataclass(frozen=True)
+class Rules:
+    """Rule tables of the text at hand, of which the general part is fixed: what a book's pages get wrong is its own.
+
+    code, prose: (kind, pattern, replacement) for misread lines of each; snippets: the same for code after noise is gone;
+    inserts: (line contains, line before isn't or is, which of these, new line) within code; rebuilds: (anchor, guards, lines);
+    style, samples: (kind, pattern, replacement) for every line at the end; starts: (prefix, new line); drops: lines that go.
+    """
+    code: list = field(default_factory=list)
+    prose: list = field(default_factory=list)
+    snippets: list = field(default_factory=list)
+    inserts: list = field(default_factory=list)
+    rebuilds: list = field(default_factory=list)
+    style: list = field(default_factory=list)
+    starts: list = field(default_factory=list)
+    drops: list = field(default_factory=list)
+    samples: list = field(default_factory=list)
+
+
+def garbled(line: Column) -> Column:
+    """More than half capitals and blanks, hardly any character beyond ASCII, and no three small letters in a row."""
+    n = F.greatest(F.length(line), F.lit(1))
+    odd = F.length(F.regexp_replace(line, "[\\x00-\\x7F]", ""))
+    capitals = F.length(F.regexp_replace(line, "[^\\p{IsUppercase} ]", ""))
+    return (F.length(py_strip(line)) > 5) & (odd < 0.1 * n) & (capitals > 0.5 * n) & ~F.regexp_like(line, F.lit("[a-z]{3,}"))
+
+
+def ocr_correction(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """rows with misread lines corrected: specks and garbled lines are blank, `/words/` is a comment again, then code and prose
+    each go through their rules, the given ones first."""
+    line = F.regexp_replace("line", r"/(?=[一-鿿][^/]{0,30}/)([一-鿿](?:[^/]*[^/\s])?)\s*/", "/* $1 */")
+    marker = F.col("line").isin(t.CODE_START, t.CODE_END)
+    s = rows.withColumn("code", in_code(F.col("line"))).withColumn("new", line)
+    code = apply_rules(F.col("new"), rules.code + _regex(t.OCR_CODE_RULES))
+    prose = apply_rules(F.col("new"), rules.prose + _regex(t.OCR_TEXT_RULES))
+    new = (F.when(marker, F.col("line")).when(py_strip(F.col("line")).isin(*t.OCR_SPECKS) | garbled(F.col("new")) | F.startswith(py_strip(F.col("new")), F.lit("《")), "")
+           .when(F.col("code") | looks_like_code(F.col("new")), code).otherwise(prose))
+    return s.select("doc_id", "i", new.alias("line"))
+
+
+def insert_before(rows: DataFrame, contains: str, before: str, equal: bool, new: str) -> DataFrame:
+    """rows with a line put in before each line of code that has a text, if the last line before it that isn't blank equals
+    `before` (or doesn't)."""
+    s = rows.withColumn("strip", py_strip(F.col("line")))
+    s = s.withColumn("code", in_code(F.col("strip"))).withColumn("above", F.coalesce(F.last(F.nullif("strip", F.lit("")), True).over(by_doc().rowsBetween(W.unboundedPreceding, -1)), F.lit("")))
+    same = F.col("above") == before
+    hit = F.col("code") & F.contains("line", F.lit(contains)) & (same if equal else ~same)
+    put = s.select("doc_id", F.col("i").alias("at"), F.posexplode(F.when(hit, F.array(F.lit(new), F.col("line"))).otherwise(F.array("line"))).alias("k", "line"))
+    return put.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("at", "k")) - 1).alias("i"), "line")
+
+
+def rebuild_block(anchor: str, guards: list[str], new: list[str]) -> Callable[[list[str], str], list[str]]:
+    """A fold: behind the first line with the anchor, the first code block that has all guards gets new lines, once."""
+    def f(ls: list[str], kinds: str) -> list[str]:
+        at = next((i for i, x in enumerate(ls) if anchor in x), len(ls))
+        for m in re.finditer("S[^SE]*E", kinds[at:]):
+            lo, hi = at + m.start() + 1, at + m.end() - 1
+            if all(any(g in x for x in ls[lo:hi]) for g in guards):
+                return [*ls[:lo], *new, *ls[hi:]]
+        return ls
+
+    return f
+
+
+def marker_kind(line: Column) -> Column:
+    return F.when(line == t.CODE_START, "S").when(line == t.CODE_END, "E").otherwise("O")
+
+
+def snippet_repair(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """rows with the rules' repairs of code, insertions and rebuilt blocks."""
+    s = rows.withColumn("code", in_code(F.col("line")))
+    rows = s.select("doc_id", "i", F.when(F.col("code") & (F.col("line") != t.CODE_START), apply_rules(F.col("line"), rules.snippets)).otherwise(F.col("line")).alias("line")) if rules.snippets else rows
+    for rule in rules.inserts:
+        rows = insert_before(rows, *rule)
+    for rule in rules.rebuilds:
+        rows = fold(rows, marker_kind, rebuild_block(*rule))
+    return rows
+
+
+def post_normalize(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """rows in one style: rules, lines that a start decides or that go, no adjacent duplicates, then the rules for samples."""
+    s = rows.withColumn("line", apply_rules(F.col("line"), rules.style))
+    bare, new = py_strip(F.col("line")), F.col("line")
+    for prefix, whole in reversed(rules.starts):
+        new = F.when(F.startswith(bare, F.lit(prefix)), F.lit(whole)).otherwise(new)
+    started = F.lit(False)
+    for prefix, _ in rules.starts:
+        started = started | F.startswith(bare, F.lit(prefix))
+    gone = ~started & bare.isin(*rules.drops) if rules.drops else F.lit(False)
+    quiet = adjacent_dedup(s.where(~gone).select("doc_id", "i", new.alias("line")))
+    return quiet.withColumn("line", apply_rules(F.col("line"), rules.samples))
+
+
+def clean_document(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(doc_id, text) of documents after encoding, headers, contents, line breaks, misread lines, code blocks, misread lines
+    again, noise, snippets and style, in that order. A document whose lines all go is left out. Texts are dealt by document
+    first: windows, counts and groups after that need no exchange of their own, but where a fold's result is dealt again."""
+    dealt = docs.select("doc_id", normalize_encoding(F.col("text")).alias("text")).repartition("doc_id")
+    rows = header_footer(lines(dealt))
+    rows = fold(rows, page_kind, mend_pages)
+    rows = ocr_correction(fold(ocr_correction(rows, rules), code_kind, mark_code), rules)
+    rows = post_normalize(snippet_repair(noise_filter(rows), rules), rules)
+    return gather(rows)
 
 
 def result_metrics(raw: DataFrame, cleaned: DataFrame, parts: DataFrame) -> DataFrame:

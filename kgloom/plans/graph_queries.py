@@ -14,8 +14,8 @@ WITH = "WITH RECURSIVE " + v.SQL
 KP = ", ".join(g.KP_COLUMNS)
 
 
-def _graph(f, parts=v.DAG_PARTS):
-    return lambda spark, d: f(v.graph(spark, d, parts))
+def _graph(f):
+    return lambda spark, d: f(v.graph(spark, d))
 
 
 def _dag(x):
@@ -36,9 +36,9 @@ def _typed(x):
     return x.nodes().select("id", "type")
 
 
-def _merge_nodes(spark, d, which="l_partkey % 3 = 0"):
+def _merge_nodes(spark, d):
     x = v.graph(spark, d)
-    rows = v.read(spark, d, "lineitem").where(which).select(
+    rows = v.read(spark, d, "lineitem").select(
         v._key("KP", F.col("l_partkey") * 2, 6).alias("kp_id"), F.concat(F.lit("part "), F.col("l_suppkey").cast("string")).alias("name"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("section"),
         F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_partkey").alias("ord"))
     return store.merge_nodes(x.kps.select("kp_id", "name", "section", "chapter_id"), rows, "kp_id", ["name", "section"])
@@ -66,8 +66,9 @@ def _exists(spark, d):
     return found_action(rows, x.kps, "kp_id")
 
 
-def _reach(x, some=True):
-    starts = _kp_nodes(x).where("substring(node, 8, 1) in ('2', '7')") if some else _kp_nodes(x)
+def _reach(x):
+    """All that the query set, the nodes whose number is divisible by 50, reach over all edges: pairs of all nodes grow with their square."""
+    starts = _kp_nodes(x).where("cast(substring(node, 3) as bigint) % 50 = 0")
     fwd = a.reachable(_dag(x), starts).select(F.lit("forward").alias("direction"), "start", "node", "distance")
     return fwd.unionAll(a.reachable(_dag(x), starts, True).select(F.lit("backward"), "start", "node", "distance"))
 
@@ -97,70 +98,45 @@ def _replay(spark, d):
     return review.replay(base, items, "node", ["label", "value"]).select("node", "label", F.col("value").cast("double").alias("value"))
 
 
-#: What is built on PREREQUISITE edges.
-ANALYTICS = {
-    "out_neighbors": lambda x: g.out_neighbors(x, "PREREQUISITE"),
-    "in_neighbors": lambda x: g.in_neighbors(x, "PREREQUISITE"),
-    "backbone": _kp_nodes,
-    "layer_depth": lambda x: a.layer_depth(_kp_nodes(x), _dag(x)),
-    "main_chain_height": lambda x: a.heights(_dag(x)),
-    "main_chain": _main,
-    "reachability": _reach,
-    "focus_subgraph": _focus,
-    "roles": lambda x: a.roles(_typed(x), x.edges, _main(x)),
-    "style_roles": lambda x: a.style_roles(_typed(x), x.edges, _main(x)),
-    "nearest_main": lambda x: a.nearest_main(_typed(x), x.edges, _main(x)),
-    "chain_edges": lambda x: a.chain_edges(_dag(x).withColumn("ord", F.concat_ws("|", "src", "dst")), _main(x)),
-    "graph_stats": g.stats,
-    "graph_edges": g.export_edges,
-    "subgraph_by_chapter": _subgraph,
-    "in_degree": lambda x: a.degrees(_typed(x), x.edges),
-    "detach_delete": _detach,
-}
-
 QUERIES = {
     "health": lambda spark, d: g.health(spark),
-    "graph_stats": _graph(ANALYTICS["graph_stats"]),
+    "graph_stats": _graph(g.stats),
     "list_chapters": _graph(g.list_chapters),
     "chapter_detail": _graph(g.chapter_kps),
     "chapter_page": _graph(lambda x: g.chapter_detail(x, CHAPTER)),
     "search_topk": _graph(lambda x: g.search_kps(x, WORD)),
     "editor_search": _graph(lambda x: g.editor_search(x, "00001")),
     "point_lookup": _graph(lambda x: g.lookup(x, NODE)),
-    "out_neighbors": _graph(ANALYTICS["out_neighbors"]),
-    "in_neighbors": _graph(ANALYTICS["in_neighbors"]),
+    "out_neighbors": _graph(lambda x: g.out_neighbors(x, "PREREQUISITE")),
+    "in_neighbors": _graph(lambda x: g.in_neighbors(x, "PREREQUISITE")),
     "undirected_neighbors": _graph(lambda x: g.undirected_neighbors(x, NODE)),
     "graph_nodes": _graph(lambda x: g.export_nodes(x).select("id", "label", "type")),
-    "graph_edges": _graph(ANALYTICS["graph_edges"]),
-    "subgraph_by_chapter": _graph(ANALYTICS["subgraph_by_chapter"]),
+    "graph_edges": _graph(g.export_edges),
+    "subgraph_by_chapter": _graph(_subgraph),
     "topk_chapters": _graph(g.top_chapters),
     "type_counts": _graph(g.type_counts),
     "kp_card": _graph(g.kp_card),
-    "backbone": _graph(ANALYTICS["backbone"]),
-    "layer_depth": _graph(ANALYTICS["layer_depth"]),
-    "main_chain_height": _graph(ANALYTICS["main_chain_height"]),
-    "main_chain": _graph(ANALYTICS["main_chain"]),
-    "reachability": _graph(ANALYTICS["reachability"]),
-    "focus_subgraph": _graph(ANALYTICS["focus_subgraph"]),
-    "roles": _graph(ANALYTICS["roles"]),
-    "style_roles": _graph(ANALYTICS["style_roles"]),
-    "nearest_main": _graph(ANALYTICS["nearest_main"]),
-    "chain_edges": _graph(ANALYTICS["chain_edges"]),
+    "backbone": _graph(_kp_nodes),
+    "layer_depth": _graph(lambda x: a.layer_depth(_kp_nodes(x), _dag(x))),
+    "main_chain_height": _graph(lambda x: a.heights(_dag(x))),
+    "main_chain": _graph(_main),
+    "reachability": _graph(_reach),
+    "focus_subgraph": _graph(_focus),
+    "roles": _graph(lambda x: a.roles(_typed(x), x.edges, _main(x))),
+    "style_roles": _graph(lambda x: a.style_roles(_typed(x), x.edges, _main(x))),
+    "nearest_main": _graph(lambda x: a.nearest_main(_typed(x), x.edges, _main(x))),
+    "chain_edges": _graph(lambda x: a.chain_edges(_dag(x).withColumn("ord", F.concat_ws("|", "src", "dst")), _main(x))),
     "slots": _graph(_slots),
-    "in_degree": _graph(ANALYTICS["in_degree"]),
-    "layered_positions": _graph(lambda x: a.layered_positions(a.layer_depth(_kp_nodes(x), _dag(x)), _dag(x)).select("node", F.round("x", 3).alias("x"), "y"), None),
+    "in_degree": _graph(lambda x: a.degrees(_typed(x), x.edges)),
+    "layered_positions": _graph(lambda x: a.layered_positions(a.layer_depth(_kp_nodes(x), _dag(x)), _dag(x)).select("node", F.round("x", 3).alias("x"), "y")),
     "merge_nodes": _merge_nodes,
-    "merge_nodes_whole": lambda spark, d: _merge_nodes(spark, d, "true"),
     "merge_edges": _merge_edges,
-    "detach_delete": _graph(ANALYTICS["detach_delete"]),
+    "detach_delete": _graph(_detach),
     "exists_action": _exists,
     "unique_violations": lambda spark, d: store.violations(v.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
     "apply_replay": _replay,
 }
 
-# The same over every pair of parts, and from every start. Recursive SQL is too slow for whole tables: these have none.
-QUERIES |= {f"{name}_whole": _graph(f, None) for name, f in (ANALYTICS | {"reachability": lambda x: _reach(x, False)}).items()}
-
 # A longest chain in SQL: heights first, then at each node the successor of most height, the first name on ties.
 _HEIGHTS = """
 down AS (SELECT dst AS node, 1 AS h FROM dag UNION SELECT src, 1 FROM dag UNION SELECT d.src, down.h + 1 FROM dag d JOIN down ON d.dst = down.node),
@@ -212,7 +188,7 @@ SELECT 'node' AS kind, id AS a, '' AS b, type FROM inside UNION ALL SELECT 'edge
     "layer_depth": WITH + f", {_BACK}, {_DEPTH} SELECT node, depth FROM depth",
     "main_chain_height": WITH + f", {_HEIGHTS} SELECT node, height FROM heights",
     "main_chain": WITH + f", {_HEIGHTS} SELECT position, node FROM main",
-    "reachability": WITH + f""", {_BACK}, starts AS (SELECT node FROM bb WHERE substr(node, 8, 1) IN ('2', '7')), {_WALK.format('fwd', 'src', 'dst')}, {_WALK.format('bwd', 'dst', 'src')}
+    "reachability": WITH + f""", {_BACK}, starts AS (SELECT node FROM bb WHERE substr(node, 3)::BIGINT % 50 = 0), {_WALK.format('fwd', 'src', 'dst')}, {_WALK.format('bwd', 'dst', 'src')}
 SELECT 'forward' AS direction, start, node, min(distance)::INTEGER AS distance FROM fwd GROUP BY start, node UNION ALL SELECT 'backward', start, node, min(distance)::INTEGER FROM bwd GROUP BY start, node""",
     "focus_subgraph": WITH + f""", starts AS (SELECT '{NODE}' AS node), {_WALK.format('fwd', 'src', 'dst')}, {_WALK.format('bwd', 'dst', 'src')}, ids AS (SELECT node FROM starts UNION SELECT node FROM fwd UNION SELECT node FROM bwd)
 SELECT 'node' AS kind, node AS a, '' AS b FROM ids UNION ALL SELECT 'edge', src, dst FROM dag WHERE src IN (SELECT node FROM ids) AND dst IN (SELECT node FROM ids)""",
@@ -226,7 +202,7 @@ s AS (SELECT *, (row_number() OVER (PARTITION BY role, anchor ORDER BY id) - 1):
 SELECT role, anchor, id, slot, n, slot * 80.0::DOUBLE - (n - 1) * 80.0::DOUBLE / 2 AS "offset" FROM s""",
     "in_degree": WITH + f", {_NODES} SELECT n.id, coalesce(d.n, 0) AS in_degree FROM nodes n LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst) d ON n.id = d.id",
     "merge_nodes": WITH + """, rows AS (SELECT 'KP' || lpad((l_partkey * 2)::VARCHAR, 6, '0') AS kp_id, 'part ' || l_suppkey AS name, nullif(l_returnflag, 'N') AS section,
-  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_returnflag DESC) AS r FROM lineitem WHERE l_partkey % 3 = 0),
+  row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_returnflag DESC) AS r FROM lineitem),
 n AS (SELECT * FROM rows WHERE r = 1)
 SELECT coalesce(k.kp_id, n.kp_id) AS kp_id, CASE WHEN n.kp_id IS NOT NULL THEN n.name ELSE k.name END AS name, CASE WHEN n.kp_id IS NOT NULL THEN n.section ELSE k.section END AS section, k.chapter_id FROM kps k FULL JOIN n ON k.kp_id = n.kp_id""",
     "merge_edges": WITH + """, n AS (SELECT 'KP' || lpad(l_partkey::VARCHAR, 6, '0') AS src, 'KP' || lpad(l_suppkey::VARCHAR, 6, '0') AS dst, l_returnflag || ' ' || l_linestatus AS description,

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
 
-#: Nodes of the prerequisite graph: pairs that end at a part up to this number.
-DAG_PARTS = 200
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -27,8 +24,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("b is not null and a <> b").distinct()
 
 
-def graph(spark: SparkSession, sf_dir: str, parts: int | None = DAG_PARTS) -> Graph:
-    """The graph; its PREREQUISITE edges end at parts up to `parts`, or at any part where that is None."""
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph. PREREQUISITE edges are the pairs in ascending order, so they have no cycle."""
     chapters = read(spark, sf_dir, "nation").select(_key("CH", F.col("n_nationkey"), 2).alias("chapter_id"), F.col("n_name").alias("title"), F.col("n_nationkey").cast("bigint").alias("order"))
     kps = read(spark, sf_dir, "part").select(
         _key("KP", F.col("p_partkey"), 6).alias("kp_id"), F.col("p_name").alias("name"), _key("CH", F.col("p_partkey") % 25, 2).alias("chapter_id"), F.col("p_brand").alias("section"),
@@ -38,19 +35,19 @@ def graph(spark: SparkSession, sf_dir: str, parts: int | None = DAG_PARTS) -> Gr
     edge = lambda df, s, d, t: df.select(s.alias("src"), d.alias("dst"), F.lit(t).alias("type"))
     edges = edge(kps, F.col("chapter_id"), F.col("kp_id"), "CONTAINS").unionAll(
         edge(adjacent, _key("KP", F.col("a"), 6), _key("KP", F.col("b"), 6), "RELATED")).unionAll(
-        edge(adjacent.where("a < b" if parts is None else f"a < b and b <= {parts}"), _key("KP", F.col("a"), 6), _key("KP", F.col("b"), 6), "PREREQUISITE")).unionAll(
+        edge(adjacent.where("a < b"), _key("KP", F.col("a"), 6), _key("KP", F.col("b"), 6), "PREREQUISITE")).unionAll(
         edge(read(spark, sf_dir, "supplier"), _key("EX", F.col("s_suppkey"), 6), _key("KP", F.col("s_suppkey"), 6), "EXAMPLE_OF"))
     return Graph(chapters, kps, examples, edges)
 
 
-SQL = f"""
+SQL = """
 chapters AS (SELECT 'CH' || lpad(n_nationkey::VARCHAR, 2, '0') AS chapter_id, n_name AS title, n_nationkey::BIGINT AS "order" FROM nation),
 kps AS (SELECT 'KP' || lpad(p_partkey::VARCHAR, 6, '0') AS kp_id, p_name AS name, 'CH' || lpad((p_partkey % 25)::VARCHAR, 2, '0') AS chapter_id, p_brand AS section,
   p_type AS aliases, 'seed' AS source, 'book' AS source_book, p_size AS source_page, '' AS source_pages FROM part),
 examples AS (SELECT 'EX' || lpad(s_suppkey::VARCHAR, 6, '0') AS example_id, s_name AS name, 'CH' || lpad((s_suppkey % 25)::VARCHAR, 2, '0') AS chapter_id FROM supplier),
 follows AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem),
 pairs AS (SELECT DISTINCT 'KP' || lpad(a::VARCHAR, 6, '0') AS src, 'KP' || lpad(b::VARCHAR, 6, '0') AS dst, a, b FROM follows WHERE b IS NOT NULL AND a <> b),
-dag AS (SELECT src, dst FROM pairs WHERE a < b AND b <= {DAG_PARTS}),
+dag AS (SELECT src, dst FROM pairs WHERE a < b),
 edges AS (SELECT chapter_id AS src, kp_id AS dst, 'CONTAINS' AS type FROM kps UNION ALL SELECT src, dst, 'RELATED' FROM pairs
   UNION ALL SELECT src, dst, 'PREREQUISITE' FROM dag UNION ALL SELECT 'EX' || lpad(s_suppkey::VARCHAR, 6, '0'), 'KP' || lpad(s_suppkey::VARCHAR, 6, '0'), 'EXAMPLE_OF' FROM supplier)
 """

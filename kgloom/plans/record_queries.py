@@ -65,12 +65,6 @@ def _json_rows(spark, d):
 
 
 def _rollup(spark, d):
-    ch = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("chapter_id"))
-    sec = read(spark, d, "documents").where("doc_id % 30 >= 5").select((F.col("doc_id") % 30).cast("string").alias("chapter_id"), F.col("n_chars").alias("char_count"), (F.col("doc_id") % 3).alias("code_block_count"))
-    return dedup.chapter_rollup(ch, sec)
-
-
-def _rollup_whole(spark, d):
     """All documents, over 20 of the 25 chapters; the others have none."""
     ch = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("chapter_id"))
     sec = read(spark, d, "documents").select((F.col("doc_id") % 20).cast("string").alias("chapter_id"), F.col("n_chars").alias("char_count"), (F.col("doc_id") % 3).alias("code_block_count"))
@@ -78,13 +72,6 @@ def _rollup_whole(spark, d):
 
 
 def _priority(spark, d):
-    p = read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"))
-    index = lambda df, x: df.groupBy(s.norm_fuse(F.col("name")).alias("key")).agg(F.max(F.concat(F.lit(x), F.col("k").cast("string"))).alias("value"))
-    links = p.where("k % 3 = 0").select(F.when(F.col("k") % 6 == 0, F.upper("name")).otherwise(F.concat("name", F.lit("?"))).alias("name"), "k")
-    return resolve.prioritized(links, index(p.where("k % 5 = 0"), "N"), index(p.where("k % 2 = 0"), "O"), s.norm_fuse)
-
-
-def _priority_whole(spark, d):
     """All parts are links and in both indexes, some of them by a name that differs."""
     p = read(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"))
     index = lambda n, x: p.groupBy(s.norm_fuse(F.when(F.col("k") % n == 0, F.col("name")).otherwise(F.concat("name", F.lit("!")))).alias("key")).agg(
@@ -93,8 +80,8 @@ def _priority_whole(spark, d):
     return resolve.prioritized(links, index(5, "N"), index(2, "O"), s.norm_fuse)
 
 
-def _pages(spark, d, text="substring(html, 1, 30)"):
-    p = read(spark, d, "pages").select(F.lit("job").alias("job_id"), F.col("page_id").cast("int").alias("page"), F.expr(text).alias("text"))
+def _pages(spark, d):
+    p = read(spark, d, "pages").select(F.lit("job").alias("job_id"), F.col("page_id").cast("int").alias("page"), F.col("html").alias("text"))
     return files.page_window(p, 5, 9).unionAll(files.page_window(p))
 
 
@@ -113,15 +100,12 @@ QUERIES = {
     "seq_ids": _seq,
     "round_robin": lambda spark, d: dedup.round_robin(_seq(spark, d).withColumn("seq", F.col("seq") - 9000), 7).select("conv_id", "turn", "slot"),
     "chapter_rollup": _rollup,
-    "chapter_rollup_whole": _rollup_whole,
     "priority_lookup": _priority,
-    "priority_lookup_whole": _priority_whole,
     "review_latest": lambda spark, d: review.latest(_reviews(spark, d)),
     "job_state": lambda spark, d: review.job_state(read(spark, d, "events").select((F.col("user_id") % 200).alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), "value")),
     "json_props": lambda spark, d: read(spark, d, "events").select("event_id", F.size(F.json_object_keys("props")).alias("n_keys")),
     "json_repair": lambda spark, d: _json_rows(spark, d).select("event_id", F.get_json_object("fixed", "$.note").alias("note"), F.try_parse_json("fixed").isNotNull().alias("parses")),
     "page_window": _pages,
-    "page_window_whole": lambda spark, d: _pages(spark, d, "html"),
 }
 
 SQL = {
@@ -140,10 +124,13 @@ UNION SELECT 2, subject_id || '|' || predicate || '|' || object_id, 'ckg:' || su
     "adjacent_edges": "SELECT * FROM (SELECT conv_id, conv_id || '-' || turn AS src, lead(conv_id || '-' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE dst IS NOT NULL",
     "seq_ids": "SELECT conv_id, turn, 9000 + row_number() OVER (ORDER BY conv_id, turn) AS seq, 'KP' || (9000 + row_number() OVER (ORDER BY conv_id, turn)) AS seq_id FROM conversations",
     "round_robin": "SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1) % 7 AS slot FROM conversations",
-    "chapter_rollup": """WITH s AS (SELECT (doc_id % 30)::VARCHAR AS chapter_id, count(*) AS sections, sum(n_chars)::BIGINT AS chars, sum(doc_id % 3)::BIGINT AS code_blocks FROM documents WHERE doc_id % 30 >= 5 GROUP BY 1)
+    "chapter_rollup": """WITH s AS (SELECT (doc_id % 20)::VARCHAR AS chapter_id, count(*) AS sections, sum(n_chars)::BIGINT AS chars, sum(doc_id % 3)::BIGINT AS code_blocks FROM documents GROUP BY 1)
 SELECT n_nationkey::VARCHAR AS chapter_id, coalesce(sections, 0) AS sections, coalesce(chars, 0) AS chars, coalesce(code_blocks, 0) AS code_blocks FROM nation LEFT JOIN s ON s.chapter_id = n_nationkey::VARCHAR""",
-    "priority_lookup": """WITH p AS (SELECT p_name AS name, p_partkey AS k, regexp_replace(lower(p_name), '\\s+', '', 'g') AS key FROM part), n AS (SELECT key, max('N' || k) AS v FROM p WHERE k % 5 = 0 GROUP BY key), o AS (SELECT key, max('O' || k) AS v FROM p WHERE k % 2 = 0 GROUP BY key)
-SELECT CASE WHEN k % 6 = 0 THEN upper(name) ELSE name || '?' END AS name, k, CASE WHEN k % 6 = 0 THEN coalesce(n.v, o.v) END AS kp_id FROM p LEFT JOIN n ON p.key = n.key LEFT JOIN o ON p.key = o.key WHERE k % 3 = 0""",
+    "priority_lookup": """WITH p AS (SELECT p_name AS name, p_partkey AS k FROM part),
+n AS (SELECT key, max('N' || k) AS v FROM (SELECT regexp_replace(lower(CASE WHEN k % 5 = 0 THEN name ELSE name || '!' END), '\\s+', '', 'g') AS key, k FROM p) GROUP BY key),
+o AS (SELECT key, max('O' || k) AS v FROM (SELECT regexp_replace(lower(CASE WHEN k % 2 = 0 THEN name ELSE name || '!' END), '\\s+', '', 'g') AS key, k FROM p) GROUP BY key),
+l AS (SELECT k, CASE k % 6 WHEN 0 THEN upper(name) WHEN 3 THEN name || '?' WHEN 1 THEN name || '!' ELSE name END AS name FROM p)
+SELECT l.name, l.k, coalesce(n.v, o.v) AS kp_id FROM l LEFT JOIN n ON n.key = regexp_replace(lower(l.name), '\\s+', '', 'g') LEFT JOIN o ON o.key = regexp_replace(lower(l.name), '\\s+', '', 'g')""",
     "job_state": "SELECT job_id, seq, status, value FROM (SELECT user_id % 200 AS job_id, event_id AS seq, event_type AS status, value, row_number() OVER (PARTITION BY user_id % 200 ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
     "review_latest": """WITH e AS (SELECT 'REV' || (user_id % 300) AS id, event_id AS seq, ['pending', 'approved', 'rejected'][event_id % 3 + 1] AS status FROM events),
 k AS (SELECT *, max(CASE WHEN status <> 'approved' THEN seq END) OVER (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS anchor FROM e),
@@ -151,5 +138,5 @@ x AS (SELECT k.*, a.status AS anchor_status FROM k LEFT JOIN e a ON a.id = k.id
 SELECT id, status, seq FROM (SELECT id, CASE WHEN status = 'approved' THEN CASE WHEN anchor_status = 'rejected' THEN 'rejected' ELSE 'approved' END ELSE status END AS status, seq, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM x) WHERE r = 1""",
     "json_props": "SELECT event_id, len(json_keys(props))::INTEGER AS n_keys FROM events",
     "json_repair": "SELECT event_id, 'x y' AS note, true AS parses FROM events WHERE props IS NOT NULL",
-    "page_window": """WITH p AS (SELECT 'job' AS job_id, page_id::INTEGER AS page, substr(html, 1, 30) AS text FROM pages) SELECT * FROM p WHERE page BETWEEN greatest(1, least(5, (SELECT max(page) FROM p))) AND least(9, (SELECT max(page) FROM p)) UNION ALL SELECT * FROM p WHERE page <= 40""",
+    "page_window": """WITH p AS (SELECT 'job' AS job_id, page_id::INTEGER AS page, html AS text FROM pages) SELECT * FROM p WHERE page BETWEEN greatest(1, least(5, (SELECT max(page) FROM p))) AND least(9, (SELECT max(page) FROM p)) UNION ALL SELECT * FROM p WHERE page <= 40""",
 }

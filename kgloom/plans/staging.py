@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder the cluster shares (a temporary one only where none is set)."""
+    """A reliable checkpoint, in the folder the cluster shares; a temporary one of this machine only where none is set in a local run."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kgloom-checkpoints-{os.getuid()}")
     return df.checkpoint()

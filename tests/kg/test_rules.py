@@ -46,10 +46,64 @@ def test_lines(spark):
     assert result(text.adjacent_dedup(lines(spark, "a\na \n\n\n[CODE_BLOCK_START]\nx\nx\n[CODE_BLOCK_END]\nb"))) == ["a", "", "", "[CODE_BLOCK_START]", "x", "x", "[CODE_BLOCK_END]", "b"]
     assert result(text.noise_filter(lines(spark, "a\n\n\n***\n\n12\nb"))) == ["a", "", "", "b"]
     assert one(spark, text.normalize_encoding(F.col("v")), v="Ａ（１）\r\n● b\t c—…") == "A(1)\n· b c-..."
-    assert text.drop_toc([f"节 {i} 标题....{i}" for i in range(8)] + ["end"]) == [f"节 {i} 标题" for i in range(8)] + ["end"]
-    assert text.mend_breaks(["some words go", "on here-", "after", "", "Next."]) == ["some words go on hereafter", "", "Next."]
-    assert text.mend_breaks(["exam-", "ple of"]) == ["example of"]
-    assert text.mark_code(["text here that is long", "int main() {", "return x;", "}", "prose again is here"]) == ["text here that is long", "[CODE_BLOCK_START]", "int main() {", "return x;", "}", "[CODE_BLOCK_END]", "prose again is here"]
+
+
+def test_runs(spark):
+    """Contents, broken lines, code blocks: runs of kinds of lines."""
+    put = lambda kind, f, *ls: result(text.fold(lines(spark, "\n".join(ls)), kind, f))
+    toc = lambda *ls: put(text.toc_kind, lambda x, kinds: [v for _, v in text.drop_toc(x, kinds)], *ls)
+    entries = [f"节 {i} 标题....{i}" for i in range(8)]
+    assert toc(*entries, "end") == [f"节 {i} 标题" for i in range(8)] + ["end"]
+    assert toc("before", "", *entries[:6], "", "end") == ["before", *[f"节 {i} 标题" for i in range(6)], "end"]
+    assert toc(*entries[:5], "end") == [*entries[:5], "end"]
+    assert toc("one", *["x"] * 8, *entries[:4], *["y"] * 9) == ["one", *["x"] * 8, *entries[:4], *["y"] * 9]
+    mend = lambda *ls: put(text.joint_kind, text.mend_breaks, *ls)
+    assert put(text.page_kind, text.mend_pages, "Words of", "a page", *[f"{i} Title....{i}" for i in range(8)], "end") == ["Words of a page", *[f"{i} Title" for i in range(7)], "7 Title end"]
+    assert mend("some words go", "on here-", "after", "", "Next.") == ["some words go on hereafter", "", "Next."]
+    assert mend("exam-", "ple of") == ["example of"]
+    assert mend("这是一个没有结束的", "中文句子。", "下一句") == ["这是一个没有结束的中文句子。", "下一句"]
+    assert mend("这是一个", "第3章 标题。", "words", "1. item", "[CODE_BLOCK_START]") == ["这是一个", "第3章 标题。", "words", "1. item", "[CODE_BLOCK_START]"]
+    assert mend("a" * 61, "more", "end;", "more") == ["a" * 61, "more end;", "more"]
+    mark = lambda *ls: put(text.code_kind, text.mark_code, *ls)
+    start, end = "[CODE_BLOCK_START]", "[CODE_BLOCK_END]"
+    assert mark("text here that is long", "int main() {", "return x;", "}", "prose again is here") == ["text here that is long", start, "int main() {", "return x;", "}", end, "prose again is here"]
+    assert mark("return x;", "prose again is here") == ["return x;", "prose again is here"]
+    assert mark("int main() {", "", "", "return x;", "", "", "", "if (a) b;", "last words here") == [start, "int main() {", "", "", "return x;", end, "", "if (a) b;", "last words here"]
+    assert mark("int main() {", "x", "", "y", "", "z", "", "return 0;") == [start, "int main() {", "x", "", "y", "", "z", end, "", "return 0;"]
+    # lines behind a block: eight at most, one blank, no title
+    call = "call_something(value)"
+    assert mark("for(;;) {", "}", call, "", call, "", call) == [start, "for(;;) {", "}", call, "", call, end, "", call]
+    assert mark("for(;;) {", "}", *[call] * 10) == [start, "for(;;) {", "}", *[call] * 8, end, call, call]
+    assert mark("for(;;) {", "}", "1.2 title(with) brackets", call) == [start, "for(;;) {", "}", end, "1.2 title(with) brackets", call]
+    # blocks that touch are one; an open marker of the text's own closes at the end
+    assert mark("for(;;) {", "}", call, "for(;;) {", "}", "the last words here") == [start, "for(;;) {", "}", call, "for(;;) {", "}", end, "the last words here"]
+    assert mark(start, "open words here") == [start, "open words here", end]
+
+
+def test_ocr(spark):
+    got = result(text.ocr_correction(lines(spark, "上\n/注释 /\nAB CD EF GH\n《x\nx = l0;\nif(a) |\nprint£(a)\nprinté $d\n[CODE_BLOCK_START]\nl\n|\n[CODE_BLOCK_END]"),
+                                     text.Rules(prose=[("literal", "printé", "printf")])))
+    assert got == ["", "/* 注释 */", "", "", "x = 10;", "if(a) {", "printf(a)", "printf %d", "[CODE_BLOCK_START]", "", "{", "[CODE_BLOCK_END]"]
+
+
+def test_rule_tables(spark):
+    start, end = "[CODE_BLOCK_START]", "[CODE_BLOCK_END]"
+    rules = text.Rules(snippets=[("literal", "count ++", "count++")], inserts=[("if(n!=0){", "count++;", True, "}"), ("letter=%d", "}", False, "}")],
+                       rebuilds=[("Example 3", ["bad"], ["good", "lines"])], style=[("regex", "^A if", "an if"), ("literal", "colour", "color")], starts=[("Exercise", "exercise:")], drops=["***"], samples=[("literal", "Enter n;", "Enter n:")])
+    rows = lines(spark, "\n".join(["count ++", "Example 3", start, "ok", end, start, "bad", end, "Example 3", start, "bad", end, start, "count ++;", "", "if(n!=0){", "printf(letter=%d)", end]))
+    repaired = result(text.snippet_repair(rows, rules))
+    assert repaired == ["count ++", "Example 3", start, "ok", end, start, "good", "lines", end, "Example 3", start, "bad", end, start, "count++;", "", "}", "if(n!=0){", "}", "printf(letter=%d)", end]
+    assert result(text.post_normalize(lines(spark, "A if\ncolour\nExercise 5\nExercise 6\n***\nEnter n;"), rules)) == ["an if", "color", "exercise:", "Enter n:"]
+
+
+def test_clean_document(spark):
+    """All steps, and the plan: an exchange by document at first and behind each of the two folds."""
+    page = "第 3 页\n这是一个没有结束的\n中文句子。\nint main() {\nreturn l0;\n}\n***\n\n\n这是结尾的一句话。\n这是结尾的一句话。"
+    docs = spark.createDataFrame([(1, page), (2, "only words")], "doc_id bigint, text string")
+    out = text.clean_document(docs)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {
+        1: "这是一个没有结束的中文句子。\n[CODE_BLOCK_START]\nint main() {\nreturn 10;\n}\n[CODE_BLOCK_END]\n这是结尾的一句话。", 2: "only words"}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning(doc_id") == 3
 
 
 def test_segments(spark):

@@ -1,8 +1,9 @@
-"""Queries over whole tables, against the SQL of their narrower forms with the bounds taken out."""
+"""Queries over whole tables on inputs that bounds, cuts and filters would show up on."""
 
 import pytest
 
-from kgloom.plans import catalog, graph_queries
+from kgloom.operators import analytics
+from kgloom.plans import catalog
 from test_queries import D, TABLES, rows
 
 
@@ -25,29 +26,37 @@ def far(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", sorted(graph_queries.ANALYTICS))
+DAG = ["out_neighbors", "in_neighbors", "backbone", "layer_depth", "main_chain_height", "main_chain", "reachability", "focus_subgraph", "roles", "style_roles", "nearest_main",
+       "chain_edges", "graph_stats", "in_degree", "detach_delete"]
+
+
+@pytest.mark.parametrize("name", DAG)
 def test_graph(spark, far, name):
-    sql = catalog.oracle_sql()[name]
-    duck = views(far, ["nation", "supplier", "part", "lineitem"])
-    whole = sql.replace(" AND b <= 200", "").replace(" WHERE substr(node, 8, 1) IN ('2', '7')", "")
-    want, short = rows(duck.sql(whole).df()), rows(duck.sql(sql).df())
-    assert rows(catalog.queries()[f"{name}_whole"](spark, far).toPandas()) == want
-    assert want != short or name in ("graph_edges", "subgraph_by_chapter", "focus_subgraph")
+    want = rows(views(far, ["nation", "supplier", "part", "lineitem"]).sql(catalog.oracle_sql()[name]).df())
+    assert rows(catalog.queries()[name](spark, far).toPandas()) == want
 
 
 def test_positions(spark, far):
     got = {r["node"]: r["y"] for r in catalog.queries()["layered_positions"](spark, far).collect()}
-    depth = {r["node"]: r["depth"] * 120.0 for r in catalog.queries()["layer_depth_whole"](spark, far).collect()}
+    depth = {r["node"]: r["depth"] * 120.0 for r in catalog.queries()["layer_depth"](spark, far).collect()}
     assert got == depth and max(got) > "KP000200"
 
 
-@pytest.mark.parametrize("name", ["quality_score", "hard_reject", "gate_report", "page_window"])
-def test_texts(spark, name):
-    sql, duck = catalog.oracle_sql()[name], views(D)
-    whole = sql.replace("substr(d.text, 1, 20)", "d.text").replace("substr(d.text, 1, 45)", "d.text").replace("substr(html, 1, 30)", "html")
-    want = rows(duck.sql(whole).df())
-    assert whole != sql and rows(catalog.queries()[f"{name}_whole"](spark, D).toPandas()) == want
-    assert want != rows(duck.sql(sql).df()) or name in ("hard_reject", "gate_report")
+def test_cycles(spark):
+    """A cycle holds its nodes back from layering, and there is no longest path."""
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "b", 3), ("c", "d", 4), ("a", "e", 5)], "src string, dst string, ord int")
+    depth = {r["node"]: r["depth"] for r in analytics.layer_depth(analytics.backbone(edges), edges).collect()}
+    assert depth == {"a": 0, "e": 1, "b": 1, "c": 1, "d": 1}
+    for f in (analytics.heights, analytics.main_chain):
+        with pytest.raises(ValueError, match="cycle"):
+            f(edges)
+
+
+def test_long_chain(spark):
+    """The chain doubles: 40 nodes, side branches, ties by edge order."""
+    rows_ = [(f"n{i:02}", f"n{i + 1:02}", i) for i in range(39)] + [("n05", "x", 100), ("y", "n01", 101), ("n00", "n02", 102)]
+    edges = spark.createDataFrame(rows_, "src string, dst string, ord int")
+    assert {r["position"]: r["node"] for r in analytics.main_chain(edges).collect()} == {i: f"n{i:02}" for i in range(40)}
 
 
 def test_long_texts(spark, tmp_path):
@@ -58,22 +67,13 @@ def test_long_texts(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     q = catalog.queries()
-    score = {k: q[k](spark, str(tmp_path)).first()[1] for k in ("quality_score", "quality_score_whole", "quality_reasons", "hard_reject", "hard_reject_whole")}
-    assert score["hard_reject"] == "description_too_short" and score["hard_reject_whole"] is None
-    assert score["quality_score_whole"] == score["quality_score"] + 38 and score["quality_reasons"] == 2
+    score = {k: q[k](spark, str(tmp_path)).first()[1] for k in ("quality_score", "quality_reasons", "hard_reject")}
+    assert score["hard_reject"] is None and score["quality_reasons"] == "category=other" or score["quality_reasons"].startswith("缺少") and score["quality_score"] == 80
 
 
 def test_all_rows(spark):
-    """Nothing is filtered out: merged nodes, sections, links."""
-    sql, duck, q = catalog.oracle_sql(), views(D), catalog.queries()
-    for name, cuts in {"merge_nodes": [(" WHERE l_partkey % 3 = 0", "")], "chapter_rollup": [(" WHERE doc_id % 30 >= 5", ""), ("doc_id % 30", "doc_id % 20")]}.items():
-        whole = sql[name]
-        for old, new in cuts:
-            assert old in whole
-            whole = whole.replace(old, new)
-        want = rows(duck.sql(whole).df())
-        assert rows(q[f"{name}_whole"](spark, D).toPandas()) == want != rows(duck.sql(sql[name]).df())
-    assert q["chapter_rollup_whole"](spark, D).selectExpr("sum(sections)").first()[0] == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    duck, q = views(D), catalog.queries()
+    assert q["chapter_rollup"](spark, D).selectExpr("sum(sections)").first()[0] == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
 
 
 def test_priority(spark):
@@ -86,7 +86,7 @@ def test_priority(spark):
             index[at] = max(index.get(at, ""), f"{x}{k}")
     link = lambda n, k: {0: n.upper(), 3: n + "?", 1: n + "!"}.get(k % 6, n)
     want = {(link(n, k), k): new.get(key(link(n, k)), old.get(key(link(n, k)))) for n, k in parts}
-    got = {(r["name"], r["k"]): r["kp_id"] for r in catalog.queries()["priority_lookup_whole"](spark, D).collect()}
+    got = {(r["name"], r["k"]): r["kp_id"] for r in catalog.queries()["priority_lookup"](spark, D).collect()}
     assert got == want and len({(v or "-")[0] for v in want.values()}) == 3
 
 
@@ -109,11 +109,3 @@ def test_replay(spark):
     want = {n: (a, None if b is None else float(b)) for n, (a, b) in state.items()}
     got = {r["node"]: (r["label"], r["value"]) for r in catalog.queries()["apply_replay"](spark, D).collect()}
     assert got == want
-
-
-@pytest.mark.parametrize("name", ["term_match", "longest_term", "resolve_partial"])
-def test_terms(spark, name):
-    """All terms of two characters or more, as keys as well."""
-    sql, duck = catalog.oracle_sql()[name], views(D)
-    want = rows(duck.sql(sql.replace("length(term) >= 6", "length(term) >= 2").replace("length(term) >= 9", "length(term) >= 2").replace("upper(term)", "replace(upper(term), 'ẞ', 'SS')")).df())  # as Java writes it
-    assert rows(catalog.queries()[f"{name}_whole"](spark, D).toPandas()) == want != rows(duck.sql(sql).df())

@@ -72,16 +72,77 @@ def code_hints(sections: DataFrame) -> DataFrame:
                     F.col("name").alias("object_name"), F.substring("code", 1, 160).alias("evidence"), F.lit("code_hint").alias("source"), (F.col("b").cast("long") * 1000 + F.col("i")).alias("ord"))
 
 
-def has_recursion(source: str) -> bool:
-    """Whether an int function's name is called again behind its head's first occurrence."""
-    for name in re.findall(r"int\s+(\w+)\s*\([^)]*\)\s*\{", source):
-        if re.search(rf"\b{name}\s*\(", source[source.find(name) + len(name):]):
-            return True
-    return False
-
-
-def code_patterns(source: Column) -> Column:
-    """The sorted names of the patterns in C source; recursion needs a pattern made of the text, hence a pandas UDF."""
+#: C source as tokens: what is passed over, then words and marks.
+C_TOKEN = re.compile(r"""/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|^[ \t]*\#[^\n]*|(?P<word>[A-Za-z_]\w*)|(?P<mark>[(){}\[\];])|(?P<other>\S)""", re.S | re.M)
+C_STATEMENTS = {"for": "For", "while": "While", "switch": "Switch"}
+C_CALLS = {"printf": "Printf", "scanf": "Scanf", "malloc": "Malloc", "free": "Free"}
+C_NOT_CALLS = {"if", "for", "while", "switch", "return", "sizeof", "do", "else", "case", "goto"}
+C_BEFORE_CALL = {"return", "else", "do", "case", "goto"}
+
+
+def syntax_patterns(source: str) -> set[str] | None:
+    """The patterns in C source by its tokens, without comments, strings and directives; None where brackets don't match.
+
+    The end of a do is not a While. A name before a bracket is a call inside a body unless a type stands before it. A function that
+    calls itself directly is a Recursion.
+    """
+    tokens = [m["word"] or m["mark"] or m["other"] for m in C_TOKEN.finditer(source) if m.lastgroup]
+    close, stack = {}, []
+    for i, x in enumerate(tokens):
+        if x in ("(", "{", "["):
+            stack.append(i)
+        elif x in (")", "}", "]"):
+            if not stack or tokens[stack[-1]] + x not in ("()", "{}", "[]"):
+                return None
+            close[stack.pop()] = i
+    if stack:
+        return None
+    word = re.compile(r"[A-Za-z_]\w*").fullmatch
+    at = lambda i: tokens[i] if 0 <= i < len(tokens) else ""
+    bodies = [(at(i), close[i + 1] + 1, close[close[i + 1] + 1]) for i in range(len(tokens))
+              if word(at(i)) and at(i + 1) == "(" and at(close[i + 1] + 1) == "{" and at(i) not in C_NOT_CALLS]
+    within = lambda i: next((name for name, lo, hi in bodies if lo < i < hi), None)
+    ends = set()  # the while of a do
+
+    def statement(i: int) -> int:
+        """The place behind the statement at i."""
+        if at(i) == "{":
+            return close[i] + 1
+        if at(i) in ("for", "while", "switch", "if") and at(i + 1) == "(":
+            i = statement(close[i + 1] + 1)
+            return statement(i + 1) if at(i) == "else" else i
+        if at(i) == "do":
+            i = statement(i + 1)
+            if at(i) == "while":
+                ends.add(i)
+        while i < len(tokens) and tokens[i] != ";":
+            i = close.get(i, i) + 1
+        return i + 1
+
+    found = set()
+    for i, x in enumerate(tokens):
+        if x == "do":
+            found.add("DoWhile")
+            statement(i)
+    for i, x in enumerate(tokens):
+        if at(i + 1) != "(" or not word(x):
+            continue
+        if x in C_STATEMENTS:
+            found |= set() if i in ends else {C_STATEMENTS[x]}
+        elif (name := within(i)) and x not in C_NOT_CALLS and (not word(at(i - 1)) or at(i - 1) in C_BEFORE_CALL):
+            found |= {C_CALLS[x.lower()]} if x.lower() in C_CALLS else {"BubbleSort"} if "sort" in x.lower() else set()
+            found |= {"Recursion"} if x == name else set()
+    return found
+
+
+def calls_itself(source: str) -> bool:
+    """Of text that is no syntax: whether a name with the head of an int function is followed by a call of it behind the head."""
+    heads = re.finditer(r"int\s+(\w+)\s*\([^)]*\)\s*\{", source)
+    return any(re.search(rf"\b{h[1]}\s*\(", source[source.index(h[1]) + len(h[1]):]) for h in heads)
+
+
+def code_patterns(source: Column, parse: bool = True) -> Column:
+    """The sorted names of the patterns in C source: by its tokens, or, if they don't fit or parse is false, by what the text has."""
     import pandas as pd
 
     low = F.lower(source)
@@ -89,17 +150,26 @@ def code_patterns(source: Column) -> Column:
     call = lambda p: F.contains(low, F.lit(p))
     fors = F.regexp_count(source, F.lit(r"for \(|for\("))
     bubble = call("bubble_sort") | ((fors >= 2) & call("temp") & call("arr[j]") & call("arr[j + 1]"))
-    again = F.pandas_udf(lambda s: pd.Series([x is not None and has_recursion(x) for x in s]), "boolean")(source)
+    again = F.pandas_udf(lambda s: pd.Series([x is not None and calls_itself(x) for x in s]), "boolean")(source)
     tests = {"For": word(r"\bfor\s*\("), "While": word(r"\bwhile\s*\("), "DoWhile": word(r"\bdo\s*\{"), "Switch": word(r"\bswitch\s*\("), "Printf": call("printf("), "Scanf": call("scanf("),
              "Malloc": call("malloc("), "Free": call("free("), "Recursion": again, "BubbleSort": bubble}
-    return F.array_sort(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]), lambda x: x.isNotNull()))
+    by_text = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]), lambda x: x.isNotNull())
+    if not parse:
+        return F.array_sort(by_text)
+
+    def run(s):
+        return pd.Series([None if x is None or (found := syntax_patterns(x)) is None else sorted(found) for x in s])
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    by_syntax = F.pandas_udf(run, "array<string>")(source)
+    return F.array_sort(F.coalesce(F.when(bubble, F.array_union(by_syntax, F.array(F.lit("BubbleSort")))).otherwise(by_syntax), by_text))
 
 
-def code_triples(files: DataFrame) -> DataFrame:
+def code_triples(files: DataFrame, parse: bool = True) -> DataFrame:
     """IMPLEMENTS triples of source files (file_path, source)."""
     names = F.create_map(*[F.lit(x) for pair in t.CODE_PATTERNS.items() for x in pair])
     stem = F.regexp_extract("file_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    return files.select("file_path", "source", F.explode(code_patterns(F.col("source"))).alias("pattern")).select(
+    return files.select("file_path", "source", F.explode(code_patterns(F.col("source"), parse)).alias("pattern")).select(
         stem.alias("subject_id"), stem.alias("subject_name"), F.lit("IMPLEMENTS").alias("predicate"), F.col("pattern").alias("object_name"), F.element_at(names, F.col("pattern")).alias("mapped_kp"),
         F.substring("source", 1, 180).alias("evidence"), F.lit("code_ast").alias("source"), "file_path")
 
@@ -160,3 +230,14 @@ def sse_data(stream: DataFrame) -> DataFrame:
     d = stream.where(F.startswith("line", F.lit("data:"))).select("i", F.trim(F.substring("line", F.lit(6), F.length("line"))).alias("data"))
     done = F.coalesce(F.min(F.when(F.col("data") == "[DONE]", F.col("i"))).over(W.partitionBy()), F.lit(1 << 62))
     return d.where(F.col("i") < done)
+
+
+def rule_triples(sections: DataFrame, terms: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Mentions, prerequisites, aliases and code hints of every section, in that order, each fact of a section once."""
+    from .dedup import RULE_KEY, last_wins
+
+    out = None
+    for n, part in enumerate((mentions(sections, terms), prerequisites(sections, dictionary), aliases(sections, dictionary), code_hints(sections))):
+        part = part.select(*RULE_COLUMNS).withColumn("ord", F.struct(F.lit(n).alias("part"), F.col("ord").cast("bigint").alias("ord")))
+        out = part if out is None else out.unionAll(part)
+    return last_wins(out, RULE_KEY)

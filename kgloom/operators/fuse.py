@@ -102,3 +102,10 @@ def rdf_lines(entities: DataFrame, triples: DataFrame) -> DataFrame:
 def csv_rows(fused: DataFrame) -> DataFrame:
     """The fixed columns of the CSV, absent and null as empty text."""
     return fused.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in fused.columns else F.lit("")).alias(c) for c in CSV_COLUMNS])
+
+
+def linked(triples: DataFrame) -> DataFrame:
+    """Triples that become edges: those with both ids."""
+    from ..functions.scalars import truthy
+
+    return triples.where(truthy(F.col("subject_id")) & truthy(F.col("object_id")))

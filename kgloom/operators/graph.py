@@ -159,3 +159,12 @@ def kp_card(g: Graph, delimiter: str = ",", shown: int = 3) -> DataFrame:
                         F.when(known, F.concat(F.lit("来源："), source)))
     none = F.lit("暂无简介，后续可以在导入数据时补充知识点说明。")
     return g.kps.select("kp_id", "name", source.alias("source_text"), F.when(intro == "", none).otherwise(intro).alias("intro"))
+
+
+def chapter_panels(g: Graph, kp_id: str) -> DataFrame:
+    """(panel, kp_id, name): a node's prerequisites, successors and related nodes, those of its own chapter only. The limit of
+    related ones comes first, so their panel may be short."""
+    own = g.kps.where(F.col("kp_id") == kp_id).select(F.col("chapter_id").alias("_own"))
+    panel = lambda df, name: df.select(F.lit(name).alias("panel"), "kp_id", "name", "chapter_id")
+    every = panel(in_neighbors(g, "PREREQUISITE", kp_id), "prerequisites").unionAll(panel(out_neighbors(g, "PREREQUISITE", kp_id), "successors")).unionAll(panel(undirected_neighbors(g, kp_id), "related"))
+    return every.join(own, every["chapter_id"] == own["_own"], "left_semi").select("panel", "kp_id", "name")

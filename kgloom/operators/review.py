@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TERMINAL = ["extracted", "failed", "queued"]
@@ -16,10 +17,13 @@ def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
 
 
 def latest(events: DataFrame, key: str = "id") -> DataFrame:
-    """The status of each item after all events, in order: an approval counts only while pending, a rejection always."""
-    kinds = F.sort_array(F.collect_list(F.struct("seq", "status")))
-    final = F.aggregate(kinds, F.lit(None).cast("string"), lambda s, e: F.when((e["status"] == "approved") & (F.coalesce(s, F.lit("pending")) != "pending"), s).otherwise(e["status"]))
-    return events.groupBy(key).agg(final.alias("status"), F.max("seq").alias("seq"))
+    """The status of each item after all events, in order: an approval counts only while pending, a rejection always. Only the last
+    event that is no approval matters, and whether an approval follows it: sums that combine, however many events a key has."""
+    other = F.col("status") != "approved"
+    g = events.groupBy(key).agg(F.max_by(F.when(other, F.col("status")), F.when(other, F.col("seq"))).alias("anchor"), F.max(F.when(other, F.col("seq"))).alias("at"),
+                                F.max(F.when(~other, F.col("seq"))).alias("approved"), F.max("seq").alias("seq"))
+    counts = F.coalesce("anchor", F.lit("pending")) == "pending"
+    return g.select(key, F.when(counts & (F.col("approved") > F.coalesce("at", F.lit(-1 << 62))), "approved").otherwise(F.col("anchor")).alias("status"), "seq")
 
 
 def by_status(items: DataFrame, status: str = "all", needle: str | None = None) -> DataFrame:
@@ -33,19 +37,37 @@ def job_state(events: DataFrame, key: str = "job_id") -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("_l"), F.max("seq").alias("seq")).select(key, "seq", "_l.*")
 
 
+#: Which states of a job may follow each.
+NEXT = {"uploaded": ["extracting"], "extracting": ["cleaning", "extracted", "failed"], "cleaning": ["extracting", "failed"], "extracted": ["queued", "extracting"], "failed": ["extracting"], "queued": ["extracting"]}
+
+
+def transitions(events: DataFrame, key: str = "job_id", allowed: dict[str, list[str]] | None = None) -> DataFrame:
+    """(key, seq, status, before) of events whose state may not follow the one before; the first may be any."""
+    allowed = NEXT if allowed is None else allowed
+    pairs = [f"{a}>{b}" for a, bs in allowed.items() for b in bs]
+    e = events.select(key, "seq", "status", F.lag("status").over(W.partitionBy(key).orderBy("seq")).alias("before"))
+    return e.where(F.col("before").isNotNull() & ~F.concat_ws(">", "before", "status").isin(*pairs))
+
+
+def job_status(events: DataFrame, job: str) -> DataFrame:
+    """The last event of one job; no row if there is none, for which the caller answers."""
+    return job_state(events.where(F.col("job_id") == job))
+
+
+def takes(filename):
+    """Whether an upload's name is one of a job: a PDF's."""
+    return F.endswith(F.lower(F.coalesce(filename, F.lit(""))), F.lit(".pdf"))
+
+
 def replay(base: DataFrame, items: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """base after approved items (seq, action, key, columns) in order: add writes the columns, update writes those that aren't null
-    where the node exists, delete removes it. One fold for each key, over the items that touch it."""
-    start = base.select(key, F.struct(*[F.col(c) for c in columns]).alias("_row"))
-    step = F.struct("seq", "action", F.struct(*[F.col(c) for c in columns]).alias("row"))
-    queue = items.groupBy(key).agg(F.sort_array(F.collect_list(step)).alias("_queue"))
-    both = start.join(queue, key, "full")
-    row_type = dict(both.dtypes)["_row"]
-    none = F.lit(None).cast(row_type)
-    merged = lambda s, r: F.struct(*[F.coalesce(r[c], s[c]).alias(c) for c in columns])
-    end = F.aggregate(F.coalesce("_queue", F.array().cast(dict(both.dtypes)["_queue"])), F.col("_row"), lambda s, e: F.when(e["action"] == "add", e["row"]).when(
-        e["action"] == "delete", none).when((e["action"] == "update") & s.isNotNull(), merged(s, e["row"])).otherwise(s))
-    return both.select(key, end.alias("_end")).where("_end is not null").select(key, "_end.*")
+    where the node exists, delete removes it. As in apply.py, sums that combine take the place of a fold."""
+    from . import apply
+
+    values = F.struct(*[F.col(c) for c in columns])
+    events = base.select(F.col(key).alias("key"), F.lit(apply.BASE).cast("bigint").alias("seq"), F.lit("add").alias("action"), values.alias("values")).unionAll(
+        items.select(F.col(key), F.col("seq").cast("bigint"), "action", values))
+    return apply._nodes(events, apply._alive(events), columns).withColumnRenamed("key", key)
 
 
 def preview(df: DataFrame, n: int) -> DataFrame:

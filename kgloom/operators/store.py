@@ -43,8 +43,29 @@ def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame, key: str)
     return left.select(*nodes.columns), e.select(*edges.columns)
 
 
+def merge_labelled(base: DataFrame, rows: DataFrame, key: str, columns: list[str], labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(base merged, violations): a merge on labels and key together. base has `labels`, an array. A row whose key is there with all the
+    labels updates it, one whose key is new creates it, and one whose key is there without all of them would create a second
+    node of the key: it is a violation (key) and changes nothing."""
+    there = base.select(F.col(key), (F.size(F.array_except(F.array(*[F.lit(x) for x in labels]), "labels")) == 0).alias("_fits"))
+    seen = rows.join(there, key, "left")
+    ok = seen.where(F.coalesce("_fits", F.lit(True))).drop("_fits")
+    merged = merge_nodes(base, ok, key, columns)
+    return merged.withColumn("labels", F.coalesce("labels", F.array(*[F.lit(x) for x in labels]))), seen.where(~F.col("_fits")).select(key).distinct()
+
+
+def merge_fused(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """Fused edges: predicate, object and source are part of the key, the section isn't, so rows of several sections are one, the last."""
+    return merge_edges(base, rows, ["src", "dst", "type", "predicate", "object_id", "source"])
+
+
+def upsert_other(base: DataFrame, rows: DataFrame, key: str, columns: list[str], taken: list[str]) -> DataFrame:
+    """base merged with rows (entity_type, ord) whose type has no table of its own."""
+    return merge_nodes(base, rows.where(~F.col("entity_type").isin(*taken)), key, columns)
+
+
 def of_types(rows: DataFrame, types: list[str]) -> DataFrame:
-    """Relation rows of known types; a type outside the enumeration is an error, not a label."""
+    """Relation rows of the types that a load takes; rows of other types are left out, and a load of an unknown type is an error."""
     if odd := set(types) - set(EDGE_TYPES):
         raise ValueError(f"no such relation types: {sorted(odd)}")
     return rows.where(F.col("type").isin(*types))

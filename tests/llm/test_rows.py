@@ -35,6 +35,28 @@ def test_quality(which, request):
         assert isinstance(r["kept"], bool) and not (r["base_failed"] and r["kept"])
 
 
+def kept1(text):
+    """The verdict by plain counts: the base, then every rule."""
+    t = text or ""
+    n, chars, symbols, dup, rep = brute1(text)
+    letters, upper = sum(unicodedata.category(c)[0] == "L" for c in t), sum(unicodedata.category(c) == "Lu" for c in t)
+    digits = sum(c in "0123456789" for c in t)
+    base = n < 50 or 100 * rep > 50 * n
+    return not (base or symbols * 10 > n or chars < 2 * n or chars > 20 * n or dup * 10 > 3 * (t.count("\n") + 1) or letters * 10 < 6 * chars
+                or digits * 10 > 3 * chars or upper * 2 > chars or re.search(r"[^\x20\x09-\x0D]{1000}", t))
+
+
+def test_quality_verdict(spark, some):
+    """Texts that fail one rule each, those of the sample, and none."""
+    good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    texts = [good, good + " # * $ % & | < > # * $ % & | < > # * $ % &", " ".join("abcdefghij"[i % 10] for i in range(60)), good + "\n".join(["", *["same line"] * 90]), good.replace("word", "1 2 3 "),
+             good.upper(), good + " " + "z" * 1000, good + " " + "1" * 999, " ".join("ö" * (i % 9 + 1) + chr(97 + i % 26) for i in range(70)), "½ " * 80]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").unionByName(some.select("doc_id", "text"))
+    got = op1_quality.judge(docs).collect()
+    assert [r["kept"] for r in got] == [kept1(docs_text) for docs_text in [r["text"] for r in docs.collect()]]
+    assert {r["kept"] for r in got} == {True, False}
+
+
 def test_quality_order(spark, some):
     counted = op1_quality.with_counts(some)
     order = op1_quality.plan(some, "text", op1_quality.RULES, 100, some.count())

@@ -199,10 +199,39 @@ def fallback_lines(rows: DataFrame) -> DataFrame:
     return s.where(F.length("line").between(2, 40) & F.regexp_like("line", F.lit("|".join(words))))
 
 
-def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], retries: int = 1, least: int = 80) -> DataFrame:
+def first_of(models: list[str], open_: Callable[[str], Callable[[str], str]], move_on: Callable[[Exception], bool]) -> Callable[[], Callable[[str], str]]:
+    """A client for ask() that goes down a list of models: an error that move_on accepts (no such model, a timeout) takes the next one,
+    other errors are raised, and the model that answered is asked first from then on."""
+    def client() -> Callable[[str], str]:
+        order = list(dict.fromkeys(models))
+
+        def send(prompt: str) -> str:
+            last: Exception = ValueError("no models")
+            for model in list(order):
+                try:
+                    answer = open_(model)(prompt)
+                except Exception as e:
+                    if not move_on(e):
+                        raise
+                    last = e
+                    continue
+                order.remove(model)
+                order.insert(0, model)
+                return answer
+            raise last
+
+        return send
+
+    return client
+
+
+def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], retries: int = 1, least: int = 80, usable: Callable[[str], bool] | None = None, pause_s: float = 0.0) -> DataFrame:
     """prompts (_section_key, prompt) with the text that a client answers, in Arrow batches; prompts shorter than `least` are passed
-    over. client() opens one connection a task and returns a function; errors are tried again, then kept in `error`."""
+    over. client() opens one connection a task and returns a function. Errors, and answers that `usable` refuses, are tried again after
+    a pause, then kept in `error`."""
     def run(batches: Iterator) -> Iterator:
+        import time
+
         import pyarrow as pa
 
         send = client()
@@ -212,12 +241,17 @@ def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], retries:
                 if prompt is None or len(prompt) < least:
                     continue
                 text, error = None, None
-                for _ in range(retries + 1):
+                for turn in range(retries + 1):
+                    if turn and pause_s:
+                        time.sleep(pause_s)
                     try:
                         text, error = send(prompt), None
-                        break
                     except Exception as e:  # a client's own errors, of any kind
                         error = str(e)
+                        continue
+                    if usable is None or usable(text):
+                        break
+                    text, error = None, "no usable answer"
                 for column, x in zip(out, (key, text, error), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["_section_key", "text", "error"])
@@ -226,10 +260,10 @@ def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], retries:
 
 
 def sse_data(stream: DataFrame) -> DataFrame:
-    """Events of a line stream (i, line): the text behind `data:` up to `[DONE]`."""
+    """Events of a line stream (i, line): the text behind `data:` up to the first `[DONE]`, whose place is one row for all tasks."""
     d = stream.where(F.startswith("line", F.lit("data:"))).select("i", F.trim(F.substring("line", F.lit(6), F.length("line"))).alias("data"))
-    done = F.coalesce(F.min(F.when(F.col("data") == "[DONE]", F.col("i"))).over(W.partitionBy()), F.lit(1 << 62))
-    return d.where(F.col("i") < done)
+    done = d.agg(F.min(F.when(F.col("data") == "[DONE]", F.col("i"))).alias("_done"))
+    return d.join(F.broadcast(done), F.col("_done").isNull() | (F.col("i") < F.col("_done"))).select("i", "data")
 
 
 def rule_triples(sections: DataFrame, terms: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import prompts
-from ..operators import apply, extract, fuse, imports, review, store
+from ..functions import prompts, tables
+from ..functions import scalars as s
+from ..operators import apply, dedup, extract, fuse, imports, resolve, review, store, text
 from ..operators import graph as g
 from . import graphview as v
 from .graphview import read
 from .record_queries import TRIPLES, _triples
 
-NODE = "KP000042"
+NODE = "KP000031"
 
 
 def _parts(df: DataFrame) -> DataFrame:
@@ -132,7 +133,86 @@ def _code_parts(spark, d):
     return c.select("conv_id", "turn", F.posexplode(prompts.code_parts(text)).alias("i", "x")).select("conv_id", "turn", "i", "x.lang", "x.code")
 
 
+def _seeds(spark, d):
+    return read(spark, d, "nation").select(F.initcap("n_name").alias("seed"), F.col("n_nationkey").cast("string").alias("value"), F.col("n_nationkey").alias("ordinal"))
+
+
+def _duplicates(spark, d):
+    c, n = read(spark, d, "customer"), read(spark, d, "nation")
+    names = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws(" ", F.col("n_name"), (F.col("c_custkey") % 3).cast("string")).alias("name")).unionAll(c.select(F.col("c_name").alias("name")))
+    return resolve.duplicate_of(names.distinct(), _seeds(spark, d), s.norm_seed)
+
+
+def _canonical(spark, d):
+    p = read(spark, d, "part")
+    names = p.select(F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.replace("p_name", F.lit(" "), F.lit("  "))).otherwise(F.concat("p_name", F.lit("?"))).alias("name"), "p_partkey")
+    return resolve.canonical(names, p.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal")), s.norm_fuse)
+
+
+def _reviews(spark, d):
+    e = read(spark, d, "events").select(F.concat(F.lit("REV"), F.col("event_id").cast("string")).alias("id"), F.element_at(F.array(F.lit("pending"), F.lit("approved")), (F.col("event_id") % 2 + 1).cast("int")).alias("status"), F.struct(F.col("event_type").alias("name")).alias("data"))
+    return review.by_status(e, "approved", "99").unionAll(review.by_status(e, "all", "purchase")).select("id", "status", "data.name")
+
+
+def _lines(spark, d):
+    return text.lines(read(spark, d, "documents"))
+
+
+def _fused_edges(spark, d):
+    t = _triples(spark, d).where("object_id is not null").select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.lit("FUSED_RELATION").alias("type"), "predicate", "object_id", "source", "section_key", "evidence", "ord")
+    return store.merge_fused(t.where("ord % 2 = 0").drop("ord").where("false"), t).select("src", "dst", "predicate", "source", "section_key", "evidence")
+
+
+def _entities(spark, d):
+    base = read(spark, d, "nation").select(F.concat(F.lit("E"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("name"), F.lit("old").alias("note"))
+    rows = read(spark, d, "supplier").select(F.concat(F.lit("E"), (F.col("s_suppkey") % 40).cast("string")).alias("entity_id"), F.col("s_name").alias("name"), F.nullif(F.col("s_name"), F.col("s_name")).alias("note"), F.col("s_suppkey").alias("ord"),
+                                             F.element_at(F.array(F.lit("KnowledgePoint"), F.lit("Chapter"), F.lit("Pattern")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("entity_type"))
+    return store.upsert_other(base, rows, "entity_id", ["name", "note"], ["KnowledgePoint", "Chapter"])
+
+
+def _loaded(spark, d):
+    x = v.graph(spark, d)
+    rows = x.edges.withColumn("type", F.when(F.col("type") == "EXAMPLE_OF", "OTHER").otherwise(F.col("type")))
+    ok, rest = store.link(store.of_types(rows, ["CONTAINS", "RELATED"]), x.kps.select(F.col("kp_id").alias("id")), x.kps.where("source_page > 10").select(F.col("kp_id").alias("id")))
+    return ok.select(F.lit("linked").alias("kind"), "src", "dst", "type").unionAll(rest.select(F.lit("lost"), "src", "dst", "type"))
+
+
+def _events_stream(spark, d):
+    e = read(spark, d, "events")
+    return extract.sse_data(e.select(F.col("event_id").alias("i"), F.when(F.col("event_id") % 5 == 1, "").when(F.col("event_id") == 900, "data: [DONE]").otherwise(F.concat(F.lit("data: "), "event_type")).alias("line")))
+
+
+def _alias_lists(spark, d):
+    w = F.split("p_name", " ")
+    p = read(spark, d, "part").select("p_partkey", F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("b"))
+    return p.select("p_partkey", F.array_join(s.alias_list(F.concat(F.lit("["), "a", F.lit(', "'), F.upper("a"), F.lit("\", , '"), "b", F.lit("']"))), "|").alias("names"))
+
+
+def _name_checks(spark, d):
+    w = F.element_at(F.array(*[F.lit(x) for x in CHECKED]), (F.col("page_id") % len(CHECKED) + 1).cast("int"))
+    e = F.element_at(F.array(*[F.lit(x) for x in EVIDENCE]), (F.col("page_id") % len(EVIDENCE) + 1).cast("int"))
+    p = read(spark, d, "pages").select("page_id", w.alias("w"), e.alias("e"))
+    return p.select("page_id", s.fuse_alias_ok(F.col("w"), F.col("e")).alias("fuse"), s.rule_alias_ok(F.col("w"), F.col("e")).alias("rule"), s.span_ok(F.col("w")).alias("span"),
+                    s.category(F.col("w")).alias("category"), s.candidate_type(F.col("w"), F.when(F.col("page_id") % 2 == 0, "algorithm").otherwise("other")).alias("kind"))
+
+
+#: Names that each check takes or refuses for a reason of its own, with evidence.
+CHECKED = ["数组名", "int", "a", "x;y", "12_3", "main", "abc", "abcdef", "快速排序算法", "指针操作", "memory/other", "循环", "SortingName", "程序", "排序", "文件操作", " 函数 ", "file读写"]
+EVIDENCE = ["", "plain words", "printf(\"x\")", "for (i", "while("]
+
+
 QUERIES = {
+    "page_text": lambda spark, d: text.join_pages(read(spark, d, "pages").select((F.col("page_id") % 7).alias("job_id"), F.col("page_id").alias("page"), F.when(F.col("page_id") % 4 == 0, " \n").otherwise(F.substring_index("html", ">", 2)).alias("text"))),
+    "duplicate_names": _duplicates,
+    "canonical_names": _canonical,
+    "review_search": _reviews,
+    "fallback_names": lambda spark, d: dedup.fallback_names(_lines(spark, d).where("length(line) between 2 and 400 and line like '%e%'")),
+    "merge_fused": _fused_edges,
+    "upsert_other": _entities,
+    "load_relations": _loaded,
+    "sse_data": _events_stream,
+    "alias_lists": _alias_lists,
+    "name_checks": _name_checks,
     "payload_coerce": lambda spark, d: _parts(imports.coerce(_payloads(spark, d))),
     "rule_fallback": lambda spark, d: _parts(imports.fallback(_subject_texts(spark, d))),
     "import_filter": lambda spark, d: imports.importable(_candidate_json(spark, d)).select("event_id"),
@@ -177,7 +257,35 @@ def _edges_sql(base: str) -> str:
 
 
 _LINES = "list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '')"
+_IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+_ANY = lambda c, words: "(" + " OR ".join(f"contains({c}, '" + w.replace("'", "''") + "')" for w in words) + ")"
+_CATEGORY = "CASE " + " ".join(f"WHEN t = '{k}' THEN '{x}'" for k, x in tables.CATEGORIES.items()) + " " + " ".join(f"WHEN {_ANY('lower(t)', words)} THEN '{x}'" for words, x in tables.CATEGORY_RULES) + " ELSE 'other' END"
 SQL = {
+    "page_text": """SELECT job_id, string_agg(text, chr(10) ORDER BY page) AS text FROM (SELECT page_id % 7 AS job_id, page_id AS page, CASE WHEN page_id % 4 = 0 THEN ' ' || chr(10) ELSE array_to_string(list_slice(string_split(html, '>'), 1, 2), '>') END AS text FROM pages)
+WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY job_id""",
+    "duplicate_names": """WITH names AS (SELECT n_name || ' ' || (c_custkey % 3) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_name FROM customer),
+k AS (SELECT n_nationkey AS ordinal, replace(lower(n_name), ' ', '') AS b FROM nation), n AS (SELECT name, replace(lower(name), ' ', '') AS a FROM names)
+SELECT name, min_by(ordinal, ordinal)::VARCHAR AS duplicate_of FROM n LEFT JOIN k ON contains(a, b) OR contains(b, a) GROUP BY name""",
+    "canonical_names": """WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '  ') ELSE p_name || '?' END AS name FROM part),
+k AS (SELECT replace(lower(p_name), ' ', '') AS key, arg_min(p_name, p_partkey) AS near FROM part GROUP BY 1)
+SELECT n.name, n.p_partkey, coalesce(CASE WHEN n.name IN (SELECT p_name FROM part) THEN n.name END, k.near, n.name) AS canonical FROM n LEFT JOIN k ON k.key = replace(lower(n.name), ' ', '')""",
+    "review_search": """WITH e AS (SELECT 'REV' || event_id AS id, CASE WHEN event_id % 2 = 1 THEN 'approved' ELSE 'pending' END AS status, event_type AS name FROM events)
+SELECT * FROM e WHERE status = 'approved' AND (contains(id, '99') OR contains(name, '99')) UNION ALL SELECT * FROM e WHERE contains(id, 'purchase') OR contains(name, 'purchase')""",
+    "fallback_names": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS i FROM documents WHERE text IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l WHERE length(line) BETWEEN 2 AND 400 AND line LIKE '%e%'), b AS (SELECT doc_id, line, min(i) AS i FROM a WHERE r <= 30 GROUP BY doc_id, line)
+SELECT doc_id, seq::INTEGER AS seq, line AS name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq FROM b) WHERE seq <= 24""",
+    "merge_fused": f"""WITH {TRIPLES} SELECT src, dst, predicate, source, section_key, evidence FROM (SELECT subject_id AS src, object_id AS dst, predicate, source, section_key, evidence,
+ row_number() OVER (PARTITION BY subject_id, object_id, predicate, source ORDER BY ord DESC) AS r FROM t WHERE object_id IS NOT NULL) WHERE r = 1""",
+    "upsert_other": """WITH r AS (SELECT 'E' || (s_suppkey % 40) AS id, arg_max(s_name, s_suppkey) AS name FROM supplier WHERE s_suppkey % 3 = 2 GROUP BY 1)
+SELECT coalesce('E' || n_nationkey, id) AS entity_id, coalesce(name, n_name) AS name, CASE WHEN id IS NULL THEN 'old' END AS note FROM nation FULL JOIN r ON id = 'E' || n_nationkey""",
+    "load_relations": "WITH " + v.SQL + """ SELECT CASE WHEN src IN (SELECT kp_id FROM kps) AND dst IN (SELECT kp_id FROM kps WHERE source_page > 10) THEN 'linked' ELSE 'lost' END AS kind, src, dst, type FROM edges WHERE type IN ('CONTAINS', 'RELATED')""",
+    "sse_data": "SELECT event_id AS i, event_type AS data FROM events WHERE event_id % 5 <> 1 AND event_id < 900",
+    "alias_lists": "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 2) END AS names FROM part",
+    "name_checks": f"""WITH p AS (SELECT page_id, [{", ".join(f"'{x}'" for x in CHECKED)}][page_id % {len(CHECKED)} + 1] AS w, [{", ".join(f"'{x}'" for x in EVIDENCE)}][page_id % {len(EVIDENCE)} + 1] AS e FROM pages), q AS (SELECT *, trim(w) AS t FROM p)
+SELECT page_id, length(t) BETWEEN 2 AND 30 AND lower(t) NOT IN {_IN(tables.FUSE_ALIAS_TOKENS)} AND NOT regexp_matches(t, '^[0-9_\\s[:punct:]]+$') AND NOT {_ANY('e', tables.FUSE_EVIDENCE)} AND NOT regexp_matches(t, '[(){{}};,]') AS fuse,
+ length(t) BETWEEN 2 AND 20 AND lower(t) NOT IN {_IN(tables.RULE_ALIAS_BLOCK)} AND NOT regexp_matches(t, '^[0-9_\\s[:punct:]]+$') AND NOT regexp_matches(t, '[{{}};,]') AND NOT {_ANY('e', tables.RULE_EVIDENCE)} AND NOT (regexp_matches(t, '^[a-z_\\-]+$') AND length(t) <= 5) AS rule,
+ length(t) BETWEEN 2 AND 20 AND NOT regexp_matches(t, '[(){{}}\\[\\];,:#%*/]') AND t NOT IN {_IN(tables.SPAN_NOISE)} AS span, {_CATEGORY} AS category,
+ CASE WHEN regexp_matches(w, '^(?:{"|".join(tables.METHOD_NAMES)})') OR (page_id % 2 = 0 AND NOT {_ANY('w', tables.CONCEPT_WORDS)}) THEN 'MethodPattern' ELSE 'KnowledgePoint' END AS kind FROM q""",
     "payload_coerce": """WITH s AS (SELECT s_nationkey AS nk, list(s_name ORDER BY s_suppkey) AS names FROM supplier GROUP BY 1),
 n AS (SELECT n_regionkey::BIGINT AS doc_id, n_nationkey AS nk, CASE WHEN n_nationkey % 5 <> 2 THEN n_name END AS name, coalesce(names, []) AS names FROM nation LEFT JOIN s ON s.nk = n_nationkey WHERE n_regionkey < 3),
 c AS (SELECT doc_id, nk, 0 AS part, CASE WHEN nk % 3 = 0 THEN coalesce(name, 'root') ELSE coalesce(name, 'root') END AS title, names FROM n UNION ALL SELECT doc_id, nk, 1, 'extra', ['last'] FROM n WHERE nk % 3 = 0),

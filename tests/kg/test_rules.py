@@ -243,3 +243,56 @@ def test_stream(spark, tmp_path):
     for r in spark.table("latest").collect():
         got[r["id"]] = r["status"]
     assert got == {"r1": "approved", "r2": "rejected"}
+
+
+def test_ask_again(spark):
+    """Refused answers are asked for again, then an error; a list of models goes on to the next one for its own errors only."""
+    from kgloom.operators import extract
+
+    def client():
+        asked = {}
+
+        def send(prompt):
+            asked[prompt] = asked.get(prompt, 0) + 1
+            return "no" if prompt.startswith("b") or asked[prompt] == 1 else "[1]"
+
+        return send
+
+    prompts = spark.createDataFrame([("1", "a" * 80), ("2", "b" * 80), ("3", "short")], "_section_key string, prompt string").coalesce(1)
+    got = {r["_section_key"]: (r["text"], r["error"]) for r in extract.ask(prompts, client, usable=lambda t: t.startswith("["), pause_s=0.01).collect()}
+    assert got == {"1": ("[1]", None), "2": (None, "no usable answer")}
+
+    def open_(model):
+        def send(prompt):
+            if model == "none":
+                raise KeyError("No such model")
+            if prompt == "bad":
+                raise ValueError("refused")
+            return f"{model}: {prompt}"
+
+        return send
+
+    send = extract.first_of(["none", "two", "none"], open_, lambda e: isinstance(e, KeyError))()
+    assert send("x") == "two: x" and send("y") == "two: y"
+    with pytest.raises(ValueError, match="refused"):
+        send("bad")
+
+
+def test_review_states(spark):
+    """An approval counts while pending, a rejection always, whatever came before."""
+    from kgloom.operators import review
+
+    runs = {"a": ["pending", "approved"], "b": ["rejected", "approved"], "c": ["pending", "approved", "rejected", "approved"], "d": ["approved"], "e": ["rejected", "pending", "approved"], "f": ["approved", "pending"]}
+    events = spark.createDataFrame([(k, i, s_) for k, xs in runs.items() for i, s_ in enumerate(xs)], "id string, seq bigint, status string")
+    assert {r["id"]: r["status"] for r in review.latest(events).collect()} == {"a": "approved", "b": "rejected", "c": "rejected", "d": "approved", "e": "approved", "f": "pending"}
+    assert [review.takes(F.lit(x)) is not None for x in ("a.PDF",)] == [True]
+    assert spark.range(1).select(review.takes(F.lit("a.PDF")), review.takes(F.lit("a.txt")), review.takes(F.lit(None).cast("string"))).first()[:] == (True, False, False)
+
+
+def test_prompts(spark):
+    from kgloom.functions import prompts
+
+    one_ = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    assert one_(prompts.extraction("{title}|{text}|{code}|{names}", F.lit("T"), F.lit("x" * 2000), F.array(F.lit("a" * 700), F.lit("b"), F.lit("c")), [str(i) for i in range(50)])) == f"T|{'x' * 1500}|{'a' * 600}\n\nb|{'、'.join(str(i) for i in range(40))}"
+    import re
+    assert re.fullmatch("20240102030405_[0-9a-f]{8}", one_(prompts.job_id(F.lit("2024-01-02 03:04:05").cast("timestamp"))))

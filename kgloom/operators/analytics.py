@@ -131,10 +131,14 @@ def nearest_main(nodes: DataFrame, edges: DataFrame, main: DataFrame) -> DataFra
 
 
 def slots(placed: DataFrame, gap: float = 80.0) -> DataFrame:
-    """placed (role, anchor, id) with each node's slot beside its anchor and its centred offset."""
-    w = W.partitionBy("role", "anchor")
-    return placed.select("*", (F.row_number().over(w.orderBy("id")) - 1).alias("slot"), F.count(F.lit(1)).over(w).alias("n")).withColumn(
-        "offset", F.col("slot") * gap - (F.col("n") - 1) * gap / 2)
+    """placed (role, anchor, id) with each node's slot beside its anchor and its centred offset. Rows are numbered over ranges, so that no
+    task sorts a whole anchor; an anchor's first number and size come from sums."""
+    from .dedup import sequence_ids
+
+    numbered = sequence_ids(placed, "", 1, ["role", "anchor", "id"]).drop("seq_id")
+    first = numbered.groupBy("role", "anchor").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("n"))
+    out = numbered.join(first, ["role", "anchor"]).withColumn("slot", (F.col("seq") - F.col("_first")).cast("int"))
+    return out.select(*placed.columns, "slot", "n", (F.col("slot") * gap - (F.col("n") - 1) * gap / 2).alias("offset"))
 
 
 def chain_edges(edges: DataFrame, main: DataFrame) -> DataFrame:

@@ -104,12 +104,22 @@ def greedy(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     return n.join(label, n["_n"] == label["node"]).drop("node").groupBy("root").applyInPandas(fold, rows.schema)
 
 
+#: Names of a list that every other name is compared with; a longer list meets them through its characters.
+MAX_LIST = 2000
+
+
+def name_overlaps(a: DataFrame, b: DataFrame, most: int = MAX_LIST) -> DataFrame:
+    """(a, b, similarity) of distinct names a and b that share a character, or, where b is a short list, of all."""
+    if b.limit(most + 1).count() <= most:
+        return a.join(F.broadcast(b)).select("a", "b", jaccard_chars(F.col("a"), F.col("b")).alias("similarity"))
+    chars = lambda df, name: df.select(name, F.array_distinct(F.filter(F.split(F.lower(name), ""), lambda c: c != "")).alias("cs")).select(name, F.size("cs").alias(f"n_{name}"), F.explode("cs").alias("c"))
+    both = chars(a, "a").join(chars(b, "b"), "c").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n"))
+    return both.select("a", "b", (F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("similarity"))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, similarity) of names of `left` and of a small dictionary `right` with a character Jaccard of threshold or more."""
-    a = left.select(F.col("name").alias("a")).distinct()
-    b = F.broadcast(right.select(F.col("name").alias("b")).distinct())
-    s = jaccard_chars(F.col("a"), F.col("b"))
-    return a.join(b, s >= threshold).select("a", "b", s.alias("similarity"))
+    """Pairs (a, b, similarity) of names of `left` and of a dictionary `right` with a character Jaccard of threshold, over 0, or more."""
+    return name_overlaps(left.select(F.col("name").alias("a")).distinct(), right.select(F.col("name").alias("b")).distinct()).where(F.col("similarity") >= threshold)
 
 
 def sequence_ids(rows: DataFrame, prefix: str, width: int, order: list[str], first: int = 1) -> DataFrame:

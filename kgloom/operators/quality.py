@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
-from ..functions.scalars import any_match, candidate_type, category, has_any, jaccard_chars, norm_name, or_empty, py_strip, truthy
+from ..functions.scalars import any_match, candidate_type, category, has_any, norm_name, or_empty, py_strip, truthy
 
 PASS_SCORE = 65
 
 
 def with_similarity(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """rows with `near`, the greatest character Jaccard of the name and any seed name; names repeat, so each is compared once.
-    seeds: name; a curated list, joined by nested loop."""
-    names = rows.select(norm_name(F.col("name")).alias("_n")).distinct()
-    s = F.broadcast(seeds.select(norm_name(F.col("name")).alias("_s")).where("_s <> ''").distinct())
-    best = names.join(s).groupBy("_n").agg(F.max(jaccard_chars(F.col("_n"), F.col("_s"))).alias("near"))
+    """rows with `near`, the greatest character Jaccard of the name and any seed name; names repeat, so each is compared once."""
+    from .dedup import name_overlaps
+
+    names = rows.select(norm_name(F.col("name")).alias("a")).distinct()
+    s = seeds.select(norm_name(F.col("name")).alias("b")).where("b <> ''").distinct()
+    best = name_overlaps(names, s).groupBy(F.col("a").alias("_n")).agg(F.max("similarity").alias("near"))
     return rows.withColumn("_n", norm_name(F.col("name"))).join(best, "_n", "left").withColumn("near", F.coalesce("near", F.lit(0.0))).drop("_n")
 
 

@@ -1,5 +1,5 @@
-"""Terms in texts and names to nodes. A dictionary is (key, value, ordinal), key normalized; it is small, and its size is
-checked before it is broadcast: beyond MAX_TERMS texts are matched by an automaton instead of a nested loop."""
+"""Terms in texts and names to nodes. A dictionary is (key, value, ordinal), key normalized. Its size is checked before it is
+broadcast: beyond MAX_TERMS texts are matched by an automaton instead of a nested loop."""
 
 from __future__ import annotations
 
@@ -44,6 +44,15 @@ def term_hits(texts: DataFrame, terms: DataFrame, least: int = 2, passes: int |
     return out
 
 
+def _either_way(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, key) where one contains the other; neither is empty. names: k; keys: key. Both directions go through term_hits, so large sides
+    meet by an automaton and never by a nested loop."""
+    k, d = names.select("k").where("k <> ''").distinct(), keys.select("key").where("key <> ''").distinct()
+    longer = term_hits(d.select(F.col("key").alias("doc_id"), F.col("key").alias("text")), k.select(F.col("k").alias("term")), 1).select(F.col("term").alias("k"), F.col("doc_id").alias("key"))
+    shorter = term_hits(k.select(F.col("k").alias("doc_id"), F.col("k").alias("text")), d.select(F.col("key").alias("term")), 1).select(F.col("doc_id").alias("k"), F.col("term").alias("key"))
+    return longer.union(shorter).distinct()
+
+
 def resolve(names: DataFrame, dictionary: DataFrame, norm, partial_from: int = 1) -> DataFrame:
     """names (name, ...) with `resolved`: the value of the exact key, else of the first dictionary key that contains the name
     or that it contains, if it has partial_from characters."""
@@ -51,19 +60,22 @@ def resolve(names: DataFrame, dictionary: DataFrame, norm, partial_from: int = 1
     d = dictionary.select("key", "value", "ordinal")
     exact = keyed.join(d, keyed["k"] == d["key"], "left").select("name", "k", F.col("value").alias("exact"))
     miss = exact.where(F.col("exact").isNull() & (F.length("k") >= partial_from))
-    like = F.contains(F.col("key"), F.col("k")) | F.contains(F.col("k"), F.col("key"))
-    small = d if d.count() > MAX_TERMS * 50 else F.broadcast(d)
-    near = miss.join(small, like).groupBy("name").agg(F.min_by("value", "ordinal").alias("near"))
-    found = exact.join(near, "name", "left").select("name", F.coalesce("exact", "near").alias("resolved"))
+    near = _either_way(miss, d).join(d, "key").groupBy("k").agg(F.min_by("value", "ordinal").alias("near"))
+    found = exact.join(near, "k", "left").select("name", F.coalesce("exact", "near").alias("resolved"))
     return names.join(found, "name", "left")
 
 
 def duplicate_of(names: DataFrame, seeds: DataFrame, norm) -> DataFrame:
-    """names (name) with duplicate_of: the first seed (value) of equal name, or whose normalized name contains it or is contained."""
-    a, b = norm(F.col("name")), norm(F.col("seed"))
-    same = (F.col("name") == F.col("seed")) | F.contains(a, b) | F.contains(b, a)
-    hit = names.select("name").distinct().join(F.broadcast(seeds.select("seed", "value", "ordinal")), same).groupBy("name").agg(F.min_by("value", "ordinal").alias("duplicate_of"))
-    return names.join(hit, "name", "left")
+    """names (name) with duplicate_of: the first seed (value) whose normalized name contains the name's or is contained in it. An
+    empty normalized name is contained in every other."""
+    n = names.select("name").distinct().withColumn("k", norm(F.col("name")))
+    s = seeds.select(norm(F.col("seed")).alias("key"), "value", "ordinal")
+    first = lambda rows: rows.agg(F.min_by(F.struct("value", "ordinal"), "ordinal").alias("_any"))  # noqa: E731 - one row
+    near = _either_way(n, s).join(s, "key").groupBy("k").agg(F.min_by(F.struct("value", "ordinal"), "ordinal").alias("_near"))
+    found = n.join(near, "k", "left").crossJoin(F.broadcast(first(s).withColumnRenamed("_any", "_first"))).crossJoin(F.broadcast(first(s.where("key = ''")).withColumnRenamed("_any", "_empty")))
+    options = F.array_compact(F.array(F.when(F.col("k") == "", F.col("_first")), F.col("_near"), F.col("_empty")))
+    best = F.array_min(F.transform(options, lambda x: F.struct(x["ordinal"].alias("ordinal"), x["value"].alias("value"))))
+    return names.join(found.select("name", best["value"].alias("duplicate_of")), "name", "left")
 
 
 def prioritized(links: DataFrame, new: DataFrame, existing: DataFrame, norm) -> DataFrame:

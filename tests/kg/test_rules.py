@@ -296,3 +296,24 @@ def test_prompts(spark):
     assert one_(prompts.extraction("{title}|{text}|{code}|{names}", F.lit("T"), F.lit("x" * 2000), F.array(F.lit("a" * 700), F.lit("b"), F.lit("c")), [str(i) for i in range(50)])) == f"T|{'x' * 1500}|{'a' * 600}\n\nb|{'、'.join(str(i) for i in range(40))}"
     import re
     assert re.fullmatch("20240102030405_[0-9a-f]{8}", one_(prompts.job_id(F.lit("2024-01-02 03:04:05").cast("timestamp"))))
+
+
+def test_long_lists(spark):
+    """Names meet a long list through its characters, with the same similarities."""
+    from kgloom.operators import dedup
+
+    names = ["abc", "ABD", "xyz", "", "aabbcc"]
+    a = spark.createDataFrame([(x,) for x in names], "a string")
+    b = spark.createDataFrame([(x,) for x in ["ab", "cba", "q"]], "b string")
+    every = {(r["a"], r["b"]): r["similarity"] for r in dedup.name_overlaps(a, b).collect()}
+    some = {(r["a"], r["b"]): r["similarity"] for r in dedup.name_overlaps(a, b, 2).collect()}
+    assert some == {k: x for k, x in every.items() if x} and len(every) == 15
+
+
+def test_duplicates_of_empty(spark):
+    from kgloom.operators import resolve
+
+    seeds = spark.createDataFrame([("Array", "K2", 2), ("Pointer", "K1", 1), (" ", "K9", 9)], "seed string, value string, ordinal int")
+    names = spark.createDataFrame([("arr ay list",), ("point",), ("other",), ("",)], "name string")
+    assert {r["name"]: r["duplicate_of"] for r in resolve.duplicate_of(names, seeds, s.norm_seed).collect()} == {"arr ay list": "K2", "point": "K1", "other": "K9", "": "K1"}
+    assert {r["duplicate_of"] for r in resolve.duplicate_of(names, seeds.where("ordinal = 2"), s.norm_seed).collect()} == {"K2", None}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import packed
-from .common import documents, others, quoted, stage
+from .common import documents, others, quoted, remove, stage
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -237,7 +237,10 @@ def _star(members: DataFrame, turn: int) -> DataFrame:
 
 
 def _rooted(light: DataFrame, found: DataFrame) -> DataFrame:
-    return stage(light.drop("root").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = components(found)
+    out = stage(light.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    remove(roots)
+    return out
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -247,9 +250,16 @@ def links(nodes: DataFrame) -> DataFrame:
     while True:
         new = stage(_linked(_allowed(_star(_members(known), turn), nodes), nodes))
         n = new.count()
-        found = new if found is None else stage(found.union(new))
+        if found is None:
+            found = new
+        elif n:
+            before, found = found, stage(found.union(new))
+            remove(before)
+            remove(new)
         if n:
-            known = _rooted(light, found)
+            old, known = known, _rooted(light, found)
+            if old is not light:
+                remove(old)
         most, turn = max(most, n), turn + 1
         # the second centre is tried in any case: what an original leaves may have another one
         if turn > 1 and n <= WORTH * most:

@@ -75,11 +75,11 @@ def reachable(edges: DataFrame, starts: DataFrame, backward: bool = False) -> Da
     e = cut(e)
     first = starts.select(F.col("node").alias("start")).distinct()
     frontier = cut(first.join(e, F.col("start") == F.col("at")).select("start", F.col("to").alias("node")).distinct().withColumn("distance", F.lit(1)))
-    seen = frontier
+    seen = frontier  # a union of the rounds, each written once
     while not frontier.isEmpty():
         step = frontier.join(e, frontier["node"] == e["at"]).select("start", F.col("to").alias("node"), (F.col("distance") + 1).alias("distance")).distinct()
         frontier = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
-        seen = cut(seen.unionAll(frontier))
+        seen = seen.unionAll(frontier)
     return seen
 
 

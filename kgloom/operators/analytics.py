@@ -1,5 +1,5 @@
 """Graph analytics: layering, longest chain, reachability, roles. Loops run on the driver, one join a step, over
-checkpointed tables; only a count a step comes back."""
+staged tables; only whether a step found anything comes back."""
 
 from __future__ import annotations
 
@@ -7,31 +7,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.staging import cut
+from ..plans.staging import cut, drop
 
 
 def backbone(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-#: Layers that are released between two checkpoints.
-STEPS = 4
-
-
 def _released(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, depth, done): the longest path from a node that nothing enters, over nodes released so far; done is false where a
-    cycle holds a node back. Several layers go in one plan, as a small layer costs less than a checkpoint."""
+    cycle holds a node back. A layer is a join and a sum over the nodes that it releases."""
     known = nodes.select("node").distinct()
     e = cut(edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi"))
     entering = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open"))
     state = cut(known.join(entering, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("depth"), F.lit(False).alias("done")))
     while not state.where("open = 0 and not done").isEmpty():
-        for _ in range(STEPS):
-            free = state.where("open = 0 and not done").select(F.col("node").alias("src"), "depth")
-            released = e.join(free, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("depth") + 1).alias("d"))
-            state = state.join(released, "node", "left").select(
-                "node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("depth", F.coalesce("d", "depth")).alias("depth"), (F.col("done") | (F.col("open") == 0)).alias("done"))
-        state = cut(state)
+        free = state.where("open = 0 and not done").select(F.col("node").alias("src"), "depth")
+        released = e.join(free, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("depth") + 1).alias("d"))
+        before, state = state, cut(state.join(released, "node", "left").select(
+            "node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("depth", F.coalesce("d", "depth")).alias("depth"), (F.col("done") | (F.col("open") == 0)).alias("done")))
+        drop(before)
     return state.select("node", "depth", "done")
 
 

@@ -2,15 +2,28 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder the cluster shares; a temporary one of this machine only where none is set in a local run."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.master != "local" and not context.master.startswith("local["):
+    """df as a table written to the folder that the cluster shares and read again: one pass, and the next plan knows its size, so that
+    small rounds join by broadcast. A folder of this machine serves only where none is set in a local run."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kgloom-checkpoints-{os.getuid()}")
-    return df.checkpoint()
+        base = f"file://{tempfile.gettempdir()}/kgloom-{os.getuid()}"
+    path = f"{base.rstrip('/')}/kgloom-cut/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a cut table that no later step reads."""
+    spark = df.sparkSession
+    for name in {os.path.dirname(f) for f in df.inputFiles() if "/kgloom-cut/" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

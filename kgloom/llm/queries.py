@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_lines, op3_decontam, op4_suffixes, op5_jaccard, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens
+from . import op1_quality, op2_lines, op3_decontam, op4_suffixes, op5_jaccard, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens, op11_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe.op8_bpe,
         "op9_substring_dedup": op9_debruijn.op9_substring_dedup,
         "op10_token_counts": op10_tokens.op10_token_counts,
+        "op11_token_files": op11_token_files.op11_token_files,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_quality, op2_lines, op3_decontam, op4_suffixes, op5_jaccard, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens, op11_token_files
+from . import op1_quality, op2_lines, op3_decontam, op4_suffixes, op5_jaccard, op6_sharding, op7_language, op8_bpe, op9_debruijn, op10_tokens, op11_token_files, op12_centroids, op13_prefixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_debruijn.op9_substring_dedup,
         "op10_token_counts": op10_tokens.op10_token_counts,
         "op11_token_files": op11_token_files.op11_token_files,
+        "op12_centroids": op12_centroids.op12_centroids,
+        "op13_prefixes": op13_prefixes.op13_prefixes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": op2_lines.SQL}
+    return {"op2_line_dedup": op2_lines.SQL, "op12_centroids": op12_centroids.SQL, "op13_prefixes": op13_prefixes.SQL}

@@ -23,8 +23,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +37,10 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .common import documents, map_texts, quoted, remove, shared_dir, stage
-from .op8_bpe import BLOCK, Encoder, byte_symbols, classes, vocabulary
+from .op8_bpe import BLOCK, SPLIT, TABLE, TABLE_TEXT, Encoder, byte_symbols, classes, vocabulary
 
 END = 1
-#: The dictionary's teachers, by least hash of their contents, and its size.
+#: The dictionary's teachers (twice as many at most), by hashes of their rows, and its size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 4096, 64 << 10
 LEVEL = 3
 MAGIC = b"KGTOKEN1"
@@ -49,35 +51,76 @@ SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
 class LibraryEncoder(Encoder):
-    """The op8 encoder with the merges left to the tokenizers library's BPE model."""
+    """The op8 encoder with the merges left to the tokenizers library's BPE model, and ids packed as they are kept. Tokens of code points below PLAIN, where
+    NFC changes nothing and Python's lower case is the library's, skip the library's normalizers and the classes of all of Unicode."""
 
-    def __init__(self, data: str, known: dict[str, str]) -> None:
+    PLAIN = 0x250
+
+    def __init__(self, data: str, known: dict[str, str], width: int) -> None:
         from tokenizers import models
 
         super().__init__(data, known)
         model = json.loads(data)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.model = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"] or "", cache_capacity=0)
-        self.symbols = byte_symbols()
-
-    def merge(self, word: bytes) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, word)))]
+        self.symbols, self.code = byte_symbols(), "H" if width == 2 else "I"
+        below = [chr(c) for c in range(self.PLAIN)]
+        self.other = re.compile(f"[^{below[0]}-{below[-1]}]")
+        if any(c.lower() != self.lower.normalize_str(self.nfc.normalize_str(c)) for c in below):
+            self.other = re.compile("")  # matches every token
+        split = SPLIT
+        for pattern, inside in known.items():
+            inside = re.compile(f"[{inside}]")
+            split = split.replace(pattern, "".join(re.escape(c) for c in below if inside.match(c)))
+        self.split_plain = re.compile(split)
+        self.table: dict[str, bytes] = {}
+        self.packs: dict[str, bytes] = {}
+
+    def merged(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode()))
+        found = array(self.code, [t.id for t in self.model.tokenize(plain)]).tobytes()
+        if len(piece) <= TABLE_TEXT:
+            if len(self.packs) >= TABLE:
+                self.packs.clear()
+            self.packs[piece] = found
+        return found
+
+    def pieces_of(self, chunk: str) -> list[str]:
+        """Of a token without white space and special tokens."""
+        if self.other.search(chunk):
+            low, split = self.lower.normalize_str(self.nfc.normalize_str(chunk)), self.split
+        else:
+            low, split = chunk.lower(), self.split_plain
+        return [low] if self.words and low.isalpha() else split.findall(low)
+
+    def chunk(self, chunk: str) -> bytes:
+        get, merged, found = self.packs.get, self.merged, b""
+        for part in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
+            if part in self.special:
+                found += array(self.code, [self.special[part]]).tobytes()
+            elif part:
+                found += b"".join([get(p) or merged(p) for p in self.pieces_of(part)])
+        if len(chunk) <= TABLE_TEXT:
+            if len(self.table) >= TABLE:
+                self.table.clear()
+            self.table[chunk] = found
+        return found
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(data: str, known: str) -> LibraryEncoder:
+def encoder(data: str, known: str, width: int) -> LibraryEncoder:
     """One a worker, kept from task to task with its bounded tables."""
-    return LibraryEncoder(data, json.loads(known))
+    return LibraryEncoder(data, json.loads(known), width)
 
 
 def _start(data: str, known: str, width: int, end: int | None):
     def start():
-        one = encoder(data, known)
+        one = encoder(data, known, width)
         tail = np.array([] if end is None else [end], f"<u{width}").tobytes()
 
         def pack(text: str | None) -> tuple:
-            ids = one.packed(text)
-            return (np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes() if width < 4 else ids) + tail, len(ids) // 4 + len(tail) // width
+            ids = one.packed(text) + tail
+            return ids, len(ids) // width
 
         return lambda texts: [pack(t) for t in texts]
 
@@ -96,11 +139,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
 
 def train(rows: DataFrame, docs: int = SAMPLE_DOCS) -> bytes:
-    """A dictionary from a bounded sample of rows (ids); empty where they are too few or too alike to teach one."""
+    """A dictionary from a bounded sample of rows (ids, _row); empty where they are too few or too alike to teach one."""
     import zstandard
 
-    short = rows.where(F.octet_length("ids") <= SAMPLE_BYTES).select("ids", F.xxhash64("ids").alias("h"))
-    sample = [bytes(r["ids"]) for r in short.orderBy("h", "ids").limit(docs).collect()]  # SAMPLE_DOCS * SAMPLE_BYTES at most
+    short = rows.where(F.octet_length("ids") <= SAMPLE_BYTES)
+    every = max(1, short.count() // docs)  # then about as many rows as wanted reach the driver, or twice that
+    sample = [bytes(r["ids"]) for r in short.where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select("ids").limit(2 * docs).collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, sample)) // 8), sample).as_bytes()
     except (zstandard.ZstdError, ValueError):

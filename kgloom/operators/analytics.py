@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.staging import cut, drop
+from ..plans.staging import Rounds, cut, drop
 
 
 def backbone(edges: DataFrame) -> DataFrame:
@@ -16,18 +16,24 @@ def backbone(edges: DataFrame) -> DataFrame:
 
 def _released(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, depth, done): the longest path from a node that nothing enters, over nodes released so far; done is false where a
-    cycle holds a node back. A layer is a join and a sum over the nodes that it releases."""
-    known = nodes.select("node").distinct()
+    cycle holds a node back.
+
+    A round releases the nodes whose last edge is hit, so its number is their depth. It touches only what the round before
+    hits and what has been hit in part: neither released nor untouched nodes move.
+    """
+    known = cut(nodes.select("node").distinct())
     e = cut(edges.select("src", "dst").distinct().join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi"))
-    entering = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open"))
-    state = cut(known.join(entering, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("depth"), F.lit(False).alias("done")))
-    while not state.where("open = 0 and not done").isEmpty():
-        free = state.where("open = 0 and not done").select(F.col("node").alias("src"), "depth")
-        released = e.join(free, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("depth") + 1).alias("d"))
-        before, state = state, cut(state.join(released, "node", "left").select(
-            "node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("depth", F.coalesce("d", "depth")).alias("depth"), (F.col("done") | (F.col("open") == 0)).alias("done")))
-        drop(before)
-    return state.select("node", "depth", "done")
+    entering = cut(e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open")))
+    rounds = Rounds(e.sparkSession, "depth")
+    none = F.lit(0).cast("bigint")
+    now = rounds.add(known.join(entering, "node", "left_anti").select("node", none.alias("hit"), none.alias("open"), F.lit(0).alias("last")))
+    while not now.where("hit = open").isEmpty():
+        hits = e.join(now.where("hit = open").select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("hit"), F.lit(rounds.n).alias("last"))
+        touched = hits.unionAll(now.where("hit < open").select("node", "hit", "last")).groupBy("node").agg(F.sum("hit").alias("hit"), F.max("last").alias("last"))
+        now = rounds.add(touched.join(entering, "node").select("node", "hit", "open", "last"))
+    done = rounds.read().where("hit = open").select("node", "depth", F.lit(True).alias("done"))
+    held = known.join(done, "node", "left_anti").join(now, "node", "left").select("node", F.coalesce("last", F.lit(0)).alias("depth"), F.lit(False).alias("done"))
+    return done.unionAll(held)
 
 
 def layer_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,24 +42,99 @@ def layer_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _released(nodes, edges).select("node", F.when(F.col("done"), F.col("depth")).otherwise(F.greatest(F.lit(1), "depth")).alias("depth"))
 
 
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges between these nodes."""
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that lie on a cycle or between two."""
+    for turn in (False, True):
+        given = _turned(edges) if turn else edges
+        edges = cut(_inside(edges, _released(backbone(edges), given).where("not done")))
+        if edges.isEmpty():
+            break
+    return edges
+
+
+def _cycles(core: DataFrame) -> DataFrame:
+    """(node, root) of some strongly connected components of core, one at least. Every node takes the largest colour among those that lead to
+    it, colours being hashes of nodes; what leads back to the node a colour is from, within the colour, is a component."""
+    own = backbone(core).select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root")).alias("colour"))
+    colours = changed = cut(own)
+    while not changed.isEmpty():
+        offered = core.join(changed, core["src"] == changed["node"]).groupBy("dst").agg(F.max("colour").alias("offer"))
+        step = cut(colours.join(offered, colours["node"] == offered["dst"], "left").select("node", F.greatest("colour", F.coalesce("offer", "colour")).alias("colour"), F.coalesce(F.col("offer") > F.col("colour"), F.lit(False)).alias("new")))
+        drop(colours)
+        colours, changed = step.select("node", "colour"), step.where("new").select("node", "colour")
+    ends = lambda end: colours.select(F.col("node").alias(end), F.col("colour.root").alias("root"))
+    alike = cut(core.join(ends("src"), "src").join(ends("dst"), ["dst", "root"]).select("src", "dst", "root"))
+    rounds = Rounds(core.sparkSession, "round")
+    near = rounds.add(colours.where("node = colour.root").select("node", F.col("colour.root").alias("root")))
+    while not near.isEmpty():
+        before = alike.join(near.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "root").distinct()
+        near = rounds.add(before.join(rounds.read().select("node"), "node", "left_anti"))
+    return rounds.read().select("node", "root")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges (src, dst): the strongly connected component, named by its least node.
+
+    Forward-backward colouring: what no cycle holds is peeled off from both sides; in the rest each round of colours settles
+    the component of every node that is the largest of all that lead to it, and the rest is peeled again.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    every, found, core = backbone(edges), None, _core(e)
+    while not core.isEmpty():
+        some = cut(_cycles(core))
+        found = some if found is None else found.unionAll(some)
+        ends = lambda end: some.select(F.col("node").alias(end))  # noqa: B023, E731
+        core = _core(cut(core.join(ends("src"), "src", "left_anti").join(ends("dst"), "dst", "left_anti").select("src", "dst")))
+    if found is None:
+        return every.select("node", F.col("node").alias("component"))
+    names = found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+    return every.join(names, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _condensed(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """edges with component names for ends, those within a component too."""
+    ends = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.join(ends("src"), "src").join(ends("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *rest)
+
+
+def _heights(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((node, height), components): heights of nodes where there is no cycle, else of components."""
+    found = _released(backbone(edges), _turned(edges))
+    if found.where("not done").isEmpty():
+        return found.select("node", (F.col("depth") + 1).alias("height")), None
+    parts = cut(components(edges))
+    between = _condensed(edges.select("src", "dst"), parts).where("src <> dst").distinct()
+    above = _released(parts.select(F.col("component").alias("node")), _turned(between))
+    return above.select("node", (F.col("depth") + 1).alias("height")), parts
+
+
 def heights(edges: DataFrame) -> DataFrame:
-    """(node, height): nodes on the longest path that starts there. Cyclic input raises."""
-    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = _released(backbone(edges), turned)
-    if not found.where("not done").isEmpty():
-        raise ValueError("the edges have a cycle: no longest path")
-    return found.select("node", (F.col("depth") + 1).alias("height"))
+    """(node, height): nodes on the longest path that starts there. A cycle counts as one node, and its nodes have one height."""
+    h, parts = _heights(edges)
+    return h if parts is None else parts.join(h.withColumnRenamed("node", "component"), "component").select("node", "height")
 
 
 def main_chain(edges: DataFrame) -> DataFrame:
     """(position, node) of a longest path. Of starts and successors of equal height the one whose edge comes first (by
-    ord) stays. edges: src, dst, ord. Cyclic input raises. The chain doubles at each step: its nodes so far and the jump
-    over as many successors give the next ones."""
-    h = cut(heights(edges))
+    ord) stays. edges: src, dst, ord. A cycle is one step of the path, named by its least node. The chain doubles at each step: its nodes so far
+    and the jump over as many successors give the next ones."""
+    h, parts = _heights(edges)
+    h, every = cut(h), edges if parts is None else _condensed(edges, parts)
+    e = every.where("src <> dst")
     first = F.min_by("dst", F.struct(-F.col("height"), "ord"))
-    jump = cut(edges.join(h.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(first.alias("next")))
-    order = edges.groupBy(F.col("src").alias("node")).agg(F.min("ord").alias("ord"))
-    start = h.join(edges.select(F.col("dst").alias("node")), "node", "left_anti").join(order, "node").orderBy(F.col("height").desc(), "ord").limit(1)
+    jump = cut(e.join(h.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(first.alias("next")))
+    order = every.groupBy(F.col("src").alias("node")).agg(F.min("ord").alias("ord"))
+    start = h.join(e.select(F.col("dst").alias("node")), "node", "left_anti").join(order, "node").orderBy(F.col("height").desc(), "ord").limit(1)
     chain, size = cut(start.select(F.lit(0).alias("position"), "node")), 1
     while True:
         more = cut(chain.join(jump, chain["node"] == jump["src"]).select((F.col("position") + size).alias("position"), F.col("next").alias("node")))
@@ -61,28 +142,55 @@ def main_chain(edges: DataFrame) -> DataFrame:
             return chain
         chain, size = chain.unionAll(more), 2 * size
         onward = jump.select(F.col("src").alias("next"), F.col("next").alias("far"))
-        jump = cut(jump.join(onward, "next").select("src", F.col("far").alias("next")))
+        before, jump = jump, cut(jump.join(onward, "next").select("src", F.col("far").alias("next")))
+        drop(before)
+
+
+#: Starts that a row of reachable() carries, as bits.
+WORD = 64
+
+
+def _reached(edges: DataFrame, starts: DataFrame, ways: list[str]) -> DataFrame:
+    """(way, start, node, distance). A row is a node and the set of the starts that have come to it, WORD of them in the bits of a
+    number, so that rounds move nodes and not pairs; a round keeps only bits that are new, and its number is their distance."""
+    from .dedup import sequence_ids
+
+    named = cut(sequence_ids(starts.select(F.col("node").alias("start")).distinct(), "", 1, ["start"], 0).select("start", F.floor(F.col("seq") / WORD).alias("word"), (F.col("seq") % WORD).cast("int").alias("bit")))
+    both = {"forward": ("src", "dst"), "backward": ("dst", "src")}
+    e = None
+    for way in ways:
+        part = edges.select(F.lit(way).alias("way"), F.col(both[way][0]).alias("node"), F.col(both[way][1]).alias("to")).distinct()
+        e = part if e is None else e.unionAll(part)
+    e = cut(e)
+    frontier = named.select(F.explode(F.array(*[F.lit(w) for w in ways])).alias("way"), F.col("start").alias("node"), "word", F.expr("shiftleft(1L, bit)").alias("bits"))
+    rounds = Rounds(edges.sparkSession, "round")
+    key, zero = ["way", "node", "word"], F.lit(0).cast("bigint")
+    while True:
+        hits = e.join(frontier, ["way", "node"]).groupBy("way", F.col("to").alias("node"), "word").agg(F.bit_or("bits").alias("hit")).withColumn("seen", zero)
+        if rounds.n:
+            hits = hits.unionAll(rounds.read().select(*key, zero.alias("hit"), F.col("bits").alias("seen"))).groupBy(*key).agg(F.bit_or("hit").alias("hit"), F.bit_or("seen").alias("seen"))
+        frontier = rounds.add(hits.select(*key, F.col("hit").bitwiseAND(F.bitwise_not("seen")).alias("bits")).where("bits <> 0"))
+        if frontier.isEmpty():
+            break
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)
+    return rounds.read().select("way", "node", "word", F.explode(bits).alias("bit"), (F.col("round") + 1).alias("distance")).join(named, ["word", "bit"]).select("way", "start", "node", "distance")
 
 
 def reachable(edges: DataFrame, starts: DataFrame, backward: bool = False) -> DataFrame:
     """(start, node, distance) of all nodes that edges lead to; a start is among its own only on a cycle."""
-    e = edges.select(F.col("dst" if backward else "src").alias("at"), F.col("src" if backward else "dst").alias("to")).distinct()
-    e = cut(e)
-    first = starts.select(F.col("node").alias("start")).distinct()
-    frontier = cut(first.join(e, F.col("start") == F.col("at")).select("start", F.col("to").alias("node")).distinct().withColumn("distance", F.lit(1)))
-    seen = frontier  # a union of the rounds, each written once
-    while not frontier.isEmpty():
-        step = frontier.join(e, frontier["node"] == e["at"]).select("start", F.col("to").alias("node"), (F.col("distance") + 1).alias("distance")).distinct()
-        frontier = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
-        seen = seen.unionAll(frontier)
-    return seen
+    return _reached(edges, starts, ["backward" if backward else "forward"]).drop("way")
+
+
+def reachable_both(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(direction, start, node, distance) along the edges and against them, in the same rounds."""
+    return _reached(edges, starts, ["forward", "backward"]).withColumnRenamed("way", "direction")
 
 
 def focus(edges: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
     """A node with all before and behind it, and the edges between them."""
     spark = edges.sparkSession
     start = spark.range(1).select(F.lit(node).alias("node"))
-    ids = start.union(reachable(edges, start).select("node")).union(reachable(edges, start, True).select("node")).distinct().select(F.col("node").alias("id"))
+    ids = start.union(reachable_both(edges, start).select("node")).distinct().select(F.col("node").alias("id"))
     inside = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
     return ids, inside
 

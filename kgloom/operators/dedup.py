@@ -109,9 +109,9 @@ MAX_LIST = 2000
 
 
 def name_overlaps(a: DataFrame, b: DataFrame, most: int = MAX_LIST) -> DataFrame:
-    """(a, b, similarity) of distinct names a and b that share a character, or, where b is a short list, of all."""
+    """(a, b, similarity) of distinct names a and b that share a character; a short list b is broadcast."""
     if b.limit(most + 1).count() <= most:
-        return a.join(F.broadcast(b)).select("a", "b", jaccard_chars(F.col("a"), F.col("b")).alias("similarity"))
+        return a.join(F.broadcast(b)).select("a", "b", jaccard_chars(F.col("a"), F.col("b")).alias("similarity")).where("similarity > 0")
     chars = lambda df, name: df.select(name, F.array_distinct(F.filter(F.split(F.lower(name), ""), lambda c: c != "")).alias("cs")).select(name, F.size("cs").alias(f"n_{name}"), F.explode("cs").alias("c"))
     both = chars(a, "a").join(chars(b, "b"), "c").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n"))
     return both.select("a", "b", (F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n"))).alias("similarity"))

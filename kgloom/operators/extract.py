@@ -192,13 +192,6 @@ def payload(c: Column, ddl: str) -> Column:
     return F.coalesce(F.when(F.try_parse_json(inner).isNotNull(), F.from_json(inner, ddl)), F.when(F.try_parse_json(repair_json(inner)).isNotNull(), F.from_json(repair_json(inner), ddl)))
 
 
-def fallback_lines(rows: DataFrame) -> DataFrame:
-    """Lines of 2 to 40 characters that name a subject: what is left when a model's answer has no structure."""
-    words = ["变量", "数据类型", "常量", "运算符", "表达式", "分支", "循环", "函数", "数组", "指针", "结构体", "文件", "预处理", "编译", "调试", "递归", "字符串", "内存", "算法", "流程图"]
-    s = rows.select("doc_id", "i", py_strip(F.col("line")).alias("line"))
-    return s.where(F.length("line").between(2, 40) & F.regexp_like("line", F.lit("|".join(words))))
-
-
 def first_of(models: list[str], open_: Callable[[str], Callable[[str], str]], move_on: Callable[[Exception], bool]) -> Callable[[], Callable[[str], str]]:
     """A client for ask() that goes down a list of models: an error that move_on accepts (no such model, a timeout) takes the next one,
     other errors are raised, and the model that answered is asked first from then on."""

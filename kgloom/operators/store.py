@@ -31,8 +31,10 @@ def merge_edges(base: DataFrame, rows: DataFrame, key: list[str] | None = None)
 
 def link(rows: DataFrame, sources: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose ends both exist, the rest): sources and targets are (id). Unmatched rows vanish from a load; here they can be seen."""
-    ok = rows.join(sources.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(targets.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
-    return ok, rows.exceptAll(ok.select(*rows.columns))
+    known = lambda df, end: df.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")).distinct()
+    seen = rows.join(known(sources, "src"), "src", "left").join(known(targets, "dst"), "dst", "left")
+    both = F.coalesce(F.col("_src") & F.col("_dst"), F.lit(False))
+    return seen.where(both).select(*rows.columns), seen.where(~both).select(*rows.columns)
 
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -76,7 +76,7 @@ def _applied(spark, d, mode="append"):
     }
     items = e.select("seq", "id", kind.alias("type"), action.alias("action"), F.when(kind == "chapter", maps["chapter"]).when(kind == "relation", maps["relation"]).otherwise(maps["kp"]).alias("data"))
     x = v.graph(spark, d)
-    return apply.apply_reviewed(x.chapters.select("chapter_id", "title", "order"), x.kps.select("kp_id", *apply.KP_COLUMNS), x.edges.where("type <> 'PREREQUISITE'").withColumn("description", F.lit("base")), items, mode)
+    return apply.apply_reviewed(x.chapters.select("chapter_id", "title", "order"), x.kps.select("kp_id", *apply.KP_COLUMNS), x.edges.withColumn("description", F.lit("base")), items, mode)
 
 
 def _apply_nodes(spark, d):
@@ -160,7 +160,10 @@ def _lines(spark, d):
 
 def _fused_edges(spark, d):
     t = _triples(spark, d).where("object_id is not null").select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.lit("FUSED_RELATION").alias("type"), "predicate", "object_id", "source", "section_key", "evidence", "ord")
-    return store.merge_fused(t.where("ord % 2 = 0").drop("ord").where("false"), t).select("src", "dst", "predicate", "source", "section_key", "evidence")
+    key = ["src", "dst", "type", "predicate", "object_id", "source"]
+    base = t.groupBy(*key).agg(F.lit("before").alias("section_key"), F.lit(None).cast("string").alias("evidence"))  # of each edge, as a load before left it
+    fresh = t.where("ord % 3 <> 0")  # edges that no fresh row writes keep what they have
+    return store.merge_fused(base, fresh).select("src", "dst", "predicate", "source", "section_key", "evidence")
 
 
 def _entities(spark, d):
@@ -202,7 +205,7 @@ EVIDENCE = ["", "plain words", "printf(\"x\")", "for (i", "while("]
 
 
 QUERIES = {
-    "page_text": lambda spark, d: text.join_pages(read(spark, d, "pages").select((F.col("page_id") % 7).alias("job_id"), F.col("page_id").alias("page"), F.when(F.col("page_id") % 4 == 0, " \n").otherwise(F.substring_index("html", ">", 2)).alias("text"))),
+    "page_text": lambda spark, d: text.join_pages(read(spark, d, "pages").select(F.floor(F.col("page_id") / 40).alias("job_id"), F.col("page_id").alias("page"), F.when(F.col("page_id") % 4 == 0, " \n").otherwise(F.col("html")).alias("text"))),
     "duplicate_names": _duplicates,
     "canonical_names": _canonical,
     "review_search": _reviews,
@@ -236,7 +239,7 @@ QUERIES = {
 _STATES = "[" + ", ".join(f"'{x}'" for x in review.NEXT) + "]"
 _APPLY = v.SQL + """,
 e AS (SELECT event_id AS seq, user_id % 300 AS u, CASE WHEN event_id % 7 = 0 THEN 'chapter' WHEN event_id % 7 < 4 THEN 'relation' ELSE 'kp' END AS kind FROM events),
-i AS (SELECT *, CASE WHEN kind = 'relation' THEN 'add' WHEN seq % 5 = 0 THEN 'delete' WHEN seq % 3 = 0 THEN 'update' ELSE 'add' END AS action, 'KP' || lpad(u::VARCHAR, 6, '0') AS kp, 'CH' || lpad((u % 28)::VARCHAR, 2, '0') AS chapter FROM e),
+i AS (SELECT *, CASE WHEN kind = 'relation' THEN 'add' WHEN seq % 5 = 0 THEN 'delete' WHEN seq % 3 = 0 THEN 'update' ELSE 'add' END AS action, 'KP' || lpad(u::VARCHAR, greatest(6, length(u::VARCHAR))::INTEGER, '0') AS kp, 'CH' || lpad((u % 28)::VARCHAR, greatest(2, length((u % 28)::VARCHAR))::INTEGER, '0') AS chapter FROM e),
 ok AS (SELECT * FROM i WHERE NOT (kind = 'kp' AND action = 'add' AND seq % 6 = 1)),
 nodes AS (SELECT chapter_id AS key, -1 AS seq, 'add' AS action FROM chapters{base} UNION ALL SELECT kp_id, -1, 'add' FROM kps{base}
  UNION ALL SELECT chapter, seq, CASE WHEN action = 'update' THEN 'add' ELSE action END FROM ok WHERE kind = 'chapter' UNION ALL SELECT kp, seq, action FROM ok WHERE kind = 'kp'),
@@ -245,9 +248,9 @@ alive AS (SELECT n.key, min(n.seq) AS since FROM nodes n JOIN gone USING (key) W
 _APPLY_EDGES = """,
 others AS (SELECT example_id AS key, -1 AS since FROM examples),
 every AS (SELECT * FROM alive UNION ALL SELECT * FROM others),
-adds AS (SELECT -1 AS seq, src, dst, type, 'base' AS description, 0 AS n FROM edges WHERE type <> 'PREREQUISITE'
+adds AS (SELECT -1 AS seq, src, dst, type, 'base' AS description, 0 AS n FROM edges
  UNION ALL SELECT seq, chapter, kp, 'CONTAINS', NULL, -1 FROM ok WHERE kind = 'kp' AND action = 'add'
- UNION ALL SELECT seq, kp, 'KP' || lpad((seq % 290)::VARCHAR, 6, '0'), CASE WHEN seq % 2 = 0 THEN 'EXTENDS' ELSE 'RELATED' END, 'v' || seq, 1 FROM ok WHERE kind = 'relation'),
+ UNION ALL SELECT seq, kp, 'KP' || lpad((seq % 290)::VARCHAR, greatest(6, length((seq % 290)::VARCHAR))::INTEGER, '0'), CASE WHEN seq % 2 = 0 THEN 'EXTENDS' ELSE 'RELATED' END, 'v' || seq, 1 FROM ok WHERE kind = 'relation'),
 live AS (SELECT a.* FROM adds a JOIN every s ON s.key = a.src JOIN every t ON t.key = a.dst WHERE a.seq >= s.since AND a.seq >= t.since)
 SELECT src, dst, type, arg_max(coalesce(description, ''), n * 1000000000 + seq) AS d, max(n) AS n FROM live GROUP BY src, dst, type"""
 
@@ -261,7 +264,7 @@ _IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in wo
 _ANY = lambda c, words: "(" + " OR ".join(f"contains({c}, '" + w.replace("'", "''") + "')" for w in words) + ")"
 _CATEGORY = "CASE " + " ".join(f"WHEN t = '{k}' THEN '{x}'" for k, x in tables.CATEGORIES.items()) + " " + " ".join(f"WHEN {_ANY('lower(t)', words)} THEN '{x}'" for words, x in tables.CATEGORY_RULES) + " ELSE 'other' END"
 SQL = {
-    "page_text": """SELECT job_id, string_agg(text, chr(10) ORDER BY page) AS text FROM (SELECT page_id % 7 AS job_id, page_id AS page, CASE WHEN page_id % 4 = 0 THEN ' ' || chr(10) ELSE array_to_string(list_slice(string_split(html, '>'), 1, 2), '>') END AS text FROM pages)
+    "page_text": """SELECT job_id, string_agg(text, chr(10) ORDER BY page) AS text FROM (SELECT page_id // 40 AS job_id, page_id AS page, CASE WHEN page_id % 4 = 0 THEN ' ' || chr(10) ELSE html END AS text FROM pages)
 WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY job_id""",
     "duplicate_names": """WITH names AS (SELECT n_name || ' ' || (c_custkey % 3) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_name FROM customer),
 k AS (SELECT n_nationkey AS ordinal, replace(lower(n_name), ' ', '') AS b FROM nation), n AS (SELECT name, replace(lower(name), ' ', '') AS a FROM names)
@@ -274,8 +277,8 @@ SELECT * FROM e WHERE status = 'approved' AND (contains(id, '99') OR contains(na
     "fallback_names": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS i FROM documents WHERE text IS NOT NULL),
 a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM l WHERE length(line) BETWEEN 2 AND 400 AND line LIKE '%e%'), b AS (SELECT doc_id, line, min(i) AS i FROM a WHERE r <= 30 GROUP BY doc_id, line)
 SELECT doc_id, seq::INTEGER AS seq, line AS name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq FROM b) WHERE seq <= 24""",
-    "merge_fused": f"""WITH {TRIPLES} SELECT src, dst, predicate, source, section_key, evidence FROM (SELECT subject_id AS src, object_id AS dst, predicate, source, section_key, evidence,
- row_number() OVER (PARTITION BY subject_id, object_id, predicate, source ORDER BY ord DESC) AS r FROM t WHERE object_id IS NOT NULL) WHERE r = 1""",
+    "merge_fused": f"""WITH {TRIPLES} SELECT src, dst, predicate, source, CASE WHEN n > 0 THEN x.s ELSE 'before' END AS section_key, CASE WHEN n > 0 THEN x.e END AS evidence FROM (SELECT subject_id AS src, object_id AS dst, predicate, source,
+ count(*) FILTER (ord % 3 <> 0) AS n, arg_max(struct_pack(s := section_key, e := evidence), ord) FILTER (ord % 3 <> 0) AS x FROM t WHERE object_id IS NOT NULL GROUP BY subject_id, object_id, predicate, source)""",
     "upsert_other": """WITH r AS (SELECT 'E' || (s_suppkey % 40) AS id, arg_max(s_name, s_suppkey) AS name FROM supplier WHERE s_suppkey % 3 = 2 GROUP BY 1)
 SELECT coalesce('E' || n_nationkey, id) AS entity_id, coalesce(name, n_name) AS name, CASE WHEN id IS NULL THEN 'old' END AS note FROM nation FULL JOIN r ON id = 'E' || n_nationkey""",
     "load_relations": "WITH " + v.SQL + """ SELECT CASE WHEN src IN (SELECT kp_id FROM kps) AND dst IN (SELECT kp_id FROM kps WHERE source_page > 10) THEN 'linked' ELSE 'lost' END AS kind, src, dst, type FROM edges WHERE type IN ('CONTAINS', 'RELATED')""",
@@ -292,9 +295,9 @@ c AS (SELECT doc_id, nk, 0 AS part, CASE WHEN nk % 3 = 0 THEN coalesce(name, 'ro
 o AS (SELECT doc_id, title, names, row_number() OVER (PARTITION BY doc_id ORDER BY nk, part) AS seq FROM c),
 x AS (SELECT doc_id, seq, title, unnest(names) AS name, unnest(range(len(names))) AS i FROM o),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, i) AS r, lead(seq) OVER (PARTITION BY doc_id ORDER BY seq, i) AS after FROM x)
-SELECT doc_id, 'chapter' AS kind, 'CH' || lpad(seq::VARCHAR, 2, '0') AS a, title AS b, seq::VARCHAR AS c FROM o
-UNION ALL SELECT doc_id, 'kp', 'KP' || lpad(r::VARCHAR, 4, '0'), name, 'CH' || lpad(seq::VARCHAR, 2, '0') FROM k
-UNION ALL SELECT doc_id, 'relation', 'KP' || lpad(r::VARCHAR, 4, '0'), 'KP' || lpad((r + 1)::VARCHAR, 4, '0'), '同章节知识点关联: ' || title FROM k WHERE after = seq
+SELECT doc_id, 'chapter' AS kind, 'CH' || lpad(seq::VARCHAR, greatest(2, length(seq::VARCHAR))::INTEGER, '0') AS a, title AS b, seq::VARCHAR AS c FROM o
+UNION ALL SELECT doc_id, 'kp', 'KP' || lpad(r::VARCHAR, greatest(4, length(r::VARCHAR))::INTEGER, '0'), name, 'CH' || lpad(seq::VARCHAR, greatest(2, length(seq::VARCHAR))::INTEGER, '0') FROM k
+UNION ALL SELECT doc_id, 'relation', 'KP' || lpad(r::VARCHAR, greatest(4, length(r::VARCHAR))::INTEGER, '0'), 'KP' || lpad((r + 1)::VARCHAR, 4, '0'), '同章节知识点关联: ' || title FROM k WHERE after = seq
 UNION ALL SELECT n_regionkey, 'kp', 'K1', 'own', 'C1' FROM (SELECT DISTINCT n_regionkey FROM nation) WHERE n_regionkey >= 3 UNION ALL SELECT n_regionkey, 'relation', 'K1', 'K2', 'own' FROM (SELECT DISTINCT n_regionkey FROM nation) WHERE n_regionkey >= 3
 UNION ALL SELECT 3, 'chapter', NULL, CASE WHEN nk % 3 <> 0 THEN NULL END, NULL FROM (SELECT n_nationkey AS nk FROM nation WHERE n_regionkey = 3)""",
     "rule_fallback": f"""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '第 ' || (doc_id % 9 + 1) || ' 章 开头' || chr(10) || '变量 ' || (doc_id % 7) || chr(10) || '第二章 后面' || chr(10) || ' 数组与指针 ' || chr(10) || '变量 ' || (doc_id % 7) || chr(10) || '函数' || chr(10)
@@ -303,9 +306,9 @@ l AS (SELECT doc_id, {_LINES} AS l FROM d),
 s AS (SELECT doc_id, list_slice(list_transform(list_filter(l, lambda x: regexp_matches(x, '{imports.CHAPTER_LINE}')), lambda x: substr(x, 1, 40)), 1, 6) AS t, list_slice(list_filter(l, lambda x: length(x) BETWEEN 2 AND 40 AND regexp_matches(x, '{"|".join(imports.SUBJECT_WORDS)}')), 1, 30) AS n FROM l),
 u AS (SELECT doc_id, CASE WHEN len(t) > 0 THEN t ELSE ['{imports.DEFAULT_CHAPTERS[0]}'] END AS t, list_slice(list_filter(list_transform(range(len(n)), lambda i: CASE WHEN list_position(n, n[i + 1]) = i + 1 THEN n[i + 1] END), lambda x: x IS NOT NULL), 1, 24) AS n FROM s),
 w AS (SELECT doc_id, t, CASE WHEN len(n) > 0 THEN n ELSE [{", ".join(f"'{x}'" for x in imports.DEFAULT_SUBJECTS)}] END AS n FROM u)
-SELECT doc_id, 'chapter' AS kind, 'CH' || lpad(i::VARCHAR, 2, '0') AS a, t[i] AS b, i::VARCHAR AS c FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM w)
-UNION ALL SELECT doc_id, 'kp', 'KP' || lpad(i::VARCHAR, 4, '0'), n[i], 'CH' || lpad(((i - 1) % len(t) + 1)::VARCHAR, 2, '0') FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM w)
-UNION ALL SELECT doc_id, 'relation', 'KP' || lpad(i::VARCHAR, 4, '0'), 'KP' || lpad((i + 1)::VARCHAR, 4, '0'), '基于文本规则抽取的相邻知识点关系' FROM (SELECT *, unnest(range(1, len(n))) AS i FROM w)""",
+SELECT doc_id, 'chapter' AS kind, 'CH' || lpad(i::VARCHAR, greatest(2, length(i::VARCHAR))::INTEGER, '0') AS a, t[i] AS b, i::VARCHAR AS c FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM w)
+UNION ALL SELECT doc_id, 'kp', 'KP' || lpad(i::VARCHAR, greatest(4, length(i::VARCHAR))::INTEGER, '0'), n[i], 'CH' || lpad(((i - 1) % len(t) + 1)::VARCHAR, 2, '0') FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM w)
+UNION ALL SELECT doc_id, 'relation', 'KP' || lpad(i::VARCHAR, greatest(4, length(i::VARCHAR))::INTEGER, '0'), 'KP' || lpad((i + 1)::VARCHAR, 4, '0'), '基于文本规则抽取的相邻知识点关系' FROM (SELECT *, unnest(range(1, len(n))) AS i FROM w)""",
     "import_filter": "SELECT event_id FROM events WHERE event_id % 4 IN (0, 3) AND event_id % 3 <> 2",
     "pending_sections": "SELECT doc_id AS _section_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "run_summary": """SELECT count(*) AS sections, coalesce(sum(n), 0)::BIGINT AS total_new, coalesce(sum(dup), 0)::BIGINT AS total_dup, count(*) FILTER (n IS NULL OR length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 80) AS total_empty
@@ -323,8 +326,8 @@ UNION ALL SELECT 'failed', 'REV' || seq, 'missing source', NULL FROM i WHERE kin
     "kp_edits": """SELECT event_id AS ord, ['add', 'update', 'delete'][event_id % 3 + 1] AS action, ['手动新增', '手动编辑', '手动删除'][event_id % 3 + 1] AS source,
  'kp_id=KP' || lpad(user_id::VARCHAR, greatest(6, length(user_id::VARCHAR))::INTEGER, '0') || CASE WHEN event_id % 3 = 2 THEN '' ELSE ';name=' || event_type || CASE WHEN event_id % 4 = 0 THEN ';section=s' WHEN event_id % 3 = 0 THEN ';section' ELSE '' END END AS data FROM events""",
     "confirm_import": """WITH q AS (SELECT 0 AS part, p_partkey AS k, 'kp' AS type, CASE WHEN p_partkey % 3 = 0 THEN 'update' ELSE 'add' END AS action FROM part UNION ALL SELECT 1, s_suppkey, 'relation', 'add' FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY part, k) AS n FROM q)
-SELECT 'REV' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS id, type, action, 'pending' AS status, 'KP' || lpad(k::VARCHAR, 6, '0') AS node FROM r""",
-    "merge_labelled": "WITH " + v.SQL + """, r AS (SELECT 'KP' || lpad(o_custkey::VARCHAR, 6, '0') AS kp_id, 'o' || max(o_orderkey) AS name FROM orders GROUP BY 1)
+SELECT 'REV' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INTEGER, '0') AS id, type, action, 'pending' AS status, 'KP' || lpad(k::VARCHAR, greatest(6, length(k::VARCHAR))::INTEGER, '0') AS node FROM r""",
+    "merge_labelled": "WITH " + v.SQL + """, r AS (SELECT 'KP' || lpad(o_custkey::VARCHAR, greatest(6, length(o_custkey::VARCHAR))::INTEGER, '0') AS kp_id, 'o' || max(o_orderkey) AS name FROM orders GROUP BY 1)
 SELECT 'node' AS kind, coalesce(k.kp_id, r.kp_id) AS kp_id, CASE WHEN r.kp_id IS NOT NULL AND (k.kp_id IS NULL OR k.source_page % 2 = 0) THEN r.name ELSE k.name END AS name, CASE WHEN k.source_page % 2 = 0 OR k.kp_id IS NULL THEN 'KnowledgePoint,Entity' ELSE 'KnowledgePoint' END AS labels FROM kps k FULL JOIN r ON k.kp_id = r.kp_id
 UNION ALL SELECT 'violation', kp_id, NULL, NULL FROM r JOIN kps k USING (kp_id) WHERE k.source_page % 2 <> 0""",
     "chapter_panels": "WITH " + v.SQL + f""", p AS (SELECT 'prerequisites' AS panel, src AS far FROM dag WHERE dst = '{NODE}' UNION ALL SELECT 'successors', dst FROM dag WHERE src = '{NODE}' UNION ALL

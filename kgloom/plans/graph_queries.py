@@ -69,8 +69,14 @@ def _exists(spark, d):
 def _reach(x):
     """All that the query set, the nodes whose number is divisible by 50, reach over all edges: pairs of all nodes grow with their square."""
     starts = _kp_nodes(x).where("cast(substring(node, 3) as bigint) % 50 = 0")
-    fwd = a.reachable(_dag(x), starts).select(F.lit("forward").alias("direction"), "start", "node", "distance")
-    return fwd.unionAll(a.reachable(_dag(x), starts, True).select(F.lit("backward"), "start", "node", "distance"))
+    return a.reachable_both(_dag(x), starts)
+
+
+def _next(spark, d):
+    """From each part to the part that follows it most often in an order, the least on ties: a graph full of cycles."""
+    n = v.follows(spark, d).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), "b")).alias("b"))
+    e = n.select(v._key("KP", F.col("a"), 6).alias("src"), v._key("KP", F.col("b"), 6).alias("dst"))
+    return e.withColumn("ord", F.concat_ws("|", "src", "dst"))
 
 
 def _focus(x):
@@ -122,6 +128,9 @@ QUERIES = {
     "main_chain": _graph(_main),
     "reachability": _graph(_reach),
     "focus_subgraph": _graph(_focus),
+    "cycle_components": lambda spark, d: a.components(_next(spark, d)),
+    "cycle_heights": lambda spark, d: a.heights(_next(spark, d)),
+    "cycle_chain": lambda spark, d: a.main_chain(_next(spark, d)),
     "roles": _graph(lambda x: a.roles(_typed(x), x.edges, _main(x))),
     "style_roles": _graph(lambda x: a.style_roles(_typed(x), x.edges, _main(x))),
     "nearest_main": _graph(lambda x: a.nearest_main(_typed(x), x.edges, _main(x))),
@@ -161,8 +170,23 @@ def _touch(name: str, kind: str) -> str:
 _ROLE = """SELECT n.id, CASE {example}WHEN m.position = 0 THEN 'entry' WHEN m.position IS NOT NULL THEN 'main' WHEN n.id IN (SELECT id FROM b1) THEN 'branch'
  WHEN n.id IN (SELECT id FROM b2) THEN 'extension' WHEN n.id IN (SELECT id FROM b3) THEN 'related' ELSE 'isolated' END AS role FROM nodes n LEFT JOIN main m ON n.id = m.node"""
 _WALK = """{0} AS (SELECT s.node AS start, e.{2} AS node, 1 AS distance FROM starts s JOIN dag e ON e.{1} = s.node UNION SELECT w.start, e.{2}, w.distance + 1 FROM {0} w JOIN dag e ON e.{1} = w.node)"""
+# Who leads to whom in a graph of one edge a node, its components, and the components on the path from each.
+_CYCLES = """
+nxt AS (SELECT 'KP' || lpad(a::VARCHAR, greatest(6, length(a::VARCHAR))::INTEGER, '0') AS src, 'KP' || lpad(b::VARCHAR, greatest(6, length(b::VARCHAR))::INTEGER, '0') AS dst
+  FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, b) AS r FROM follows WHERE b IS NOT NULL AND a <> b GROUP BY a, b) WHERE r = 1),
+lead AS (SELECT src, dst FROM nxt UNION SELECT l.src, n.dst FROM lead l JOIN nxt n ON n.src = l.dst),
+names AS (SELECT src AS node FROM nxt UNION SELECT dst FROM nxt),
+comp AS (SELECT n.node, least(n.node, coalesce(min(back.src), n.node)) AS component FROM names n LEFT JOIN (SELECT a.src AS node, a.dst AS src FROM lead a JOIN lead b ON a.src = b.dst AND a.dst = b.src) back ON back.node = n.node GROUP BY n.node),
+tall AS (SELECT c.node, c.component, 1 + count(DISTINCT CASE WHEN f.component <> c.component THEN f.component END) AS height FROM comp c LEFT JOIN lead l ON l.src = c.node LEFT JOIN comp f ON f.node = l.dst GROUP BY c.node, c.component)
+"""
 
 SQL = {
+    "cycle_components": WITH + f", {_CYCLES} SELECT node, component FROM comp",
+    "cycle_heights": WITH + f", {_CYCLES} SELECT node, height::INTEGER AS height FROM tall",
+    "cycle_chain": WITH + f""", {_CYCLES}, entered AS (SELECT d.component FROM nxt JOIN comp s ON s.node = src JOIN comp d ON d.node = dst WHERE s.component <> d.component),
+head AS (SELECT t.component AS node FROM tall t JOIN nxt ON nxt.src = t.node WHERE t.component NOT IN (SELECT component FROM entered) ORDER BY t.height DESC, src || '|' || dst LIMIT 1)
+SELECT (h.height - t.height)::INTEGER AS position, t.component AS node FROM head JOIN tall h ON h.node = head.node JOIN (SELECT DISTINCT component, height FROM tall) t ON t.component = head.node
+  OR t.component IN (SELECT f.component FROM comp c JOIN lead l ON l.src = c.node JOIN comp f ON f.node = l.dst WHERE c.component = head.node)""",
     "health": "SELECT 1 AS ok",
     "graph_stats": WITH + """SELECT CASE WHEN c = 0 OR r = 0 THEN 0 ELSE k END AS total_kps, CASE WHEN c = 0 OR r = 0 THEN 0 ELSE c END AS total_chapters, CASE WHEN c = 0 OR r = 0 THEN 0 ELSE r END AS total_relations, 0::BIGINT AS total_segments
 FROM (SELECT count(*) AS c FROM chapters), (SELECT count(*) AS k FROM kps), (SELECT count(*) AS r FROM edges)""",
@@ -201,15 +225,15 @@ SELECT n.id, coalesce(x.p, 0)::INTEGER AS main_index FROM nodes n LEFT JOIN (SEL
 s AS (SELECT *, (row_number() OVER (PARTITION BY role, anchor ORDER BY id) - 1)::INTEGER AS slot, count(*) OVER (PARTITION BY role, anchor) AS n FROM placed)
 SELECT role, anchor, id, slot, n, slot * 80.0::DOUBLE - (n - 1) * 80.0::DOUBLE / 2 AS "offset" FROM s""",
     "in_degree": WITH + f", {_NODES} SELECT n.id, coalesce(d.n, 0) AS in_degree FROM nodes n LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst) d ON n.id = d.id",
-    "merge_nodes": WITH + """, rows AS (SELECT 'KP' || lpad((l_partkey * 2)::VARCHAR, 6, '0') AS kp_id, 'part ' || l_suppkey AS name, nullif(l_returnflag, 'N') AS section,
+    "merge_nodes": WITH + """, rows AS (SELECT 'KP' || lpad((l_partkey * 2)::VARCHAR, greatest(6, length((l_partkey * 2)::VARCHAR))::INTEGER, '0') AS kp_id, 'part ' || l_suppkey AS name, nullif(l_returnflag, 'N') AS section,
   row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_returnflag DESC) AS r FROM lineitem),
 n AS (SELECT * FROM rows WHERE r = 1)
 SELECT coalesce(k.kp_id, n.kp_id) AS kp_id, CASE WHEN n.kp_id IS NOT NULL THEN n.name ELSE k.name END AS name, CASE WHEN n.kp_id IS NOT NULL THEN n.section ELSE k.section END AS section, k.chapter_id FROM kps k FULL JOIN n ON k.kp_id = n.kp_id""",
-    "merge_edges": WITH + """, n AS (SELECT 'KP' || lpad(l_partkey::VARCHAR, 6, '0') AS src, 'KP' || lpad(l_suppkey::VARCHAR, 6, '0') AS dst, l_returnflag || ' ' || l_linestatus AS description,
+    "merge_edges": WITH + """, n AS (SELECT 'KP' || lpad(l_partkey::VARCHAR, greatest(6, length(l_partkey::VARCHAR))::INTEGER, '0') AS src, 'KP' || lpad(l_suppkey::VARCHAR, greatest(6, length(l_suppkey::VARCHAR))::INTEGER, '0') AS dst, l_returnflag || ' ' || l_linestatus AS description,
   row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_returnflag DESC, l_linestatus DESC) AS r FROM lineitem), m AS (SELECT * FROM n WHERE r = 1)
 SELECT src, dst, 'RELATED' AS type, description FROM m UNION ALL SELECT p.src, p.dst, 'RELATED', 'base' FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.src = p.src AND m.dst = p.dst)""",
     "detach_delete": WITH + """, gone AS (SELECT kp_id FROM kps WHERE section = 'Brand#11')
 SELECT 'node' AS kind, kp_id AS a, '' AS b, '' AS c FROM kps WHERE kp_id NOT IN (SELECT kp_id FROM gone) UNION ALL SELECT 'edge', src, dst, type FROM edges WHERE src NOT IN (SELECT kp_id FROM gone) AND dst NOT IN (SELECT kp_id FROM gone)""",
-    "exists_action": WITH + """, r AS (SELECT DISTINCT 'KP' || lpad(o_custkey::VARCHAR, 6, '0') AS kp_id FROM orders) SELECT kp_id, CASE WHEN kp_id IN (SELECT kp_id FROM kps) THEN 'update' ELSE 'add' END AS action FROM r""",
+    "exists_action": WITH + """, r AS (SELECT DISTINCT 'KP' || lpad(o_custkey::VARCHAR, greatest(6, length(o_custkey::VARCHAR))::INTEGER, '0') AS kp_id FROM orders) SELECT kp_id, CASE WHEN kp_id IN (SELECT kp_id FROM kps) THEN 'update' ELSE 'add' END AS action FROM r""",
     "unique_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
 }

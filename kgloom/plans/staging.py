@@ -4,21 +4,43 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table written to the folder that the cluster shares and read again: one pass, and the next plan knows its size, so that
-    small rounds join by broadcast. A folder of this machine serves only where none is set in a local run."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A new folder's name under the one that the cluster shares; a folder of this machine serves only where none is set in a local run."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/kgloom-{os.getuid()}"
-    path = f"{base.rstrip('/')}/kgloom-cut/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/kgloom-cut/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table written to the folder that the cluster shares and read again: one pass, and the next plan knows its size, so that
+    small rounds join by broadcast."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The tables of a loop's rounds in one folder: each is written once, all are read together with the number of their round."""
+
+    def __init__(self, spark: SparkSession, number: str) -> None:
+        self.spark, self.path, self.number, self.n, self.schema = spark, new_path(spark), number, 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self.number}={self.n}"
+        df.write.parquet(path)
+        self.n, self.schema = self.n + 1, self.schema or df.schema
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        """The rounds so far, from 0."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField(self.number, IntegerType())])).parquet(self.path)
 
 
 def drop(df: DataFrame) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -78,8 +77,9 @@ def page_window(pages: DataFrame, start: int | None = None, end: int | None = No
     """A chapter's pages, clamped to those that exist, else the first `most`. pages: job_id, page, text."""
     if start is None or end is None:
         return pages.where(F.col("page") <= most)
-    last = F.max("page").over(W.partitionBy("job_id"))
-    return pages.withColumn("_last", last).where(F.col("page").between(F.greatest(F.lit(1), F.least(F.lit(start), "_last")), F.least(F.lit(max(start, end)), "_last"))).drop("_last")
+    last = pages.groupBy("job_id").agg(F.max("page").alias("_last"))
+    inside = F.col("page").between(F.greatest(F.lit(1), F.least(F.lit(start), "_last")), F.least(F.lit(max(start, end)), "_last"))
+    return pages.join(last, "job_id").where(inside).select(*pages.columns)
 
 
 def upload_kind(name):
@@ -90,10 +90,10 @@ def upload_kind(name):
 
 
 def uploaded_relations(df: DataFrame) -> DataFrame:
-    """Relation rows whose columns go by either of two names."""
+    """Relation rows whose columns go by either of two names. Rows without an end stay, for review."""
     pick = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names if n in df.columns], F.lit(None).cast("string"))
     return df.select(pick("source", "source_kp_id").alias("source"), pick("target", "target_kp_id").alias("target"), F.coalesce(pick("relation_type", "type"), F.lit("RELATED")).alias("relation_type"),
-                     F.coalesce(pick("description"), F.lit("")).alias("description")).where("source is not null and target is not null")
+                     F.coalesce(pick("description"), F.lit("")).alias("description"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,9 +1,13 @@
 """Queries over whole tables on inputs that bounds, cuts and filters would show up on."""
 
+import functools
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from kgloom.operators import analytics
-from kgloom.plans import catalog
+from kgloom.plans import catalog, graphview
 from test_queries import D, TABLES, rows
 
 
@@ -43,13 +47,73 @@ def test_positions(spark, far):
 
 
 def test_cycles(spark):
-    """A cycle holds its nodes back from layering, and there is no longest path."""
+    """A cycle holds its nodes back from layering, and is one step of the longest path."""
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "b", 3), ("c", "d", 4), ("a", "e", 5)], "src string, dst string, ord int")
     depth = {r["node"]: r["depth"] for r in analytics.layer_depth(analytics.backbone(edges), edges).collect()}
     assert depth == {"a": 0, "e": 1, "b": 1, "c": 1, "d": 1}
-    for f in (analytics.heights, analytics.main_chain):
-        with pytest.raises(ValueError, match="cycle"):
-            f(edges)
+    assert {r["node"]: r["height"] for r in analytics.heights(edges).collect()} == {"a": 3, "b": 2, "c": 2, "d": 1, "e": 1}
+    assert {r["position"]: r["node"] for r in analytics.main_chain(edges).collect()} == {0: "a", 1: "b", 2: "d"}
+    ring = spark.createDataFrame([("x", "y", 1), ("y", "x", 2), ("z", "z", 0)], "src string, dst string, ord int")
+    assert {r["node"]: r["component"] for r in analytics.components(ring).collect()} == {"x": "x", "y": "x", "z": "z"}
+    assert [tuple(r) for r in analytics.main_chain(ring).collect()] == [(0, "z")]
+
+
+def brute_components(edges):
+    nodes = {x for e in edges for x in e}
+    to = {n: {b for a, b in edges if a == n} for n in nodes}
+    lead = {}
+    for n in nodes:
+        seen, left = set(), list(to[n])
+        while left:
+            x = left.pop()
+            if x not in seen:
+                seen.add(x)
+                left += to[x]
+        lead[n] = seen
+    comp = {n: min([n, *(m for m in lead[n] if n in lead[m])]) for n in nodes}
+
+    @functools.cache
+    def height(c):
+        return 1 + max([height(comp[b]) for a, b in edges if comp[a] == c and comp[b] != c], default=0)
+
+    return lead, comp, {n: height(comp[n]) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_random_cycles(spark, seed):
+    rng = random.Random(seed)
+    n = 24
+    edges = sorted({(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range([14, 24, 30, 45][seed])})
+    lead, comp, height = brute_components(edges)
+    e = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(edges)], "src string, dst string, ord int")
+    assert {r["node"]: r["component"] for r in analytics.components(e).collect()} == comp
+    assert {r["node"]: r["height"] for r in analytics.heights(e).collect()} == height
+    chain = [r["node"] for r in analytics.main_chain(e).orderBy("position").collect()]
+    assert len(chain) == max(height.values()) and [height[c] for c in chain] == list(range(len(chain), 0, -1))
+    assert all(comp[c] == c for c in chain) and all(any(comp[x] == a and comp[y] == b for x, y in edges) for a, b in zip(chain, chain[1:], strict=False))
+    starts = spark.createDataFrame([(x,) for x in comp], "node string")
+    assert {(r["start"], r["node"]) for r in analytics.reachable(e, starts).collect()} == {(a, b) for a in lead for b in lead[a]}
+
+
+def test_many_starts(spark):
+    """More starts than a word has bits, the last bit included; distances both ways."""
+    k = 130
+    edges = [(i, (2 * i + j) % k) for i in range(k) for j in (0, 1)]
+    want = {}
+    for way, pairs in (("forward", edges), ("backward", [(b, a) for a, b in edges])):
+        for start in range(k):
+            level, seen, d = {start}, set(), 0
+            while level := {b for a, b in pairs if a in level} - seen:
+                d, seen = d + 1, seen | level
+                want |= {(way, f"{start:03}", f"{n:03}"): d for n in level}
+    e = spark.createDataFrame([(f"{a:03}", f"{b:03}") for a, b in edges], "src string, dst string")
+    assert {(r["direction"], r["start"], r["node"]): r["distance"] for r in analytics.reachable_both(e, analytics.backbone(e)).collect()} == want
+
+
+def test_wide_keys(spark):
+    """Numbers of more digits than a key's width stay apart."""
+    got = [r[0] for r in spark.createDataFrame([(1234567,), (1234560,), (42,)], "n bigint").select(graphview._key("KP", F.col("n"), 6)).collect()]
+    assert got == ["KP1234567", "KP1234560", "KP000042"]
 
 
 def test_long_chain(spark):

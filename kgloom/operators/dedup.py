@@ -56,52 +56,51 @@ def upsert_entities(parts: list[DataFrame], key: str = "entity_id") -> DataFrame
     return every.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_rank", "ord")).alias("_last")).select(key, "_last.*")
 
 
-def greedy(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """rows (ord, section_key, name) less those whose normalized name was kept before, or that are nearer than the threshold to
-    a name kept in their section before.
-
-    Rows only bear on each other through equal names and near names in a section, so the fold runs by itself in each
-    component of those links: a group is a family of like names, never the whole table.
-    """
-    import pandas as pd
-
-    from ..plans.staging import cut
-
-    n = cut(rows.withColumn("_n", norm_name(F.col("name"))))
+def near_names(names: DataFrame, threshold: float) -> DataFrame:
+    """(section_key, x, y) with x < y: distinct names of a section, nearer than the threshold by their characters. Names that near share one of their
+    rarest characters, of which only so many can differ; sizes too far apart never meet."""
     chars = F.array_distinct(F.filter(F.split(F.lower("x"), ""), lambda c: c != ""))
-    names = n.select("section_key", F.col("_n").alias("x")).distinct().withColumn("chars", chars)
-    letters = names.select("section_key", "x", F.explode("chars").alias("c"))
+    letters = names.select("section_key", "x", F.explode(chars).alias("c"))
     common = letters.groupBy("section_key", "c").agg(F.count(F.lit(1)).alias("df"))
-    # names nearer than the threshold share one of their rarest characters: only so many can differ
     rare = letters.join(common, ["section_key", "c"]).groupBy("section_key", "x").agg(F.sort_array(F.collect_list(F.struct("df", "c"))).alias("o"), F.count(F.lit(1)).alias("k"))
     rare = rare.select("section_key", "x", "k", F.explode(F.slice("o", F.lit(1), (F.col("k") - F.ceil(F.col("k") * threshold) + 1).cast("int"))).alias("o")).select("section_key", "x", "k", "o.c")
     other = rare.select("section_key", "c", F.col("x").alias("y"), F.col("k").alias("m"))
-    pairs = rare.join(other, ["section_key", "c"]).where((F.col("x") < F.col("y")) & (F.least("k", "m") > threshold * F.greatest("k", "m"))).select("x", "y").distinct()
-    near = pairs.where(jaccard_chars(F.col("x"), F.col("y")) > threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    label = cut(n.select(F.col("_n").alias("node")).distinct().withColumn("root", F.col("node")))
-    both = cut(near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    while True:
-        least = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("least"))
-        new = cut(label.join(least, label["node"] == least["a"], "left").select("node", F.least("root", F.coalesce("least", "root")).alias("new"), "root"))
-        if new.where("new <> root").isEmpty():
-            break
-        label = new.select("node", F.col("new").alias("root"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        names: set[str] = set()
-        kept: dict[str, list[set[str]]] = {}
-        keep = []
-        for key, name in zip(group["section_key"], group["_n"], strict=True):
-            chars = set(name.lower())
-            near_one = any(chars and c and len(chars & c) / len(chars | c) > threshold for c in kept.get(key, []))
-            keep.append(name not in names and not near_one)
-            if keep[-1]:
-                names.add(name)
-                kept.setdefault(key, []).append(chars)
-        return group[keep].drop(columns=["_n", "root"])
-
-    return n.join(label, n["_n"] == label["node"]).drop("node").groupBy("root").applyInPandas(fold, rows.schema)
+    pairs = rare.join(other, ["section_key", "c"]).where((F.col("x") < F.col("y")) & (F.least("k", "m") > threshold * F.greatest("k", "m"))).select("section_key", "x", "y").distinct()
+    return pairs.where(jaccard_chars(F.col("x"), F.col("y")) > threshold)
+
+
+def greedy(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """rows (ord, section_key, name) less those whose normalized name was kept before, or that are nearer than the threshold to
+    a name kept in their section before. ord is unique.
+
+    What is kept is the first maximal independent set of a graph, in the rows' order: in rounds, every open row that no open row before
+    it bears on is kept, and what a kept row bears on goes. Of the rows of a section with one name only the first can be
+    kept. Rows with one name in several sections bear on each other through the least open place of the name, near names of a
+    section through their pairs; so no task sees a family of names whole, and rounds grow with the longest chain of decisions only.
+    """
+    from ..plans.staging import cut, drop
+
+    section = F.struct(F.coalesce(F.col("section_key").cast("string"), F.lit("")).alias("key"), F.col("section_key").isNull().alias("none"))  # no section is one too
+    n = rows.select("ord", section.alias("section_key"), norm_name(F.col("name")).alias("x"))
+    left = first_places = cut(n.groupBy("section_key", "x").agg(F.min("ord").alias("at")))
+    places = lambda name, at: first_places.select("section_key", F.col("x").alias(name), F.col("at").alias(at))
+    near = near_names(left, threshold).join(places("x", "a"), ["section_key", "x"]).join(places("y", "b"), ["section_key", "y"])
+    before = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))  # a bears on b
+    kept = None
+    while not left.isEmpty():
+        first = left.groupBy("x").agg(F.min("at").alias("at"))
+        now = cut(left.join(first, ["x", "at"], "left_semi").join(before.select(F.col("b").alias("at")), "at", "left_anti").select("x", "at"))
+        kept = now.select("at") if kept is None else kept.unionAll(now.select("at"))
+        gone = before.join(now.select(F.col("at").alias("a")), "a", "left_semi").select(F.col("b").alias("at"))
+        rest = left.join(now.select("x"), "x", "left_anti").join(gone, "at", "left_anti").select("section_key", "x", "at")
+        old, left = left, cut(rest)
+        drop(old)
+        ends = lambda end: left.select(F.col("at").alias(end))  # noqa: B023, E731
+        old, before = before, cut(before.join(ends("a"), "a", "left_semi").join(ends("b"), "b", "left_semi").select("a", "b"))
+        drop(old)
+    if kept is None:
+        return rows.limit(0)
+    return rows.join(kept.select(F.col("at").alias("ord")), "ord", "left_semi").select(*rows.columns)
 
 
 #: Names of a list that every other name is compared with; a longer list meets them through its characters.

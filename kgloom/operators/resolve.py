@@ -1,52 +1,40 @@
-"""Terms in texts and names to nodes. A dictionary is (key, value, ordinal), key normalized. Its size is checked before it is
-broadcast: beyond MAX_TERMS texts are matched by an automaton instead of a nested loop."""
+"""Terms in texts and names to nodes. A dictionary is (key, value, ordinal), key normalized. Texts meet terms through an index of
+character grams, whatever the size of either: no list is collected or broadcast whole, and no loop is nested."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms that a nested-loop join takes, and terms that one automaton holds; more go in several passes.
-MAX_TERMS, AUTOMATON_TERMS = 2000, 500_000
-
-
-def term_hits(texts: DataFrame, terms: DataFrame, least: int = 2, passes: int | None = None) -> DataFrame:
-    """(doc_id, term) for every term of `least` characters or more inside a text, once each. texts: doc_id, text; terms: term."""
-    t = terms.select("term").where(F.length("term") >= least).distinct()
-    n = t.count()
-    if n <= MAX_TERMS and passes is None:
-        return texts.join(F.broadcast(t), F.contains("text", F.col("term"))).select("doc_id", "term")
-    passes = passes or -(-n // AUTOMATON_TERMS)
-    out = None
-    for k in range(passes):
-        words = [r["term"] for r in t.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k).collect()]  # AUTOMATON_TERMS or so
-
-        def find(batches: Iterator, words=words) -> Iterator:
-            import ahocorasick
-            import pyarrow as pa
-
-            auto = ahocorasick.Automaton()
-            for w in words:
-                auto.add_word(w, w)
-            auto.make_automaton()
-            for batch in batches:
-                at, found = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    hits = sorted({w for _, w in auto.iter(text)}) if text and words else []
-                    at += [i] * len(hits)
-                    found += hits
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=["doc_id", "term"])
-
-        part = texts.select("doc_id", "text").mapInArrow(find, f"doc_id {dict(texts.dtypes)['doc_id']}, term string")
-        out = part if out is None else out.unionAll(part)
-    return out
+#: Characters of the longest grams; a shorter term is a gram of its own.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct substrings of these numbers of characters."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
+
+
+def term_hits(texts: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
+    """(doc_id, term) for every term of `least` characters or more inside a text, once each. texts: doc_id, unique, and text; terms: term.
+
+    A term waits at the rarest of its grams, that is the one in the fewest texts; texts that have it are candidates, and are searched for
+    the term. A gram that no text has rules its term out.
+    """
+    t = terms.select("term").where(F.length("term") >= least).distinct().withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
+    sizes = sorted(r["size"] for r in t.select("size").distinct().collect())  # GRAM numbers at most
+    if not sizes:
+        return texts.select("doc_id", F.lit("").alias("term")).limit(0)
+    parts = t.select("term", F.explode(F.filter(_grams(F.col("term"), sizes), lambda g: F.length(g) == F.col("size"))).alias("gram"))
+    index = texts.select("doc_id", F.explode(_grams(F.col("text"), sizes)).alias("gram"))
+    often = index.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(often, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
+    some = index.join(rarest.where("absent = 0").select("term", "gram"), "gram").select("doc_id", "term")
+    return some.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("term"))).select("doc_id", "term")
 
 
 def _either_way(names: DataFrame, keys: DataFrame) -> DataFrame:
-    """(k, key) where one contains the other; neither is empty. names: k; keys: key. Both directions go through term_hits, so large sides
-    meet by an automaton and never by a nested loop."""
+    """(k, key) where one contains the other; neither is empty. names: k; keys: key. Both directions go through the index of term_hits."""
     k, d = names.select("k").where("k <> ''").distinct(), keys.select("key").where("key <> ''").distinct()
     longer = term_hits(d.select(F.col("key").alias("doc_id"), F.col("key").alias("text")), k.select(F.col("k").alias("term")), 1).select(F.col("term").alias("k"), F.col("doc_id").alias("key"))
     shorter = term_hits(k.select(F.col("k").alias("doc_id"), F.col("k").alias("text")), d.select(F.col("key").alias("term")), 1).select(F.col("doc_id").alias("k"), F.col("term").alias("key"))
@@ -70,9 +58,9 @@ def duplicate_of(names: DataFrame, seeds: DataFrame, norm) -> DataFrame:
     empty normalized name is contained in every other."""
     n = names.select("name").distinct().withColumn("k", norm(F.col("name")))
     s = seeds.select(norm(F.col("seed")).alias("key"), "value", "ordinal")
-    first = lambda rows: rows.agg(F.min_by(F.struct("value", "ordinal"), "ordinal").alias("_any"))  # noqa: E731 - one row
+    first = lambda rows: rows.agg(F.min_by(F.struct("value", "ordinal"), "ordinal")).scalar()
     near = _either_way(n, s).join(s, "key").groupBy("k").agg(F.min_by(F.struct("value", "ordinal"), "ordinal").alias("_near"))
-    found = n.join(near, "k", "left").crossJoin(F.broadcast(first(s).withColumnRenamed("_any", "_first"))).crossJoin(F.broadcast(first(s.where("key = ''")).withColumnRenamed("_any", "_empty")))
+    found = n.join(near, "k", "left").select("name", "k", "_near", first(s).alias("_first"), first(s.where("key = ''")).alias("_empty"))
     options = F.array_compact(F.array(F.when(F.col("k") == "", F.col("_first")), F.col("_near"), F.col("_empty")))
     best = F.array_min(F.transform(options, lambda x: F.struct(x["ordinal"].alias("ordinal"), x["value"].alias("value"))))
     return names.join(found.select("name", best["value"].alias("duplicate_of")), "name", "left")

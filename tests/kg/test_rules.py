@@ -1,5 +1,7 @@
 """Hand-made cases of rules that the tables don't reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,8 +147,17 @@ def test_resolve(spark):
     texts = spark.createDataFrame([(1, "a+b is aba"), (2, None), (3, "")], "doc_id bigint, text string")
     terms = spark.createDataFrame([("a+b",), ("ab",), ("b",), ("is",)], "term string")
     want = {(1, "a+b"), (1, "ab"), (1, "is")}
-    for passes in (None, 1, 2):
-        assert {tuple(r) for r in resolve.term_hits(texts, terms, passes=passes).collect()} == want
+    hits = resolve.term_hits(texts, terms)
+    assert sorted(tuple(r) for r in hits.collect()) == sorted(want)
+    for plan in (hits, resolve.duplicate_of(terms.select(F.col("term").alias("name")), terms.select(F.col("term").alias("seed"), F.lit("v").alias("value"), F.lit(1).alias("ordinal")), s.norm_seed)):
+        assert "NestedLoop" not in plan._jdf.queryExecution().toString()
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab😀é\n") for _ in range(n))
+    many = [(i, word(rng.randrange(40))) for i in range(60)]
+    words = sorted({word(rng.randrange(1, 7)) for _ in range(80)})
+    got = resolve.term_hits(spark.createDataFrame(many, "doc_id bigint, text string"), spark.createDataFrame([(w,) for w in words], "term string"), 1)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, w) for i, x in many for w in words if w in x)
+    assert resolve.term_hits(texts, terms.limit(0)).collect() == []
     d = spark.createDataFrame([("array", "K1", 0), ("ray", "K2", 1)], "key string, value string, ordinal bigint")
     got = {r["name"]: r["resolved"] for r in resolve.resolve(spark.createDataFrame([("Ray",), ("arr",), ("xrayx",), ("ar",), ("",)], "name string"), d, s.norm_rules, 3).collect()}
     assert got == {"Ray": "K2", "arr": "K1", "xrayx": "K2", "ar": None, "": None}

@@ -1,35 +1,66 @@
 """Terms in texts and names to nodes. A dictionary is (key, value, ordinal), key normalized. Texts meet terms through an index of
-character grams, whatever the size of either: no list is collected or broadcast whole, and no loop is nested."""
+character grams, whatever the size of either, and no loop is nested."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-#: Characters of the longest grams; a shorter term is a gram of its own.
-GRAM = 3
+from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def _grams(text: Column, sizes: list[int]) -> Column:
-    """The distinct substrings of these numbers of characters."""
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
-
+from ..plans.staging import cut
 
-def term_hits(texts: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
+#: Characters of the longest grams; a shorter term is a gram of its own.
+GRAM = 6
+#: Grams of terms that every task may hold, 8 bytes each, to leave out others at once.
+HELD = 500_000
+
+
+def _grams(rows: DataFrame, sizes: list[int], held: list[int] | None = None) -> DataFrame:
+    """(key, gram): the distinct grams of these numbers of characters of rows (key, text), as hashes of 64 bits; those in held, if it is given. With no
+    sizes, those of the size that a term of the text's length has."""
+
+    def find(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        some = None if held is None else np.sort(np.array(held, np.int64))
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                hashes = np.zeros(len(codes) + 1, np.uint64)
+                for n in range(1, min(len(codes), max(sizes, default=GRAM)) + 1):
+                    hashes = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1:] + np.uint64(n)
+                    if n in (sizes or [min(GRAM, len(codes))]):
+                        grams = hashes.view(np.int64)
+                        if some is not None:
+                            grams = grams[some[np.minimum(np.searchsorted(some, grams), len(some) - 1)] == grams]
+                        found.append(np.unique(grams))
+                        at.append(np.full(len(found[-1]), i, np.int64))
+            joined = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(joined(at)), joined(found)], names=["key", "gram"])
+
+    return rows.mapInArrow(find, f"key {dict(rows.dtypes)['key']}, gram bigint")
+
+
+def term_hits(texts: DataFrame, terms: DataFrame, least: int = 2, most: int = HELD) -> DataFrame:
     """(doc_id, term) for every term of `least` characters or more inside a text, once each. texts: doc_id, unique, and text; terms: term.
 
     A term waits at the rarest of its grams, that is the one in the fewest texts; texts that have it are candidates, and are searched for
     the term. A gram that no text has rules its term out.
     """
-    t = terms.select("term").where(F.length("term") >= least).distinct().withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
-    sizes = sorted(r["size"] for r in t.select("size").distinct().collect())  # GRAM numbers at most
+    t = terms.select("term").where(F.length("term") >= least).distinct()
+    sizes = sorted(r["n"] for r in t.select(F.least(F.length("term"), F.lit(GRAM)).alias("n")).distinct().collect() if r["n"])  # GRAM numbers at most
     if not sizes:
         return texts.select("doc_id", F.lit("").alias("term")).limit(0)
-    parts = t.select("term", F.explode(F.filter(_grams(F.col("term"), sizes), lambda g: F.length(g) == F.col("size"))).alias("gram"))
-    index = texts.select("doc_id", F.explode(_grams(F.col("text"), sizes)).alias("gram"))
-    often = index.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = parts.join(often, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
-    some = index.join(rarest.where("absent = 0").select("term", "gram"), "gram").select("doc_id", "term")
+    parts = cut(_grams(t.select(F.col("term").alias("key"), F.col("term").alias("text")), []))
+    distinct = parts.select("gram").distinct()
+    held = [r["gram"] for r in distinct.collect()] if distinct.count() <= most else None
+    index = _grams(texts.select(F.col("doc_id").alias("key"), "text"), sizes, held)
+    often = index.join(distinct, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(often, "gram", "left").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
+    some = index.join(cut(rarest.where("absent = 0").select(F.col("key").alias("term"), "gram")), "gram").select(F.col("key").alias("doc_id"), "term")
     return some.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("term"))).select("doc_id", "term")
 
 

@@ -155,8 +155,9 @@ def test_resolve(spark):
     word = lambda n: "".join(rng.choice("ab😀é\n") for _ in range(n))
     many = [(i, word(rng.randrange(40))) for i in range(60)]
     words = sorted({word(rng.randrange(1, 7)) for _ in range(80)})
-    got = resolve.term_hits(spark.createDataFrame(many, "doc_id bigint, text string"), spark.createDataFrame([(w,) for w in words], "term string"), 1)
-    assert sorted(tuple(r) for r in got.collect()) == sorted((i, w) for i, x in many for w in words if w in x)
+    for most in (resolve.HELD, 3):
+        got = resolve.term_hits(spark.createDataFrame(many, "doc_id bigint, text string"), spark.createDataFrame([(w,) for w in words], "term string"), 1, most)
+        assert sorted(tuple(r) for r in got.collect()) == sorted((i, w) for i, x in many for w in words if w in x)
     assert resolve.term_hits(texts, terms.limit(0)).collect() == []
     d = spark.createDataFrame([("array", "K1", 0), ("ray", "K2", 1)], "key string, value string, ordinal bigint")
     got = {r["name"]: r["resolved"] for r in resolve.resolve(spark.createDataFrame([("Ray",), ("arr",), ("xrayx",), ("ar",), ("",)], "name string"), d, s.norm_rules, 3).collect()}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import change_queries, graph_queries, record_queries, text_queries
+from . import change_queries, graph_queries, record_queries, store_queries, text_queries
 
-_PARTS = [graph_queries, text_queries, record_queries, change_queries]
+_PARTS = [graph_queries, text_queries, record_queries, change_queries, store_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

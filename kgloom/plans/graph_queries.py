@@ -36,12 +36,14 @@ def _typed(x):
     return x.nodes().select("id", "type")
 
 
-def _merge_nodes(spark, d):
-    x = v.graph(spark, d)
-    rows = v.read(spark, d, "lineitem").select(
+def merge_rows(spark, d):
+    return v.read(spark, d, "lineitem").select(
         v._key("KP", F.col("l_partkey") * 2, 6).alias("kp_id"), F.concat(F.lit("part "), F.col("l_suppkey").cast("string")).alias("name"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("section"),
         F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_partkey").alias("ord"))
-    return store.merge_nodes(x.kps.select("kp_id", "name", "section", "chapter_id"), rows, "kp_id", ["name", "section"])
+
+
+def _merge_nodes(spark, d):
+    return store.merge_nodes(v.graph(spark, d).kps.select("kp_id", "name", "section", "chapter_id"), merge_rows(spark, d), "kp_id", ["name", "section"])
 
 
 def _merge_edges(spark, d):

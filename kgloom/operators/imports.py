@@ -1,5 +1,5 @@
-"""Model answers and texts into graph rows. All state is within one document, so everything is array expressions in its row:
-no shuffle, however many documents there are."""
+"""Model answers and texts into graph rows, and these into a graph. What is within one document is array expressions in its row, without a
+shuffle; imports join by name and id."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import py_strip
+from ..plans.staging import cut
 
 #: What a text without chapters or subjects gets, and the words that make a line a subject.
 DEFAULT_CHAPTERS = ["C语言基础知识"]
@@ -111,3 +112,50 @@ def run_summary(sections: DataFrame, found: DataFrame, least: int = 80) -> DataF
     per = found.groupBy("_section_key").agg(F.count_if(F.coalesce("duplicate_of", F.lit("")) == "").alias("new"), F.count_if(F.coalesce("duplicate_of", F.lit("")) != "").alias("dup"))
     s = sections.select("_section_key", (F.length(py_strip(F.coalesce("text", F.lit("")))) < least).alias("short")).join(per, "_section_key", "left")
     return s.agg(F.count(F.lit(1)).alias("sections"), F.coalesce(F.sum("new"), F.lit(0)).alias("total_new"), F.coalesce(F.sum("dup"), F.lit(0)).alias("total_dup"), F.count_if(F.col("short") | F.col("new").isNull()).alias("total_empty"))
+
+
+#: What an imported row writes, the first number behind which ids begin, and where nodes are from.
+IMPORTED, ID_START, IMPORT_SOURCE = ["name", "chapter_id", "section", "aliases", "category", "summary", "description", "code_example"], 9000, "ai_extracted"
+
+
+def import_extracted(nodes: DataFrame, edges: DataFrame, chapters: DataFrame, found: DataFrame, start: int = ID_START) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, report) after rows that importable() let pass are merged: numbered in their order (ord), contained in their chapter where that is there,
+    tied to the nodes that their lists name. A name is looked up among the new rows first, the last of equal names, then among
+    the nodes, that of the largest id; names that neither has are counted. An edge that is there stays as it is.
+
+    nodes: kp_id, IMPORTED, source, reviewed; edges: src, dst, type, ...; chapters: chapter_id; found: ord, IMPORTED, prerequisites, related.
+    """
+    from ..functions.scalars import norm_fuse
+    from .dedup import sequence_ids
+    from .resolve import prioritized
+    from .store import merge_nodes
+
+    filled = [F.coalesce(F.col(c), F.lit("other" if c == "category" else "")).alias(c) for c in IMPORTED]
+    new = cut(sequence_ids(found, "KP", 4, ["ord"], start + 1).select("ord", F.col("seq_id").alias("kp_id"), *filled, "prerequisites", "related"))
+    key = norm_fuse(F.col("name"))
+    fresh = new.where(key != "").groupBy(key.alias("key")).agg(F.max_by("kp_id", "ord").alias("value"))
+    old = nodes.where(F.col("name") != "").groupBy(key.alias("key")).agg(F.max("kp_id").alias("value"))
+    named = lambda kind, column: new.select(F.col("kp_id").alias("of"), F.lit(kind).alias("type"), F.explode(column).alias("name"))
+    links = cut(prioritized(named("PREREQUISITE", "prerequisites").unionAll(named("RELATED", "related")), fresh, old, norm_fuse))
+    ahead = F.col("type") == "PREREQUISITE"
+    tied = links.where("kp_id is not null").select(F.when(ahead, F.col("kp_id")).otherwise(F.col("of")).alias("src"), F.when(ahead, F.col("of")).otherwise(F.col("kp_id")).alias("dst"), "type")
+    contained = new.join(chapters.select("chapter_id").distinct(), "chapter_id").select(F.col("chapter_id").alias("src"), F.col("kp_id").alias("dst"), F.lit("CONTAINS").alias("type"))
+    added = contained.unionAll(tied).distinct().join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")
+    rows = new.select("kp_id", *IMPORTED, F.lit(IMPORT_SOURCE).alias("source"), F.lit(False).alias("reviewed"), "ord")
+    count = lambda kind, hit: F.count_if((F.col("type") == kind) & (F.col("kp_id").isNotNull() == hit))
+    report = links.agg(count("PREREQUISITE", True).alias("prerequisites"), count("PREREQUISITE", False).alias("missed_prerequisites"), count("RELATED", True).alias("related"), count("RELATED", False).alias("missed_related"))
+    report = report.withColumn("imported", new.agg(F.count(F.lit(1))).scalar())
+    return merge_nodes(nodes, rows, "kp_id", [*IMPORTED, "source", "reviewed"]), edges.unionByName(added, allowMissingColumns=True), report
+
+
+def to_review(job: str, chapters: DataFrame, kps: DataFrame, relations: DataFrame, existing: DataFrame) -> DataFrame:
+    """Review items (ord, type, action, data, source) of what a job extracted, chapters first, then nodes, updates where their id is there, then relations.
+    Each part has ord and data, a map; an extraction without any row is an error."""
+    if chapters.isEmpty() and kps.isEmpty() and relations.isEmpty():
+        raise ValueError("nothing was extracted: no items for review")
+    known = existing.select(F.col("kp_id").alias("_id"), F.lit("update").alias("_there")).distinct()
+    k = kps.withColumn("_id", F.coalesce(F.element_at("data", "kp_id"), F.lit(""))).join(known, "_id", "left")
+    part = lambda i, kind, df, action: df.select(F.struct(F.lit(i).alias("part"), F.col("ord").alias("ord")).alias("ord"), F.lit(kind).alias("type"), action.alias("action"), "data")
+    add = F.lit("add")
+    out = part(0, "chapter", chapters, add).unionAll(part(1, "kp", k, F.coalesce("_there", add))).unionAll(part(2, "relation", relations, add))
+    return out.withColumn("source", F.lit(f"PDF抽取:{job}"))

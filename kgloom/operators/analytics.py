@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.staging import Rounds, cut, drop
+from .graph import CHINESE
 
 
 def backbone(edges: DataFrame) -> DataFrame:
@@ -256,20 +257,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(into, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("in_degree"))
 
 
-def layered_positions(depths: DataFrame, edges: DataFrame, gap_x: float = 160.0, gap_y: float = 120.0) -> DataFrame:
-    """Coordinates by layer: nodes of a layer stand in the order of the mean place of their parents in the layer above,
-    centred. The reference's relaxation and nudges after it are left out. depths: node, depth. One pass by layer, over tables."""
-    last = depths.agg(F.max("depth").alias("m")).first()["m"]
-    placed = None
-    for d in range((last if last is not None else -1) + 1):
-        here = depths.where(F.col("depth") == d).select("node")
-        if placed is None:
-            mean = here.select("node", F.lit(0.0).alias("mean"))
-        else:
-            up = edges.join(placed.select(F.col("node").alias("src"), "x"), "src").groupBy(F.col("dst").alias("node")).agg(F.avg("x").alias("mean"))
-            mean = here.join(up, "node", "left").select("node", F.coalesce("mean", F.lit(0.0)).alias("mean"))
-        w = W.orderBy("mean", "node")  # one layer of a drawing
-        row = mean.select("node", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
-        row = row.select("node", ((F.col("i") - 1) * gap_x - (F.col("n") - 1) * gap_x / 2).alias("x"), F.lit(d * gap_y).alias("y"))
-        placed = cut(row if placed is None else placed.unionAll(row))
-    return placed if placed is not None else depths.select("node", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)
+def layered_positions(depths: DataFrame, labels: DataFrame, gap_x: float = 160.0, gap_y: float = 120.0) -> DataFrame:
+    """(node, x, y): layers below each other, the nodes of a layer in the Chinese order of their labels, centred. (The reference orders by the mean of
+    the parents' layer centres first, but a centred layer's centre is 0; its relaxation and nudges after that are left out.) Nodes
+    are numbered over ranges, so that no task sorts a whole layer. depths: node, depth; labels: node, label."""
+    from .dedup import sequence_ids
+
+    named = depths.join(labels, "node", "left").select("node", "depth", F.collate(F.coalesce("label", F.lit("")), CHINESE).alias("label"))
+    numbered = cut(sequence_ids(named, "", 1, ["depth", "label", "node"]).select("node", "depth", "seq"))
+    layers = numbered.groupBy("depth").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    return numbered.join(layers, "depth").select("node", ((F.col("seq") - F.col("first")) * gap_x - (F.col("n") - 1) * gap_x / 2).alias("x"), (F.col("depth") * gap_y).alias("y"))

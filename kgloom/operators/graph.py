@@ -16,6 +16,10 @@ SEARCH_LIMIT, RELATED_LIMIT, NODE_LIMIT, EDGE_LIMIT, TOP_CHAPTERS = 50, 10, 800,
 KP_COLUMNS = ["kp_id", "name", "chapter_id", "section", "aliases", "source"]
 
 
+#: Spark's collation for labels.
+CHINESE = "zh"
+
+
 @dataclass
 class Graph:
     chapters: DataFrame
@@ -90,6 +94,11 @@ def explain_lookup(g: Graph, kp_id: str) -> DataFrame:
     return g.kps.where(F.col("kp_id") == kp_id).select("name", F.to_json(F.struct(*g.kps.columns)).alias("properties"))
 
 
+def by_label(rows: DataFrame, label: str = "label", key: str = "id") -> DataFrame:
+    """rows in the order of their labels as Chinese sorts them, by sound; equal labels by key."""
+    return rows.orderBy(F.collate(F.col(label), CHINESE), key)
+
+
 def out_neighbors(g: Graph, type_: str, kp_id: str | None = None) -> DataFrame:
     """The far ends of a node's (or every node's) edges of a type, one row an edge."""
     e = g.of_type(type_) if kp_id is None else g.of_type(type_).where(F.col("src") == kp_id)

@@ -47,7 +47,7 @@ def latest(spark: SparkSession, path: str, version: int | None = None) -> Manife
     found = sorted(s.getPath().toString() for s in (fs.globStatus(p) or []))
     if not found:
         return None
-    text = spark.read.option("wholetext", True).text(found[-1]).first()["value"]
+    text = spark.read.text(found[-1], wholetext=True).first()["value"]
     return Manifest(**json.loads(text))
 
 

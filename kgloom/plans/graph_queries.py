@@ -139,7 +139,7 @@ QUERIES = {
     "chain_edges": _graph(lambda x: a.chain_edges(_dag(x).withColumn("ord", F.concat_ws("|", "src", "dst")), _main(x))),
     "slots": _graph(_slots),
     "in_degree": _graph(lambda x: a.degrees(_typed(x), x.edges)),
-    "layered_positions": _graph(lambda x: a.layered_positions(a.layer_depth(_kp_nodes(x), _dag(x)), _dag(x)).select("node", F.round("x", 3).alias("x"), "y")),
+    "layered_positions": _graph(lambda x: a.layered_positions(a.layer_depth(_kp_nodes(x), _dag(x)), x.kps.select(F.col("kp_id").alias("node"), F.col("name").alias("label")))),
     "merge_nodes": _merge_nodes,
     "merge_edges": _merge_edges,
     "detach_delete": _graph(_detach),
@@ -212,6 +212,7 @@ SELECT 'node' AS kind, id AS a, '' AS b, type FROM inside UNION ALL SELECT 'edge
     "kp_card": WITH + """SELECT kp_id, name, 'book · 第 ' || source_page || ' 页' AS source_text, '位于 ' || section || '；别名：' || aliases || '；来源：book · 第 ' || source_page || ' 页' AS intro FROM kps""",
     "backbone": WITH + f", {_BACK} SELECT node FROM bb",
     "layer_depth": WITH + f", {_BACK}, {_DEPTH} SELECT node, depth FROM depth",
+    "layered_positions": WITH + f""", {_BACK}, {_DEPTH} SELECT node, (row_number() OVER (PARTITION BY depth ORDER BY coalesce(name, ''), node) - 1) * 160.0::DOUBLE - (count(*) OVER (PARTITION BY depth) - 1) * 160.0::DOUBLE / 2 AS x, depth * 120.0::DOUBLE AS y FROM depth LEFT JOIN kps ON kp_id = node""",
     "main_chain_height": WITH + f", {_HEIGHTS} SELECT node, height FROM heights",
     "main_chain": WITH + f", {_HEIGHTS} SELECT position, node FROM main",
     "reachability": WITH + f""", {_BACK}, starts AS (SELECT node FROM bb WHERE substr(node, 3)::BIGINT % 50 = 0), {_WALK.format('fwd', 'src', 'dst')}, {_WALK.format('bwd', 'dst', 'src')}

@@ -62,7 +62,7 @@ def sections(spark: SparkSession, path: str, chapter: str | None = None, fold_ca
 
 def texts(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, text) of whole files."""
-    return spark.read.option("wholetext", True).text(pattern).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def chapter_texts(spark: SparkSession, folder: str, chapters: dict[str, str]) -> DataFrame:

@@ -31,7 +31,7 @@ def far(tmp_path_factory):
 
 
 DAG = ["out_neighbors", "in_neighbors", "backbone", "layer_depth", "main_chain_height", "main_chain", "reachability", "focus_subgraph", "roles", "style_roles", "nearest_main",
-       "chain_edges", "graph_stats", "in_degree", "detach_delete"]
+       "chain_edges", "graph_stats", "in_degree", "detach_delete", "layered_positions"]
 
 
 @pytest.mark.parametrize("name", DAG)
@@ -40,12 +40,6 @@ def test_graph(spark, far, name):
     assert rows(catalog.queries()[name](spark, far).toPandas()) == want
 
 
-def test_positions(spark, far):
-    got = {r["node"]: r["y"] for r in catalog.queries()["layered_positions"](spark, far).collect()}
-    depth = {r["node"]: r["depth"] * 120.0 for r in catalog.queries()["layer_depth"](spark, far).collect()}
-    assert got == depth and max(got) > "KP000200"
-
-
 def test_cycles(spark):
     """A cycle holds its nodes back from layering, and is one step of the longest path."""
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "b", 3), ("c", "d", 4), ("a", "e", 5)], "src string, dst string, ord int")

@@ -174,14 +174,19 @@ def code_triples(files: DataFrame, parse: bool = True) -> DataFrame:
         F.substring("source", 1, 180).alias("evidence"), F.lit("code_ast").alias("source"), "file_path")
 
 
-def candidates(answers: DataFrame, vocabulary_check: Column | None = None, most: int = 2) -> DataFrame:
-    """Rows of model answers (_section_key, text, has_code): parsed, cleaned, and cut to the first `most` of a section."""
+def candidates(answers: DataFrame, vocabulary_check: Column | None = None, most: int = 2, hints: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows of model answers (_section_key, text): parsed, cleaned, and cut to the first `most` of a section. hints name the categories that a chapter's nodes
+    may have, beside `other`; a chapter without hints takes all, and answers then have chapter_id too."""
     from ..functions.scalars import any_match, category, norm_name, truthy
 
     ddl = "name string, aliases string, category string, summary string, description string, code_example string, prerequisites array<string>, related array<string>"
-    r = answers.select("_section_key", F.posexplode(payload_rows(F.col("text"), ddl)).alias("ord", "r")).select("_section_key", "ord", "r.*")
+    keys = ["_section_key", *(["chapter_id"] if hints else [])]
+    r = answers.select(*keys, F.posexplode(payload_rows(F.col("text"), ddl)).alias("ord", "r")).select(*keys, "ord", "r.*")
     r = r.withColumn("name", norm_name(F.col("name"))).withColumn("category", category(F.col("category"))).withColumn("aliases", F.array_join(alias_list(F.col("aliases")), ","))
     ok = truthy(F.col("name")) & ~any_match(F.col("name"), t.GENERIC_NAMES) & (F.length(py_strip(F.col("description"))) >= 30) & ((F.col("category") != "other") | truthy(F.col("code_example")))
+    if hints:
+        of_chapter = F.element_at(F.create_map(*[x for k, v in hints.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))]), F.col("chapter_id"))
+        ok = ok & (F.coalesce(F.size(of_chapter), F.lit(0)) <= 0) | ok & (F.col("category") == "other") | ok & F.coalesce(F.array_contains(of_chapter, F.col("category")), F.lit(False))
     r = r.where(ok if vocabulary_check is None else ok & vocabulary_check)
     return r.withColumn("r", F.row_number().over(W.partitionBy("_section_key").orderBy("ord"))).where(F.col("r") <= most).drop("r")
 

@@ -193,7 +193,8 @@ def _alias_lists(spark, d):
 
 
 def _name_checks(spark, d):
-    w = F.element_at(F.array(*[F.lit(x) for x in CHECKED]), (F.col("page_id") % len(CHECKED) + 1).cast("int"))
+    own = F.coalesce(F.get(F.split("html", r"[^\p{L}]+"), (F.col("page_id") % 37).cast("int")), F.lit(""))  # every other page gives a word of its own
+    w = F.when(F.col("page_id") % 2 == 0, own).otherwise(F.element_at(F.array(*[F.lit(x) for x in CHECKED]), (F.col("page_id") % len(CHECKED) + 1).cast("int")))
     e = F.element_at(F.array(*[F.lit(x) for x in EVIDENCE]), (F.col("page_id") % len(EVIDENCE) + 1).cast("int"))
     p = read(spark, d, "pages").select("page_id", w.alias("w"), e.alias("e"))
     return p.select("page_id", s.fuse_alias_ok(F.col("w"), F.col("e")).alias("fuse"), s.rule_alias_ok(F.col("w"), F.col("e")).alias("rule"), s.span_ok(F.col("w")).alias("span"),
@@ -285,7 +286,7 @@ SELECT coalesce('E' || n_nationkey, id) AS entity_id, coalesce(name, n_name) AS
     "load_relations": "WITH " + v.SQL + """ SELECT CASE WHEN src IN (SELECT kp_id FROM kps) AND dst IN (SELECT kp_id FROM kps WHERE source_page > 10) THEN 'linked' ELSE 'lost' END AS kind, src, dst, type FROM edges WHERE type IN ('CONTAINS', 'RELATED')""",
     "sse_data": "SELECT event_id AS i, event_type AS data FROM events WHERE event_id % 5 <> 1 AND event_id < 900",
     "alias_lists": "SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2) THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 2) END AS names FROM part",
-    "name_checks": f"""WITH p AS (SELECT page_id, [{", ".join(f"'{x}'" for x in CHECKED)}][page_id % {len(CHECKED)} + 1] AS w, [{", ".join(f"'{x}'" for x in EVIDENCE)}][page_id % {len(EVIDENCE)} + 1] AS e FROM pages), q AS (SELECT *, trim(w) AS t FROM p)
+    "name_checks": f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN coalesce(regexp_split_to_array(html, '[^\\p{{L}}]+')[page_id % 37 + 1], '') ELSE [{", ".join(f"'{x}'" for x in CHECKED)}][page_id % {len(CHECKED)} + 1] END AS w, [{", ".join(f"'{x}'" for x in EVIDENCE)}][page_id % {len(EVIDENCE)} + 1] AS e FROM pages), q AS (SELECT *, trim(w) AS t FROM p)
 SELECT page_id, length(t) BETWEEN 2 AND 30 AND lower(t) NOT IN {_IN(tables.FUSE_ALIAS_TOKENS)} AND NOT regexp_matches(t, '^[0-9_\\s[:punct:]]+$') AND NOT {_ANY('e', tables.FUSE_EVIDENCE)} AND NOT regexp_matches(t, '[(){{}};,]') AS fuse,
  length(t) BETWEEN 2 AND 20 AND lower(t) NOT IN {_IN(tables.RULE_ALIAS_BLOCK)} AND NOT regexp_matches(t, '^[0-9_\\s[:punct:]]+$') AND NOT regexp_matches(t, '[{{}};,]') AND NOT {_ANY('e', tables.RULE_EVIDENCE)} AND NOT (regexp_matches(t, '^[a-z_\\-]+$') AND length(t) <= 5) AS rule,
  length(t) BETWEEN 2 AND 20 AND NOT regexp_matches(t, '[(){{}}\\[\\];,:#%*/]') AND t NOT IN {_IN(tables.SPAN_NOISE)} AS span, {_CATEGORY} AS category,

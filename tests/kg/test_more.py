@@ -62,6 +62,9 @@ def test_answers(spark):
     answers = [("S1", f"text before [{one('指针')}, {one('')}, {one('数组', 'short')}, {one('字符串')}, {one('结构体')}] after"), ("S2", "no list")]
     got = extract.candidates(spark.createDataFrame(answers, "_section_key string, text string")).collect()
     assert [(r["_section_key"], r["name"], r["aliases"]) for r in sorted(got, key=lambda r: r["ord"])] == [("S1", "指针", "甲"), ("S1", "字符串", "甲")]
+    by_chapter = spark.createDataFrame([(f"S{c}", f"C{c}", f"[{one('指针')}]") for c in range(4)] + [("S5", None, f"[{one('指针')}]")], "_section_key string, chapter_id string, text string")
+    allowed = extract.candidates(by_chapter, hints={"C0": ["memory", "syntax"], "C1": ["syntax"], "C2": []})
+    assert sorted(r["_section_key"] for r in allowed.collect()) == ["S0", "S2", "S3", "S5"]
     p = spark.createDataFrame([('say {"a": "1", "b": ["x"]} end',), ('{"a": "1", "b": ["x",],}',), ("none",)], "t string")
     assert [r["p"] and (r["p"]["a"], r["p"]["b"]) for r in p.select(extract.payload(F.col("t"), "a string, b array<string>").alias("p")).collect()] == [("1", ["x"]), ("1", ["x"]), None]
 

@@ -57,7 +57,7 @@ def test_rows(spark, docs):
 def test_corpus(docs):
     plain = docs.select("doc_id", "text").collect()
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    assert sorted((r["doc_id"], r["n_lines"], r["n_removed"], r["lcp_depth"], r["kept_text"] or "") for r in kept(op2_lines.dedup(docs))) == sorted((*k[:4], k[4] or "") for k in brute2(plain, 1).elements())
+    assert sorted((r["doc_id"], r["n_lines"], r["n_removed"], r["lcp_lines"], r["kept_text"] or "") for r in kept(op2_lines.dedup(docs))) == sorted((*k[:4], k[4] or "") for k in brute2(plain, 1).elements())
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"]))) for r in kept(op4_suffixes.dedup(docs))) == sorted(brute4(plain, 200).elements())
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in kept(op5_jaccard.join(docs))) == sorted(brute5(plain).elements())
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], sha(r["kept_text"].encode())) for r in kept(op9_debruijn.dedup(docs))) == sorted(brute9(plain, 20).elements())

@@ -35,3 +35,17 @@ def test_rounds_of_layers_broadcast_nothing(spark, monkeypatch):
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d")], "src string, dst string")
     assert {r["node"]: r["depth"] for r in analytics.layer_depth(analytics.backbone(e), e).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
     assert len(plans) == 4 and not any("BroadcastHashJoin" in p for p in plans[1:])
+
+
+def test_fused_names_resolve_once(spark, monkeypatch):
+    from kgloom.operators import fuse
+
+    calls, resolve = [], fuse.resolve
+    monkeypatch.setattr(fuse, "resolve", lambda *a: calls.append(1) or resolve(*a))
+    text = spark.createDataFrame([(None, "loop", "MENTIONS_KP", None, "Array", "", "t", "S1", 1)], "subject_id string, subject_name string, predicate string, object_id string, object_name string, evidence string, source string, section_key string, ord bigint")
+    code = spark.createDataFrame([("c", "f", "array", "x", "", "s", "a.c", 1)], "subject_id string, subject_name string, mapped_kp string, object_name string, evidence string, source string, file_path string, ord bigint")
+    gold = spark.createDataFrame([("G1", "CH1", "1", "t", "q", ["loop"], [("related", " array ")], 1)], "sample_id string, chapter_id string, section string, text_fragment string, question string, knowledge_points array<string>, relation_hints array<struct<type: string, target: string>>, ord bigint")
+    words = spark.createDataFrame([("loops", "K1", 1), ("array", "K2", 2)], "key string, value string, ordinal int")
+    triples, _ = fuse.fuse(text, code, gold, words)
+    assert {(r["predicate"], r["object_id"]) for r in triples.collect()} == {("MENTIONS_KP", "K2"), ("IMPLEMENTS_KP", "K2"), ("GOLD_LABEL", "K1"), ("RELATED", "K2")}
+    assert len(calls) == 1

@@ -58,7 +58,8 @@ def term_hits(texts: DataFrame, terms: DataFrame, least: int = 2, most: int = HE
     distinct = parts.select("gram").distinct()
     held = [r["gram"] for r in distinct.collect()] if distinct.count() <= most else None
     index = _grams(texts.select(F.col("doc_id").alias("key"), "text"), sizes, held)
-    often = index.join(distinct, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    index = cut(index if held is not None else index.join(distinct, "gram", "left_semi"))  # read twice, texts go through Python once
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = parts.join(often, "gram", "left").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
     some = index.join(cut(rarest.where("absent = 0").select(F.col("key").alias("term"), "gram")), "gram").select(F.col("key").alias("doc_id"), "term")
     return some.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("term"))).select("doc_id", "term")

@@ -49,3 +49,12 @@ def test_fused_names_resolve_once(spark, monkeypatch):
     triples, _ = fuse.fuse(text, code, gold, words)
     assert {(r["predicate"], r["object_id"]) for r in triples.collect()} == {("MENTIONS_KP", "K2"), ("IMPLEMENTS_KP", "K2"), ("GOLD_LABEL", "K1"), ("RELATED", "K2")}
     assert len(calls) == 1
+
+
+def test_term_index_is_read_not_made_again(spark):
+    from kgloom.operators import resolve
+
+    texts = spark.createDataFrame([(1, "an array of loops"), (2, "none")], "doc_id int, text string")
+    hits = resolve.term_hits(texts, spark.createDataFrame([("array",), ("loop",), ("tree",)], "term string"))
+    assert "MapInArrow" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in hits.collect()} == {(1, "array"), (1, "loop")}

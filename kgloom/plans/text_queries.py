@@ -73,7 +73,7 @@ TERMS = f"terms AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_arr
 def _candidates(spark, d):
     """Candidates from documents with labels: the first words are the name, the whole text is summary and description."""
     docs = read(spark, d, "documents").where("text is not null").join(read(spark, d, "labels"), "doc_id")
-    name = F.when(F.col("doc_id") % 11 == 3, "循环结构").when(F.col("doc_id") % 13 == 4, F.concat(F.lit("数组的作用"), F.lit(" "))).otherwise(F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
+    name = F.when(F.col("doc_id") % 11 == 3, "循环结构").when(F.col("doc_id") % 13 == 4, F.concat(F.lit("数组的作用"), F.lit(" "))).otherwise(F.substring_index("text", " ", 2))
     return docs.select("doc_id", name.alias("name"), F.when(F.col("quality") == 1, "syntax").when(F.col("toxic") == 1, "odd").otherwise("other").alias("category"), F.col("text").alias("summary"),
                        F.col("text").alias("description"), F.when(F.col("doc_id") % 2 == 0, "x").otherwise("").alias("code_example"), F.when(F.col("doc_id") % 5 == 0, "MethodPattern").alias("candidate_type"),
                        F.when(F.col("doc_id") % 7 == 0, "KP1").alias("duplicate_of"))

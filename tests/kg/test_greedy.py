@@ -41,3 +41,21 @@ def test_chain(spark):
 
 def test_nothing(spark):
     assert dedup.greedy(spark.createDataFrame([], "ord bigint, section_key string, name string")).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.75, 0.9])
+def test_near_sets(spark, threshold):
+    """Against all pairs, in both directions and within sections only."""
+    rng = random.Random(7)
+    sets = [(rng.choice("st"), i, "".join(sorted(rng.sample("abcdefghijkl", rng.randrange(1, 12))))) for i in range(90)] + [("s", 90, "")]
+    want = {(a, b) for s, a, x in sets for t, b, y in sets if a != b and s == t and x and y and len({*x} & {*y}) / len({*x} | {*y}) > threshold}
+    got = dedup.near_sets(spark.createDataFrame(sets, "section_key string, id bigint, x string").selectExpr("section_key", "id", "filter(split(x, ''), c -> c <> '') cs"), threshold)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+
+
+def test_names_of_the_same_characters_are_not_paired(spark, monkeypatch):
+    seen, near_sets = [], dedup.near_sets
+    monkeypatch.setattr(dedup, "near_sets", lambda sets, t: seen.append(sets.count()) or near_sets(sets, t))
+    rows = [(i, "s", "ab" * (i + 1)) for i in range(300)] + [(300, "t", "abab"), (301, "t", "ab")]
+    got = dedup.greedy(spark.createDataFrame(rows, "ord bigint, section_key string, name string"))
+    assert sorted(r["ord"] for r in got.collect()) == fold(rows) and seen == [2]

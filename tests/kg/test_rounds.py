@@ -1,8 +1,10 @@
 """Loops take few rounds, and rounds send no table through the driver."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from kgloom.operators import analytics
 from test_whole import brute_components
@@ -58,3 +60,25 @@ def test_term_index_is_read_not_made_again(spark):
     hits = resolve.term_hits(texts, spark.createDataFrame([("array",), ("loop",), ("tree",)], "term string"))
     assert "MapInArrow" not in hits._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in hits.collect()} == {(1, "array"), (1, "loop")}
+
+
+def test_more_starts_than_a_row_has(spark):
+    n = analytics.WORD * analytics.WORDS + 90
+    e = spark.createDataFrame([(f"s{i:04}", "x") for i in range(n)] + [("x", "y")], "src string, dst string")
+    got = analytics.reachable(e, spark.createDataFrame([(f"s{i:04}",) for i in range(n)], "node string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"s{i:04}", x, d) for i in range(n) for x, d in (("x", 1), ("y", 2)))
+
+
+def test_tables_of_rounds_leave_no_shuffle_files(spark):
+    from kgloom.plans.staging import Rounds, cut
+
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    Rounds(spark, "round").add(cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).repartition(3, "k"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting

@@ -82,3 +82,11 @@ def test_tables_of_rounds_leave_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_texts_of_a_few_bytes_are_cleaned_by_many_tasks(spark):
+    from kgloom.operators import text
+
+    docs = spark.createDataFrame([(i, f"line {i} a\nint main() {{\n  return {i};\n}}\nthe end of it\n") for i in range(40)], "doc_id bigint, text string")
+    cleaned = text.clean_document(docs)
+    assert cleaned.select("doc_id", F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0] == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,6 +20,7 @@ empty table gives a folder without shards and an empty result. Other columns are
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import json
@@ -27,7 +28,7 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,9 +51,25 @@ READ = 4 << 20
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
+#: White space to str.split() alone.
+ODD = "\x1c\x1d\x1e\x1f"
+
+
+class Kept(dict):
+    """A table that asks `make` for what it lacks; make keeps what it wants to."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        return self.make(key)
+
+
 class LibraryEncoder(Encoder):
     """The op8 encoder with the merges left to the tokenizers library's BPE model, and ids packed as they are kept. Tokens of code points below PLAIN, where
-    NFC changes nothing and Python's lower case is the library's, skip the library's normalizers and the classes of all of Unicode."""
+    NFC changes nothing and Python's lower case is the library's, skip the library's normalizers and the classes of all of Unicode. Whole texts of Latin-1
+    without special tokens are lower-cased before they are split, so that a word's spellings are one token of the table."""
 
     PLAIN = 0x250
 
@@ -68,12 +85,13 @@ class LibraryEncoder(Encoder):
         self.other = re.compile(f"[^{below[0]}-{below[-1]}]")
         if any(c.lower() != self.lower.normalize_str(self.nfc.normalize_str(c)) for c in below):
             self.other = re.compile("")  # matches every token
+        self.folds = not self.other.search("a")
         split = SPLIT
         for pattern, inside in known.items():
             inside = re.compile(f"[{inside}]")
             split = split.replace(pattern, "".join(re.escape(c) for c in below if inside.match(c)))
         self.split_plain = re.compile(split)
-        self.table: dict[str, bytes] = {}
+        self.table: dict[str, bytes] = Kept(self.chunk)
         self.packs: dict[str, bytes] = {}
 
     def merged(self, piece: str) -> bytes:
@@ -85,27 +103,39 @@ class LibraryEncoder(Encoder):
             self.packs[piece] = found
         return found
 
-    def pieces_of(self, chunk: str) -> list[str]:
+    def plain_token(self, chunk: str) -> bytes:
         """Of a token without white space and special tokens."""
-        if self.other.search(chunk):
+        if not (self.folds and chunk.isascii()) and self.other.search(chunk):
             low, split = self.lower.normalize_str(self.nfc.normalize_str(chunk)), self.split
         else:
             low, split = chunk.lower(), self.split_plain
-        return [low] if self.words and low.isalpha() else split.findall(low)
+        get, merged = self.packs.get, self.merged
+        if self.words and low.isalpha():
+            return get(low) or merged(low)
+        return b"".join([get(p) or merged(p) for p in split.findall(low)])
 
     def chunk(self, chunk: str) -> bytes:
-        get, merged, found = self.packs.get, self.merged, b""
-        for part in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
-            if part in self.special:
-                found += array(self.code, [self.special[part]]).tobytes()
-            elif part:
-                found += b"".join([get(p) or merged(p) for p in self.pieces_of(part)])
+        if self.cut and "<" in chunk:
+            found = b"".join([array(self.code, [self.special[p]]).tobytes() if p in self.special else self.plain_token(p) for p in self.cut.split(chunk) if p])
+        else:
+            found = self.plain_token(chunk)
         if len(chunk) <= TABLE_TEXT:
             if len(self.table) >= TABLE:
                 self.table.clear()
             self.table[chunk] = found
         return found
 
+    def chunks(self, text: str) -> list[str]:
+        return self.white.split(text) if any(c in text for c in ODD) else text.split()
+
+    def packed(self, text: str | None) -> bytes:
+        text = text or ""
+        if self.folds and not (self.cut and "<" in text):
+            with contextlib.suppress(UnicodeEncodeError):
+                text.isascii() or text.encode("latin-1")
+                text = text.lower()
+        return b"".join(map(self.table.__getitem__, self.chunks(text)))
+
 
 @functools.lru_cache(maxsize=1)
 def encoder(data: str, known: str, width: int) -> LibraryEncoder:

@@ -78,3 +78,20 @@ def test_retried(tmp_path):
     (tmp_path / "x").write_bytes(b"half")
     w.abort([shard(0, "x", 1), None])
     assert not (tmp_path / "x").exists()
+
+
+def test_spellings_of_a_word_are_kept_once():
+    import tokenizers
+
+    from kgloom.llm import op8_bpe as b8
+    from kgloom.llm.op11_token_files import LibraryEncoder
+
+    with open(b8.vocabulary(), encoding="utf-8") as f:
+        data = f.read()
+    one, library = LibraryEncoder(data, b8.classes(), 2), tokenizers.Tokenizer.from_str(data)
+    texts = ["Word word WORD", "wOrd", "ÀÉ àé ß µ ÿ\xa0Ÿ", "İ Σας ΣΑΣ ǅ", "A\x1cB\x85C", "<S> <s> </S>", "É É", "", "Word, <|X|>   第1章"] + [f"x{s}Y" for s in one.special]
+    for text in texts * 2:
+        assert np.frombuffer(one.packed(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    kept = LibraryEncoder(data, b8.classes(), 2)
+    kept.packed("Word word WORD")
+    assert list(kept.table) == ["word"]

@@ -90,3 +90,15 @@ def test_texts_of_a_few_bytes_are_cleaned_by_many_tasks(spark):
     docs = spark.createDataFrame([(i, f"line {i} a\nint main() {{\n  return {i};\n}}\nthe end of it\n") for i in range(40)], "doc_id bigint, text string")
     cleaned = text.clean_document(docs)
     assert cleaned.select("doc_id", F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_tables_of_names_are_not_broadcast(spark, monkeypatch):
+    plans, cut = [], analytics.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(analytics, "cut", lambda df: cut(plan(df)))
+    monkeypatch.setattr(analytics.Rounds, "add", lambda self, df, add=analytics.Rounds.add: add(self, plan(df)))
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("d", "e")], "src string, dst string")
+    nodes = analytics.backbone(e)
+    assert {r["node"]: r["depth"] for r in plan(analytics.layer_depth(nodes, e)).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
+    assert {r["node"]: r["height"] for r in plan(analytics.heights(e)).collect()} == {"a": 4, "b": 3, "c": 3, "d": 2, "e": 1}
+    assert len(plans) > 8 and [p for p in plans if "BroadcastHashJoin" in p] == []

@@ -102,3 +102,35 @@ def test_tables_of_names_are_not_broadcast(spark, monkeypatch):
     assert {r["node"]: r["depth"] for r in plan(analytics.layer_depth(nodes, e)).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
     assert {r["node"]: r["height"] for r in plan(analytics.heights(e)).collect()} == {"a": 4, "b": 3, "c": 3, "d": 2, "e": 1}
     assert len(plans) > 8 and [p for p in plans if "BroadcastHashJoin" in p] == []
+
+
+def test_rounds_of_few_edges_take_few_tasks(spark):
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("d", "e")], "src string, dst string").withColumn("ord", F.concat_ws("|", "src", "dst"))
+    sc, parts = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    sc.setJobGroup("rounds", "")
+    try:
+        assert sorted(tuple(r) for r in analytics.main_chain(e).collect()) == [(0, "a"), (1, "b"), (2, "d"), (3, "e")]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("rounds") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert len(stages) > 20 and max(s.numTasks for s in stages if s) < 40
+
+
+def test_edges_are_dealt_to_more_tasks_where_there_are_more(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(analytics, "EDGES", 2)
+    monkeypatch.setattr(analytics, "_dealt", lambda df, key, n, f=analytics._dealt: dealt.append(n) or f(df, key, n))
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("d", "e")], "src string, dst string")
+    assert {r["node"]: r["depth"] for r in analytics.layer_depth(analytics.backbone(e), e).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
+    assert dealt == [4, 4]
+
+
+def test_chains_are_not_broadcast(spark, monkeypatch):
+    plans, cut = [], analytics.cut
+    monkeypatch.setattr(analytics, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string").withColumn("ord", F.concat_ws("|", "src", "dst"))
+    assert [r["node"] for r in analytics.main_chain(e).orderBy("position").collect()] == [f"n{i}" for i in range(10)]
+    assert [p for p in plans if "BroadcastHashJoin" in p] == []

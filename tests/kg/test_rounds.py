@@ -134,3 +134,16 @@ def test_chains_are_not_broadcast(spark, monkeypatch):
     e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string").withColumn("ord", F.concat_ws("|", "src", "dst"))
     assert [r["node"] for r in analytics.main_chain(e).orderBy("position").collect()] == [f"n{i}" for i in range(10)]
     assert [p for p in plans if "BroadcastHashJoin" in p] == []
+
+
+def test_parts_of_answers_in_one_pass(spark):
+    from kgloom.operators import imports
+    from kgloom.plans import change_queries
+
+    docs = spark.createDataFrame([(1, "第 1 章 变量\n数组\n指针"), (2, None)], "doc_id bigint, text string").repartition(2, "doc_id")
+    parts = change_queries._parts(imports.fallback(docs))
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    want = {(1, "chapter", "CH01", "第 1 章 变量", "1"), (1, "kp", "KP0002", "数组", "CH01"), (1, "relation", "KP0001", "KP0002", "基于文本规则抽取的相邻知识点关系"), (2, "chapter", "CH01", imports.DEFAULT_CHAPTERS[0], "1")}
+    assert want <= {tuple(r) for r in parts.collect()}
+    nothing = spark.createDataFrame([(3, None, None, None)], "doc_id bigint, chapters array<struct<chapter_id: string, title: string, order: bigint>>, kps array<struct<kp_id: string, name: string, chapter_id: string>>, relations array<struct<source: string, target: string, description: string>>")
+    assert change_queries._parts(nothing).collect() == []

@@ -147,3 +147,32 @@ def test_parts_of_answers_in_one_pass(spark):
     assert want <= {tuple(r) for r in parts.collect()}
     nothing = spark.createDataFrame([(3, None, None, None)], "doc_id bigint, chapters array<struct<chapter_id: string, title: string, order: bigint>>, kps array<struct<kp_id: string, name: string, chapter_id: string>>, relations array<struct<source: string, target: string, description: string>>")
     assert change_queries._parts(nothing).collect() == []
+
+
+def test_rounds_of_reachable_move_what_they_find_and_not_the_edges(spark, monkeypatch):
+    """Edges stay where they are dealt: a round deals the nodes found last and what they hit, and nothing else."""
+    from kgloom.plans import staging
+
+    plans, add = [], staging.Rounds.add
+
+    def spy(self, df):
+        with staging._freed(spark, self.parts):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return add(self, df)
+
+    monkeypatch.setattr(staging.Rounds, "add", spy)
+    e = spark.createDataFrame([(f"n{i:03}", f"n{j:03}") for i in range(60) for j in (i + 1, i * 2 % 60)], "src string, dst string")
+    analytics.reachable(e, spark.createDataFrame([("n000",), ("n001",)], "node string")).count()
+    assert len(plans) > 3
+    for plan in plans[1:]:
+        moves = [line for line in plan.splitlines() if "Exchange" in line]
+        assert any("REPARTITION_BY_NUM" in line for line in moves) and sum("REPARTITION_BY_NUM" not in line for line in moves) == 2, moves
+
+
+def test_folded_rounds(spark):
+    """A path of more rounds than are read one by one, with a way back, so that what was found long ago is met again."""
+    n = 3 * analytics.FOLD + 2
+    pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(n)] + [(f"n{n:02}", "n00"), (f"n{n:02}", "n05")]
+    got = analytics.reachable(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("n00",), ("n03",), ("absent",)], "node string")).collect()
+    want = {("n00", f"n{i:02}", i) for i in range(1, n + 1)} | {("n00", "n00", n + 1)} | {("n03", f"n{i:02}", i - 3) for i in range(4, n + 1)} | {("n03", f"n{i:02}", n - 2 + i) for i in range(4)}
+    assert sorted(tuple(r) for r in got) == sorted(want)

@@ -104,6 +104,24 @@ def test_many_starts(spark):
     assert {(r["direction"], r["start"], r["node"]): r["distance"] for r in analytics.reachable_both(e, analytics.backbone(e)).collect()} == want
 
 
+def test_reachability_follows_every_type(spark, far):
+    """Starts reach over all edges of the graph, from chapters and examples too, and pairs in descending order count."""
+    edges = {(r["src"], r["dst"]) for r in graphview.graph(spark, far).edges.collect()}
+    nodes, want = {x for e in edges for x in e}, set()
+    for way, pairs in (("forward", edges), ("backward", {(b, a) for a, b in edges})):
+        to = {}
+        for a, b in pairs:
+            to.setdefault(a, set()).add(b)
+        for start in (x for x in nodes if int(x[2:]) % 50 == 0):
+            level, seen, d = {start}, set(), 0
+            while level := {b for a in level for b in to.get(a, ())} - seen:
+                d, seen = d + 1, seen | level
+                want |= {(way, start, n, d) for n in level}
+    got = [tuple(r) for r in catalog.queries()["reachability"](spark, far).collect()]
+    assert sorted(got) == sorted(want)
+    assert {s[:2] for _, s, _, _ in got} == {n[:2] for _, _, n, _ in got} == {"CH", "EX", "KP"}
+
+
 def test_wide_keys(spark):
     """Numbers of more digits than a key's width stay apart."""
     got = [r[0] for r in spark.createDataFrame([(1234567,), (1234560,), (42,)], "n bigint").select(graphview._key("KP", F.col("n"), 6)).collect()]

@@ -330,3 +330,32 @@ def test_duplicates_of_empty(spark):
     names = spark.createDataFrame([("arr ay list",), ("point",), ("other",), ("",)], "name string")
     assert {r["name"]: r["duplicate_of"] for r in resolve.duplicate_of(names, seeds, s.norm_seed).collect()} == {"arr ay list": "K2", "point": "K1", "other": "K9", "": "K1"}
     assert {r["duplicate_of"] for r in resolve.duplicate_of(names, seeds.where("ordinal = 2"), s.norm_seed).collect()} == {"K2", None}
+
+
+def test_cheap_tests_before_patterns(spark):
+    """What spares patterns changes nothing: white space of every kind, signs of code in either case and in letters that count as others, texts within and beyond ASCII."""
+    from kgloom.functions import tables as t
+    from kgloom.functions.scalars import py_strip
+
+    same = lambda df, a, b: df.where(~a.eqNullSafe(b)).collect()
+    line = F.col("line")
+    spaces = spark.range(0x110000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")).select(F.concat("c", F.lit("a"), "c", F.lit("b "), "c", "c").alias("line"))
+    assert same(spaces, py_strip(line), F.regexp_replace(line, r"(?U)^\s+|\s+$", "")) == []
+    parts = ["#include", "VOID x", "voıd x", "int maİn", "return 1", "RETURN  y", "caſe x", "elſe  if", "break ;", "continue", "++i", "++ I", "print f(", "if (", "{", " }x", "a=b|", "(x |", "7%", "7 *", "x += 1;", "x+=1", "y--;",
+             '"%d"', '"a" %s "', '100%"', "printl", "print$", "$lf %$d", "pрint£", "HELLO WORLD", "ÀÉÎ ÕÜ", "《x》", "中文 and", " ", "\t", "  ", "\x00\x07", "\r\n", "\r", "…⋯", "“q”", "Ａ１", "　", "● x", "©  y", "— –"]
+    ls = spark.createDataFrame([(a + x + b,) for a in parts for x in ("", " ", "\n") for b in parts], "line string")
+    bare = py_strip(line)
+    assert same(ls, text.looks_like_code(line), (bare != "") & (F.startswith(line, F.lit("    ")) | F.startswith(line, F.lit("\t")) | text._found(bare, t.CODE_SIGNS))) == []
+    n = F.greatest(F.length(line), F.lit(1))
+    odd, capitals = F.length(F.regexp_replace(line, "[\\x00-\\x7F]", "")), F.length(F.regexp_replace(line, "[^\\p{IsUppercase} ]", ""))
+    assert same(ls, text.garbled(line), (F.length(bare) > 5) & (odd < 0.1 * n) & (capitals > 0.5 * n) & ~F.regexp_like(line, F.lit("[a-z]{3,}"))) == []
+    out = F.regexp_replace(F.regexp_replace(line, "\r\n?", "\n"), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+    out = F.translate(out, text.FULL + "　“”‘’", text.HALF + " \"\"''")
+    out = F.regexp_replace(F.regexp_replace(out, "[‒–—―﹘]", "-"), "[…⋯]{1,2}", "...")
+    assert same(ls, text.normalize_encoding(line), F.regexp_replace(F.regexp_replace(out, r"(?mU)^[。©◎○●□▪▸]\s+", "· "), "[ \t]+", " ")) == []
+
+
+def test_cleaning_strips_lines_without_a_pattern(spark):
+    """Lines are stripped many times over; a pattern for it took a good part of the time."""
+    plan = text.clean_document(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)^\s+|\s+$") <= 2  # a rule of code, in both corrections
